@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.session import ship_package
+
 #: Above so many bytes of keys a side is never broadcast; the sort-merge join takes over.
 BROADCAST_BYTES = 16 << 20
 
@@ -18,7 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns, matched by exact spelling; other columns, even ones that differ in case only, are left out."""
+    """The named columns, matched by exact spelling; other columns, even ones that differ in case only, are left out.
+
+    Every operator starts here, so here its code is sent to the executors.
+    """
+    ship_package(df.sparkSession)
     where = {c: i for i, c in reversed(list(enumerate(df.columns)))}
     missing = [n for n in names if n not in where]
     if missing:

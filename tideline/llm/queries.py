@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from tideline.llm import vector_topk
 from tideline.llm.bpe_codec import op5_bpe_codec
+from tideline.llm.near_dups import op2_near_dups
 from tideline.llm.token_counts import op1_token_counts
 from tideline.llm.token_files import op8_token_files
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_near_dups": op2_near_dups,
     "op5_bpe_codec": op5_bpe_codec,
     "op8_token_files": op8_token_files,
     "op10_vector_topk": vector_topk.op10_vector_topk,
