@@ -7,11 +7,13 @@ from tideline.llm.bpe_codec import op5_bpe_codec
 from tideline.llm.near_dups import op2_near_dups
 from tideline.llm.token_counts import op1_token_counts
 from tideline.llm.token_files import op8_token_files
+from tideline.llm.winnowing import op6_winnowing
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_near_dups": op2_near_dups,
     "op5_bpe_codec": op5_bpe_codec,
+    "op6_winnowing": op6_winnowing,
     "op8_token_files": op8_token_files,
     "op10_vector_topk": vector_topk.op10_vector_topk,
 }
