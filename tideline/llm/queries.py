@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from tideline.llm import vector_topk
+from tideline.llm import line_dedup, vector_topk
 from tideline.llm.bpe_codec import op5_bpe_codec
+from tideline.llm.mixing import op7_mixing
 from tideline.llm.near_dups import op2_near_dups
 from tideline.llm.token_counts import op1_token_counts
 from tideline.llm.token_files import op8_token_files
@@ -14,10 +15,13 @@ QUERIES = {
     "op2_near_dups": op2_near_dups,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_winnowing": op6_winnowing,
+    "op7_mixing": op7_mixing,
     "op8_token_files": op8_token_files,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_vector_topk": vector_topk.op10_vector_topk,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_line_dedup": line_dedup.SQL,
     "op10_vector_topk": vector_topk.SQL,
 }
