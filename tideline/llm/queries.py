@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from tideline.llm import line_dedup, vector_topk
 from tideline.llm.bpe_codec import op5_bpe_codec
+from tideline.llm.language import op3_language
 from tideline.llm.mixing import op7_mixing
 from tideline.llm.near_dups import op2_near_dups
 from tideline.llm.token_counts import op1_token_counts
 from tideline.llm.token_files import op8_token_files
+from tideline.llm.toxicity import op4_toxicity
 from tideline.llm.winnowing import op6_winnowing
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_near_dups": op2_near_dups,
+    "op3_language": op3_language,
+    "op4_toxicity": op4_toxicity,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_winnowing": op6_winnowing,
     "op7_mixing": op7_mixing,
