@@ -134,6 +134,21 @@ def _digests(path: str):
     return run
 
 
+def _checked(path: str):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        codec = Codec(path)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                texts = [t or "" for t in batch.column(1).slice(i, 256).to_pylist()]
+                ids = [codec.encode(t) for t in texts]
+                same = [codec.decode(d) == t for d, t in zip(ids, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 256), pa.array(list(map(len, ids)), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same)], names=["doc_id", "n_tokens", "ids", "round_trip"])
+
+    return run
+
+
 def _source(docs: DataFrame, id_col: str, value_col: str, name: str) -> DataFrame:
     return pick(docs, id_col, value_col).toDF("doc_id", name).select(F.col("doc_id").cast("long"), name)
 
@@ -153,5 +168,10 @@ def round_trip_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return _source(docs, id_col, text_col, "text").mapInArrow(_digests(tokenizer or tokenizer_path("byte_bpe_50k.json")), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def encode_checked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids and round_trip (whether the ids decode to the text) per row; nulls as in encode()."""
+    return _source(docs, id_col, text_col, "text").mapInArrow(_checked(tokenizer or tokenizer_path("byte_bpe_50k.json")), "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"))
