@@ -20,7 +20,7 @@ class Query:
 
 
 _QUERIES: dict[str, Query] = {}
-_MODULES = ("relational",)
+_MODULES = ("relational", "rolling")
 
 
 def query(covers: str, sql: str | None = None) -> Callable[[Build], Build]:
