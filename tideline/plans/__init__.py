@@ -20,7 +20,7 @@ class Query:
 
 
 _QUERIES: dict[str, Query] = {}
-_MODULES = ("relational", "rolling")
+_MODULES = ("relational", "rolling", "pairs", "points_in_time")
 
 
 def query(covers: str, sql: str | None = None) -> Callable[[Build], Build]:
