@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
 # Severity patterns, in order of precedence, with their weights.
 SEVERE = r"(?i)\b(acl|achilles|fracture[ds]?|torn|tear|surgery|broken|season[- ]ending)\b"
@@ -177,17 +178,34 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x / F.when(norm == 0, F.lit(1e-9)).otherwise(norm))
 
 
-def decayed_mean(value: Column, spec: WindowSpec, window: int, halflife: float) -> Column:
-    """Mean of the last `window` rows before this one, the weight halving every halflife rows back; weights of NULLs drop out."""
-    past = F.collect_list(F.struct(value.cast("double").alias("x"))).over(spec.rowsBetween(-window, -1))
-    n = F.size(past)
-
-    def weigh(s: Column, i: Column) -> Column:
-        w = F.pow(F.lit(0.5), (n - 1 - i) / F.lit(float(halflife)))
-        return F.when(s["x"].isNull(), F.struct(F.lit(0.0).alias("wx"), F.lit(0.0).alias("w"))).otherwise(F.struct((w * s["x"]).alias("wx"), w.alias("w")))
-
-    sums = F.aggregate(F.transform(past, weigh), F.struct(F.lit(0.0).alias("wx"), F.lit(0.0).alias("w")), lambda a, b: F.struct((a["wx"] + b["wx"]).alias("wx"), (a["w"] + b["w"]).alias("w")))
-    return safe_div(sums["wx"], sums["w"])
+def decayed_means(df: DataFrame, names: Sequence[str], keys: Sequence[str], order: Sequence[str], window: int, halflife: float) -> DataFrame:
+    """df with, for each name, the mean of the last `window` rows before, the weight halving every `halflife` rows back; the weights
+    of NULLs drop out.
+
+    A weight 2 ** (row / halflife) gives the same mean as 0.5 ** (age / halflife), so plain window sums suffice. To keep the
+    powers small, rows are numbered within chunks of at least `window` rows; a frame touches at most two neighbouring chunks,
+    an even and an odd one, which are summed apart and then put on one scale.
+    """
+    chunk = max(window, 32)
+    spec = W.partitionBy(*keys).orderBy(*order)
+    frame = spec.rowsBetween(-window, -1)
+    row = F.row_number().over(spec) - 1
+    out = df.withColumn("_row", row).withColumns({"_odd": F.floor(F.col("_row") / chunk) % 2 == 1, "_w": F.pow(F.lit(2.0), (F.col("_row") % chunk) / F.lit(float(halflife)))})
+    # The row before this one is in this row's chunk unless this row opens it; weights of the other chunk in the frame are older by one chunk.
+    newest_odd = F.floor((F.col("_row") - 1) / chunk) % 2 == 1
+    older = 2.0 ** (-chunk / halflife)
+
+    def total(value: Column) -> Column:
+        odd = F.coalesce(F.sum(F.when(F.col("_odd"), value)).over(frame), F.lit(0.0))
+        even = F.coalesce(F.sum(F.when(~F.col("_odd"), value)).over(frame), F.lit(0.0))
+        return F.when(newest_odd, odd + older * even).otherwise(even + older * odd)
+
+    made = {}
+    for m in names:
+        x = F.col(m).cast("double")
+        made[m] = safe_div(total(F.col("_w") * x), total(F.when(x.isNotNull(), F.col("_w"))))
+    kept = [c for c in df.columns if c not in names]
+    return out.select(*kept, *[e.alias(m) for m, e in made.items()])
 
 
 def rank_pct(value: Column, *keys: str) -> Column:

@@ -89,7 +89,7 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.col("user_id").alias("market"),
         "ts",
-        F.round(F.least(F.lit(0.99), F.greatest(F.lit(0.01), F.col("value") / 600.0)), 4).alias("price"),
+        F.least(F.lit(0.99), F.greatest(F.lit(0.01), F.floor(F.col("value") / 600.0 * 10000) / 10000.0)).alias("price"),
         (F.col("event_id") % 20 + 1).alias("size"),
         F.when(F.col("event_type").isin("purchase", "click"), "BUY").otherwise("SELL").alias("side"),
         (F.col("event_id") % 2 == 0).alias("is_ref"),
@@ -157,7 +157,7 @@ _SQL = {
     ),
     "ticks": (
         (),
-        """SELECT user_id AS market, ts, round(least(0.99, greatest(0.01, value / 600.0)), 4) AS price, event_id % 20 + 1 AS size,
+        """SELECT user_id AS market, ts, least(0.99, greatest(0.01, floor(value / 600.0 * 10000) / 10000.0)) AS price, event_id % 20 + 1 AS size,
        CASE WHEN event_type IN ('purchase', 'click') THEN 'BUY' ELSE 'SELL' END AS side, event_id % 2 = 0 AS is_ref, event_id FROM events""",
     ),
     "pdaily": ((), "SELECT l_suppkey AS player, CAST(l_shipdate AS DATE) AS stat_date, sum(l_quantity) AS PTS, CAST(count(*) AS DOUBLE) AS REB, CAST(max(l_linenumber) AS DOUBLE) AS AST FROM lineitem GROUP BY 1, 2"),
