@@ -17,8 +17,16 @@ def new_session(name: str = "tideline", master: str | None = None) -> SparkSessi
     return (builder.master(master) if master else builder).getOrCreate()
 
 
+#: Rows and bytes that one Arrow batch holds at most, on either side of the pipe: texts are long, and a task holds several batches.
+BATCH_ROWS = 512
+BATCH_BYTES = 4 << 20
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once an application."""
+    """Sends this package to the executors' Python workers, once an application, and keeps Arrow batches small."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(rows, str(min(BATCH_ROWS, int(spark.conf.get(rows, str(BATCH_ROWS))) or BATCH_ROWS)))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
