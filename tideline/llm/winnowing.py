@@ -55,11 +55,15 @@ def _chosen_of(segment: Column, first: Column) -> Column:
     return _let(packed, lambda h: _let(_four(h, 1, F.size(h)), lambda a: _four(a, 4, F.size(h) - WINDOW + 1)))
 
 
-def chosen(text: Column) -> Column:
-    """array<long>: the distinct choices in order of position. A text shorter than K is one gram; an empty one has none."""
+def chosen(text: Column, at: Column | None = None) -> Column:
+    """array<long>: the distinct choices in order of position. A text shorter than K is one gram; an empty one has none.
+
+    at: the position of the text's first code point, 0 if not given.
+    """
+    at = F.lit(0) if at is None else at
     n = F.char_length(text)
     windows = F.greatest(n - (K + WINDOW - 2), F.lit(1))
-    parts = F.transform(_count_to(F.ceil(windows / SEGMENT).cast("int")), lambda s: _chosen_of(F.substring(text, s * SEGMENT + 1, F.lit(SEGMENT + WINDOW + K - 2)), s * SEGMENT))
+    parts = F.transform(_count_to(F.ceil(windows / SEGMENT).cast("int")), lambda s: _chosen_of(F.substring(text, s * SEGMENT + 1, F.lit(SEGMENT + WINDOW + K - 2)), at + s * SEGMENT))
     short = F.array(F.shiftleft(_hash(text), 32).bitwiseOR(F.lit(_LOW)))
     return F.when(n >= K, F.array_distinct(F.flatten(parts))).when(n > 0, short).otherwise(F.array().cast("array<long>"))
 
@@ -68,6 +72,18 @@ def _position(choice: Column) -> Column:
     return F.lit(_LOW) - choice.bitwiseAND(F.lit(_LOW))
 
 
+def chosen_of_edited(own: Column, edited: Column, kept: Column) -> Column:
+    """chosen(edited), where edited shares its first `kept` code points with the text that `own` was chosen from.
+
+    A window that starts at s reads K + WINDOW - 1 code points, so windows up to kept - (K + WINDOW - 1) are the same in both texts,
+    and so is which positions up to there are chosen. Later positions lie in windows that start at most WINDOW - 1 before.
+    """
+    same = kept - (K + WINDOW - 1)
+    start = F.greatest(same - WINDOW, F.lit(0))
+    later = F.filter(chosen(F.substring(edited, start + 1, F.char_length(edited)), start), lambda c: _position(c) > same)
+    return F.when(start > 0, F.concat(F.filter(own, lambda c: _position(c) <= same), later)).otherwise(chosen(edited))
+
+
 def as_text(choices: Column) -> Column:
     """Eight hex digits a choice: seven of the hash, one of the distance to the choice before (less one; it is under WINDOW)."""
 
@@ -132,7 +148,9 @@ def edit_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         return rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut)))
 
     def marked(rows: DataFrame) -> DataFrame:
-        return rows.select("*", chosen(F.col("text")).alias("own"), chosen(F.col("edited")).alias("other"))
+        n = F.char_length("text")
+        own = rows.select("*", chosen(F.col("text")).alias("own"), (n - F.floor(n / 3).cast("int")).alias("kept"))
+        return own.select("*", chosen_of_edited(F.col("own"), F.col("edited"), F.col("kept")).alias("other"))
 
     named = marked(edited(named)).withColumn("after", F.lead("own").over(order)).where("place = 0")
     lone = marked(edited(source.where("doc_id IS NULL").withColumn("next_text", F.lit("")))).withColumn("after", F.array().cast("array<long>"))
