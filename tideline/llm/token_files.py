@@ -9,20 +9,21 @@ Payload: little-endian uint32 words. Ids of a block are dealt to LANES interleav
 the payload (uint64) and all lane states (uint64), so that each stretch of a block decodes independently of the others. crc32 is
 that of payload and checkpoints together.
 
-Documents reach files in ascending id order by a range partitioning of the texts; the corpus is scanned once for the frequency
-table and once more for coding, so ids are never stored uncoded.
+Texts are encoded once, into a staged table of packed ids; the frequency table is counted from it, and a range partitioning of
+it brings documents to files in ascending id order.
 """
 
 from __future__ import annotations
 
+import functools
 import zlib
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm._common import new_path, one_thread, pick, table, tokenizer_path
+from tideline.llm._common import drop_stage, new_path, one_thread, pick, stage, table, tokenizer_path
 
 PROB_BITS = 18
 LANES = 2048
@@ -31,7 +32,8 @@ BLOCK_TOKENS = 1 << 20
 LOW = 1 << 31
 END_ID = 2
 #: Below it normalisation (NFC, lower case) acts on single characters and all engines agree; texts beyond go through the library.
-PLAIN_BELOW = 0x300
+PLAIN_BELOW = 0x23A
+#: Distinct words, and distinct runs of them, that a Python worker remembers; beyond it the memo starts anew.
 MEMO = 400_000
 
 
@@ -60,60 +62,83 @@ class WordCodes:
         digits = within(lambda c: unicodedata.category(c)[0] == "N")
         spaces = within(lambda c: c.isspace() and not 0x1C <= ord(c) <= 0x1F)
         self.find = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{spaces}{letters}{digits}]+").findall
-        self.beyond = re.compile(f"[\\U{PLAIN_BELOW:08x}-\\U0010ffff]").search
+        self.beyond = re.compile(f"[\\x1c-\\x1f\\U{PLAIN_BELOW:08x}-\\U0010ffff]").search
         self.specials = [t["content"] for t in json.loads(self.library.to_str())["added_tokens"]]
-        self.memo: dict[str, tuple[int, ...]] = {}
         self.size = self.library.get_vocab_size(with_added_tokens=True)
-
-    def words(self, text: str) -> list[str] | None:
-        """The text's words, or None if only the library can cut it."""
-        if (not text.isascii() and self.beyond(text)) or any(s in text for s in self.specials):
-            return None
-        return self.find(text.lower())
-
-    def learn(self, word: str) -> tuple[int, ...]:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        ids = tuple(t.id for t in self.model.tokenize("".join(map(self.chars.__getitem__, word.encode()))))
-        self.memo[word] = ids
-        return ids
-
-    def encode(self, text: str) -> list[int]:
-        words = self.words(text)
-        if words is None:
-            return self.library.encode(text, add_special_tokens=False).ids
-        known, ids = self.memo, []
-        for w in words:
-            ids += known.get(w) or self.learn(w)
-        return ids
-
-
-def _histogram(path: str, end_id: int):
+        self.dtype = "<u2" if self.size <= 1 << 16 else "<u4"
+        self.code = "H" if self.size <= 1 << 16 else "I"
+        self.runs: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.old_runs: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        packed = self.old_words.get(word)
+        if packed is None:
+            raw = word if word.isascii() and word.isprintable() else "".join(map(self.chars.__getitem__, word.encode()))
+            packed = array(self.code, [t.id for t in self.model.tokenize(raw)]).tobytes()
+        self.words[word] = packed
+        return packed
+
+    def _run(self, run: str) -> bytes:
+        """A run of non-blank characters: no word reaches over a blank, so its ids don't depend on its neighbours."""
+        packed = self.old_runs.get(run)
+        if packed is None:
+            known = self.words
+            if run.isalpha():
+                packed = known.get(run) or self._word(run)
+            else:
+                packed = b"".join([known.get(w) or self._word(w) for w in self.find(run)])
+        self.runs[run] = packed
+        return packed
+
+    def encode(self, text: str) -> bytes:
+        """The text's ids, packed as little-endian self.dtype. What was used since the memo last filled up stays known."""
+        if self.beyond(text) or "<|" in text and any(s in text for s in self.specials):
+            return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(self.runs) > MEMO:
+            self.old_runs, self.runs = self.runs, {}
+        if len(self.words) > MEMO:
+            self.old_words, self.words = self.words, {}
+        runs = text.lower().split()
+        known = self.runs
+        try:
+            return b"".join([known[r] for r in runs])
+        except KeyError:
+            return b"".join([known[r] if r in known else self._run(r) for r in runs])
+
+
+@functools.cache
+def _codes(path: str) -> WordCodes:
+    """One for all tasks that a Python worker runs, so that its memo stays warm."""
+    return WordCodes(path)
+
+
+def _tokenise(path: str, end_id: int):
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        codes = WordCodes(path)
-        n = np.zeros(codes.size, np.int64)
+        codes = _codes(path)
+        end = np.array([end_id], codes.dtype).tobytes()
+        for batch in batches:
+            ids = [codes.encode(t or "") + end for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+    return run
 
-        def add(words: Counter) -> None:
-            each = [codes.memo.get(w) or codes.learn(w) for w in words]
-            freq = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(e) for e in each])
-            np.add.at(n, np.fromiter((i for e in each for i in e), np.int64, len(freq)), freq)
 
-        words: Counter = Counter()
+def _histogram(dtype: str):
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        n = np.zeros(0, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                n[end_id] += 1
-                found = codes.words(text or "")
-                if found is None:
-                    np.add.at(n, codes.encode(text), 1)
-                else:
-                    words.update(found)
-            if len(words) > MEMO:
-                add(words)
-                words.clear()
-        add(words)
+            for ids in batch.column(0):
+                more = np.bincount(np.frombuffer(ids.as_py(), dtype), minlength=len(n))
+                more[: len(n)] += n
+                n = more
         used = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(n[used])], names=["token", "n"])
 
@@ -211,13 +236,12 @@ def decode_block(payload: bytes, checkpoints: bytes, n_tokens: int, freq, cum, s
     return np.concatenate(parts) if parts else np.empty(0, np.uint32)
 
 
-def _write_blocks(path: str, end_id: int, freq):
+def _write_blocks(dtype: str, freq):
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
-        codes = WordCodes(path)
         cum = np.concatenate([[0], np.cumsum(freq)[:-1]])
         part = TaskContext.get().partitionId()
         start, block = 0, 0
@@ -233,15 +257,14 @@ def _write_blocks(path: str, end_id: int, freq):
         for batch in batches:
             ids_of = batch.column(0).to_pylist()
             for i, doc_id in enumerate(ids_of):
-                ids = codes.encode(batch.column(1)[i].as_py() or "")
-                ids.append(end_id)
+                ids = np.frombuffer(batch.column(1)[i].as_py(), dtype)
                 if held and held + len(ids) > BLOCK_TOKENS:
                     yield close(doc_ids, lengths, np.concatenate(parts))
                     start, block = start + held, block + 1
                     doc_ids, lengths, parts, held = [], [], [], 0
                 doc_ids.append(doc_id)
                 lengths.append(len(ids))
-                parts.append(np.array(ids, np.uint32))
+                parts.append(ids)
                 held += len(ids)
         if held:
             yield close(doc_ids, lengths, np.concatenate(parts))
@@ -256,20 +279,24 @@ def write_token_files(docs: DataFrame, path: str, *, id_col: str = "doc_id", tex
     """Encodes every whole text, appends end_id, and writes the ids in ascending id order to the folder `path`.
 
     Null texts count as empty (the end id alone). Null ids come first. Rows that repeat an id follow each other, ordered by
-    text. An empty table gives a folder without blocks. Only the frequency table, bounded by the vocabulary, reaches the driver.
+    their packed ids. An empty table gives a folder without blocks. Only the frequency table, bounded by the vocabulary, reaches the driver.
     """
     import numpy as np
+    from tokenizers import Tokenizer
 
     spark = docs.sparkSession
     file = tokenizer or tokenizer_path("word_bpe_49k.json")
     source = pick(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    counted = source.select("text").mapInArrow(_histogram(file, end_id), "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    dtype = "<u2" if Tokenizer.from_file(file).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+    coded = stage(source.mapInArrow(_tokenise(file, end_id), "doc_id long, ids binary"), "ids")
+    counted = coded.select("ids").mapInArrow(_histogram(dtype), "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     size = max([end_id, *(r.token for r in counted)], default=0) + 1
     freq = quantise({r.token: r.n for r in counted}, size) if counted else np.zeros(size, np.int64)
     used = [(int(i), int(freq[i])) for i in np.flatnonzero(freq)]
     spark.createDataFrame(used, "token int, freq long").coalesce(1).write.parquet(f"{path}/table")
-    ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_write_blocks(file, end_id, freq), BLOCKS).write.parquet(f"{path}/blocks")
+    ordered = coded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered.mapInArrow(_write_blocks(dtype, freq), BLOCKS).write.parquet(f"{path}/blocks")
+    drop_stage(coded)
 
 
 def _read(freq_rows: list[tuple[int, int]], digest: bool):
