@@ -357,6 +357,11 @@ def test_ablation_and_families(spark):
     assert evaluate.families(spark.range(1), steps) == {"x": "one", "y": "two", "z": "two"}
 
 
+def test_search_finds_the_best():
+    best, score = evaluate.random_search({"x": range(10), "y": [1, 2]}, lambda s: -abs(s["x"] - 4) + s["y"], 300)
+    assert best == {"x": 4, "y": 2} and score == 2
+
+
 def test_permutation_keeps_blocks_together(spark):
     df = spark.range(60).select("id", (F.col("id") * 2).alias("a"), (F.col("id") * 3).alias("b"), F.lit(1).alias("c"))
     rows = evaluate.permuted(df, ["a", "b"], "id", 3).collect()
@@ -412,6 +417,7 @@ def test_tables(spark, tmp_path):
     once = tables.migrate(old, {"v": "value"}, {"extra": F.lit(0)})
     assert tables.migrate(once, {"v": "value"}, {"extra": F.lit(0)}).columns == once.columns == ["k", "value", "n", "extra"]
     assert tables.full_on_off(old, new, "k", "n").count() == 3
+    assert tables.upcoming(old.withColumn("wl", F.when(F.col("k") == 1, "W")), "wl").collect()[0].k == 2
     assert tables.feature_columns(old, ["k"]) == ["v", "n"]
     from tideline.sources import sinks
 

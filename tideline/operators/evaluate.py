@@ -168,3 +168,18 @@ def ablation(flags: Mapping[str, bool], run: Callable[[Mapping[str, bool]], floa
     """Score with each flag flipped, less the score as it is."""
     base = run(dict(flags))
     return {k: run({**flags, k: not v}) - base for k, v in flags.items()}
+
+
+def random_search(space: Mapping[str, Sequence], score: Callable[[Mapping], float], trials: int, seed: int = 7) -> tuple[dict, float]:
+    """The best of `trials` random settings and its score (higher is better). Trials run on the driver; each may run Spark jobs."""
+    import random
+
+    rng = random.Random(seed)
+    tried: dict[tuple, float] = {}
+    for _ in range(trials):
+        choice = {k: rng.choice(list(v)) for k, v in space.items()}
+        key = tuple(choice.items())
+        if key not in tried:
+            tried[key] = score(choice)
+    best = max(tried, key=tried.get)
+    return dict(best), tried[best]

@@ -142,3 +142,8 @@ def with_upcoming(df: DataFrame, row: Mapping) -> DataFrame:
 
 def feature_columns(df: DataFrame, excluded: Sequence[str]) -> list[str]:
     return [c for c in df.columns if c not in set(excluded)]
+
+
+def upcoming(schedule: DataFrame, outcome: str) -> DataFrame:
+    """Games of a schedule that have no outcome yet."""
+    return schedule.where(F.col(outcome).isNull())

@@ -269,6 +269,12 @@ def synthetic_row(spark: SparkSession, sf: str) -> DataFrame:
     return T.with_upcoming(g, {"game_id": -1, "home": 3, "away": 7, "pts_home": 0})
 
 
+@query("S11", f"WITH {with_views('games')} SELECT game_id, game_date, home, away FROM games WHERE game_id % 97 = 5")
+def upcoming_games(spark: SparkSession, sf: str) -> DataFrame:
+    played = games(spark, sf).withColumn("outcome", F.when(F.col("game_id") % 97 != 5, F.when(F.col("pts_home") > F.col("pts_away"), "W").otherwise("L")))
+    return T.upcoming(played, "outcome").select("game_id", "game_date", "home", "away")
+
+
 @query("S33", f"WITH {with_views('tg')} SELECT team, game_id, round(avg(pts) OVER (PARTITION BY team ORDER BY game_date, game_id ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING), 6) AS team_avg, min(game_date) OVER (PARTITION BY season_id) AS season_start FROM tg")
 def team_average(spark: SparkSession, sf: str) -> DataFrame:
     tg = perspective(games(spark, sf))
