@@ -8,13 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Severity patterns, in order of precedence, with their weights.
-SEVERE = r"(?i)\b(acl|achilles|fracture[ds]?|torn|tear|surgery|broken|season[- ]ending)\b"
-MODERATE = r"(?i)\b(sprain(ed)?|strain(ed)?|concussion|hamstring|ankle|groin|calf)\b"
-MINOR = r"(?i)\b(sore|soreness|illness|rest|management|bruise|contusion|tightness)\b"
-SEVERITY_WEIGHTS = {"severe": 1.0, "moderate": 0.7, "minor": 0.4, "unknown": 0.5}
-TWO_WAY = r"(?i)\b(g[- ]?league|two[- ]way)\b"
-NOT_INJURED = ("rest", "coach's decision", "personal reasons", "g league - two-way", "not with team", "trade pending")
+# Severity patterns in order of precedence, what is none of them being minor; weights; reasons that are no injury.
+SEVERE = r"(?i)\b(surgery|fracture|torn|tear|rupture|acl|ligament)\b"
+MODERATE = r"(?i)\b(sprain|strain|bone bruise|bonebruise)\b"
+SEVERITY_WEIGHTS = {"severe": 1.0, "moderate": 0.6, "minor": 0.3}
+TWO_WAY = r"(?i)gleague|g league|two.?way|on assignment"
+NOT_INJURED = ("rest", "rest-rest", "rest - rest", "rest - load management", "personal reasons", "personalreasons", "not with team", "notwithteam", "coach's decision", "coach'sdecision")
 EARTH_RADIUS_MILES = 3958.8
 
 
@@ -110,12 +109,12 @@ def flip_name(name: Column) -> Column:
 
 
 def severity(reason: Column) -> Column:
-    return F.when(reason.rlike(SEVERE), "severe").when(reason.rlike(MODERATE), "moderate").when(reason.rlike(MINOR), "minor").otherwise("unknown")
+    return F.when(reason.rlike(SEVERE), "severe").when(reason.rlike(MODERATE), "moderate").otherwise("minor")
 
 
 def severity_weight(reason: Column) -> Column:
     kind = severity(reason)
-    out = F.lit(SEVERITY_WEIGHTS["unknown"])
+    out = F.lit(SEVERITY_WEIGHTS["minor"])
     for name, weight in SEVERITY_WEIGHTS.items():
         out = F.when(kind == name, F.lit(weight)).otherwise(out)
     return out
@@ -131,12 +130,17 @@ def is_injury(reason: Column) -> Column:
 
 def spread_line(question: Column) -> Column:
     """The signed number in brackets of 'Spread: Team (-4.5)'."""
-    return F.regexp_extract(question, r"\(([+-]\d+(?:\.\d+)?)\)", 1).try_cast("double")
+    return F.regexp_extract(question, r"Spread:\s*.+?\s*\(([+-]?\d+(?:\.\d+)?)\)", 1).try_cast("double")
+
+
+def spread_team(question: Column) -> Column:
+    """The team that 'Spread: Team (-4.5)' names."""
+    return F.nullif(F.regexp_extract(question, r"Spread:\s*(.+?)\s*\([+-]?\d+(?:\.\d+)?\)", 1), F.lit(""))
 
 
 def totals_line(question: Column) -> Column:
-    """The number of 'Over/Under 221.5' and 'O/U 221.5'."""
-    return F.regexp_extract(question, r"(?i)(?:o/u|over/under|total)\D*(\d+(?:\.\d+)?)", 1).try_cast("double")
+    """The number of 'A vs. B: O/U 221.5'."""
+    return F.regexp_extract(question, r"O/U\s*(\d+(?:\.\d+)?)", 1).try_cast("double")
 
 
 def first_timestamp(*values: Column) -> Column:

@@ -20,8 +20,8 @@ def status_weight(doubtful: float = DOUBTFUL) -> Column:
 
 
 def status_counts(injuries: DataFrame, keys: Sequence[str]) -> DataFrame:
-    named = {"n_out": "Out", "n_doubtful": "Doubtful", "n_questionable": "Questionable"}
-    return injuries.groupBy(*keys).agg(*[F.count_if(F.col("status") == s).alias(n) for n, s in named.items()])
+    named = {"n_out": ("Out",), "n_doubtful": ("Doubtful",), "n_questionable": ("Questionable", "Day-To-Day")}
+    return injuries.groupBy(*keys).agg(*[F.count_if(F.col("status").isin(*s)).alias(n) for n, s in named.items()])
 
 
 def max_severity(injuries: DataFrame, keys: Sequence[str], statuses: Sequence[str] = ("Out", "Doubtful")) -> DataFrame:
@@ -30,7 +30,7 @@ def max_severity(injuries: DataFrame, keys: Sequence[str], statuses: Sequence[st
     return rows.groupBy(*keys).agg(F.max(C.severity_weight(F.col("reason")) * status_weight()).alias("severity"))
 
 
-def importance(snaps: DataFrame, keys: Sequence[str], weights: tuple[float, float, float] = (0.5, 0.3, 0.2)) -> DataFrame:
+def importance(snaps: DataFrame, keys: Sequence[str], weights: tuple[float, float, float] = (0.4, 0.4, 0.2)) -> DataFrame:
     """A player's weight in a team: share of minutes, usage against the highest, share of points, mixed and kept between 0 and 1."""
     w = W.partitionBy(*keys)
     share = lambda c: F.coalesce(C.safe_div(F.col(c), F.sum(c).over(w)), F.lit(0.0))
@@ -39,12 +39,13 @@ def importance(snaps: DataFrame, keys: Sequence[str], weights: tuple[float, floa
 
 
 def team_deficit(injuries: DataFrame, importances: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """What is missing against what is left: missing / max(total - missing, 0.01), half-even to 4 digits. importances: team, player, importance."""
+    """What is missing against what is left: missing / max(total - missing, 0.01), half-even to 4 digits; 0 for a team without any
+    importance. importances: team, player, importance."""
     weight = F.when(C.is_two_way(F.col("reason")), 0.0).otherwise(C.severity_weight(F.col("reason")) * status_weight())
     total = importances.groupBy("team").agg(F.sum("importance").alias("total"))
     rows = injuries.join(importances, ["team", "player"], "left").withColumn("_w", weight * F.coalesce("importance", F.lit(0.0)))
     missing = rows.groupBy(*keys).agg(F.sum("_w").alias("missing"))
-    return missing.join(total, "team", "left").withColumn("deficit", C.half_even(F.col("missing") / F.greatest(F.coalesce("total", F.lit(0.0)) - F.col("missing"), F.lit(0.01)), 4))
+    return missing.join(total, "team", "left").withColumn("deficit", F.when(F.coalesce("total", F.lit(0.0)) <= 0, 0.0).otherwise(C.half_even(F.col("missing") / F.greatest(F.col("total") - F.col("missing"), F.lit(0.01)), 4)))
 
 
 def missing_impact(team_dates: DataFrame, injuries: DataFrame, impacts: DataFrame, gate: float = 15.0) -> DataFrame:
@@ -131,15 +132,39 @@ def absence_factor(rows: DataFrame, keys: Sequence[str], window: float) -> DataF
     return rows.groupBy(*keys).agg(r6(C.safe_div(F.sum(F.col("importance") * f), F.sum("importance"))).alias("absence_factor"))
 
 
-def archetype_rules(df: DataFrame, season: str, percentiles: Mapping[str, float]) -> DataFrame:
-    """Combo, facilitator, scorer, rim, perimeter: the first rule that holds, on rank shares within the season."""
-    ranked = df
-    for c in ("PTS", "REB", "AST"):
-        ranked = ranked.withColumn(f"_{c}", C.rank_pct(F.col(c), season))
-    p = percentiles
-    combo = (F.col("_PTS") >= p["combo"]) & (F.col("_AST") >= p["combo"])
-    kind = F.when(combo, "combo").when(F.col("_AST") >= p["facilitator"], "facilitator").when(F.col("_PTS") >= p["scorer"], "scorer").when(F.col("_REB") >= p["rim"], "rim").otherwise("perimeter")
-    return ranked.withColumn("archetype", kind)
+# Rank shares that bound the archetypes, and the least minutes for usage to count.
+ARCHETYPES = {
+    "combo": {"ppg": 0.85, "ast": 0.85, "usage": 0.80, "ast_rate": 0.80},
+    "facilitator": {"ast": 0.65, "ppg": 0.35},
+    "scorer": {"ppg": 0.65, "ast": 0.35},
+    "rim_protector": {"blk": 0.75, "reb": 0.75},
+    "perimeter_specialist": {"blk": 0.30, "stl": 0.70},
+}
+LEAST_MINUTES = 5.0
+
+
+def archetype_rules(df: DataFrame, season: str, bounds: Mapping[str, Mapping[str, float]] = ARCHETYPES) -> DataFrame:
+    """The first archetype whose bounds a player-season's rank shares meet, else NULL.
+
+    df: season, ppg, ast, blk, reb, stl, and minutes and usage, which may be NULL: then, or with too few minutes, combo goes by points
+    and assists instead of usage and assists a minute. Shares are within the season, of rows that have the value.
+    """
+    has_usage = F.col("minutes").isNotNull() & F.col("usage").isNotNull() & (F.col("minutes") >= LEAST_MINUTES)
+    ranked = df.withColumns({"_usage": F.when(has_usage, F.col("usage")), "_ast_rate": F.when(has_usage, C.safe_div(F.col("ast"), F.col("minutes")))})
+    ranked = ranked.withColumns({f"{c}_pct": C.rank_pct(F.col(c), season) for c in ("ppg", "ast", "blk", "reb", "stl")})
+    ranked = ranked.withColumns({f"{c}_pct": C.rank_pct(F.col(f"_{c}"), season) for c in ("usage", "ast_rate")})
+    p = lambda c: F.col(f"{c}_pct")
+    combo, fac, sco, rim, per = (bounds[k] for k in ("combo", "facilitator", "scorer", "rim_protector", "perimeter_specialist"))
+    by_usage = (p("usage") >= combo["usage"]) & (p("ast_rate") >= combo["ast_rate"])
+    is_combo = F.when(p("usage").isNotNull() & p("ast_rate").isNotNull(), by_usage).otherwise((p("ppg") >= combo["ppg"]) & (p("ast") >= combo["ast"]))
+    kind = (
+        F.when(is_combo, "combo")
+        .when((p("ast") >= fac["ast"]) & (p("ppg") <= fac["ppg"]), "facilitator")
+        .when((p("ppg") >= sco["ppg"]) & (p("ast") <= sco["ast"]), "scorer")
+        .when((p("blk") >= rim["blk"]) & (p("reb") >= rim["reb"]), "rim_protector")
+        .when((p("blk") <= per["blk"]) & (p("stl") >= per["stl"]), "perimeter_specialist")
+    )
+    return ranked.withColumn("archetype", kind).drop("_usage", "_ast_rate")
 
 
 def games_out_before(injuries: DataFrame) -> DataFrame:

@@ -37,21 +37,33 @@ def last_before(ticks: DataFrame, start: Column, seq: str = "event_id") -> DataF
 
 
 def robust_minimum(ticks: DataFrame, window: int = 7, seq: str = "event_id") -> DataFrame:
-    """Lowest centred rolling median and when it is first reached, beside the raw lowest price and its first time."""
+    """Lowest centred rolling median and when it is first reached, beside the raw lowest price and its first time.
+
+    A market of fewer trades than the window takes as many as it has; an even window reaches one row further back than ahead.
+    """
     spec = W.partitionBy("market").orderBy("ts", seq)
-    smooth = ticks.withColumn("_med", F.percentile("ref_price", F.lit(0.5)).over(centred(spec, window)))
+    n = F.least(F.count("*").over(W.partitionBy("market")), F.lit(window))
+    numbered = ticks.withColumns({"_i": F.row_number().over(spec), "_n": n})
+    around = F.collect_list(F.struct("_i", "ref_price")).over(centred(spec, window))
+    back, ahead = F.floor(F.col("_n") / 2), F.floor((F.col("_n") - 1) / 2)
+    prices = F.sort_array(F.transform(F.filter(around, lambda t: t["_i"].between(F.col("_i") - back, F.col("_i") + ahead)), lambda t: t["ref_price"]))
+    smooth = numbered.withColumn("_p", prices)
+    half = F.size("_p")
+    smooth = smooth.withColumn("_med", (F.get("_p", F.floor((half - 1) / 2).cast("int")) + F.get("_p", F.floor(half / 2).cast("int"))) / 2)
     return smooth.groupBy("market").agg(
         F.min("ref_price").alias("raw_min"), F.min_by("ts", F.struct("ref_price", "ts")).alias("raw_min_ts"), F.min("_med").alias("robust_min"), F.min_by("ts", F.struct("_med", "ts")).alias("robust_min_ts"), F.max("ref_price").alias("max_price"), F.count("*").alias("n_trades")
     )
 
 
-def summary(ticks: DataFrame, start: Column, bar: str, low_trades: int = 20) -> DataFrame:
-    """One row a market: price before the start, minima after it, lowest bar VWAP and a quality grade."""
+def summary(ticks: DataFrame, start: Column, bar: str, sparse: int = 20, capped: Column | None = None) -> DataFrame:
+    """One row a market: price before the start, minima after it, lowest bar VWAP and a quality grade: trades_capped where the source
+    gave no more rows (capped) and none lie before the start, else sparse_trades under `sparse` live trades, else ok."""
     live = ticks.where(F.col("ts") >= start)
     vwap = bars(live, bar).groupBy("market").agg(F.min("vwap").alias("min_vwap"), F.count("*").alias("n_bars"))
     out = ticks.select("market").distinct().join(last_before(ticks, start), "market", "left").join(robust_minimum(live), "market", "left").join(vwap, "market", "left")
     n = F.coalesce("n_trades", F.lit(0))
-    grade = F.when(n == 0, "no_live_trades").when(F.col("pregame_price").isNull(), "no_pregame").when(n < low_trades, "thin").otherwise("ok")
+    cut = F.lit(False) if capped is None else F.coalesce(capped, F.lit(False))
+    grade = F.when(cut & F.col("pregame_price").isNull() & (n > 0), "trades_capped").when(n < sparse, "sparse_trades").otherwise("ok")
     return out.withColumn("n_trades", n).withColumn("quality", grade)
 
 

@@ -14,11 +14,11 @@ from tideline.sources.views import games, injuries, perspective, player_stats, s
 
 def _sev(reason: str) -> str:
     strip = lambda p: p.replace("(?i)", "")
-    return f"CASE WHEN regexp_matches({reason}, '{strip(C.SEVERE)}', 'i') THEN 'severe' WHEN regexp_matches({reason}, '{strip(C.MODERATE)}', 'i') THEN 'moderate' WHEN regexp_matches({reason}, '{strip(C.MINOR)}', 'i') THEN 'minor' ELSE 'unknown' END"
+    return f"CASE WHEN regexp_matches({reason}, '{strip(C.SEVERE)}', 'i') THEN 'severe' WHEN regexp_matches({reason}, '{strip(C.MODERATE)}', 'i') THEN 'moderate' ELSE 'minor' END"
 
 
 def _weight(reason: str) -> str:
-    return f"CASE {_sev(reason)} WHEN 'severe' THEN 1.0 WHEN 'moderate' THEN 0.7 WHEN 'minor' THEN 0.4 ELSE 0.5 END"
+    return f"CASE {_sev(reason)} WHEN 'severe' THEN 1.0 WHEN 'moderate' THEN 0.6 ELSE 0.3 END"
 
 
 _STATUS = "CASE status WHEN 'Out' THEN 1.0 WHEN 'Doubtful' THEN 0.8 ELSE 0.0 END"
@@ -49,7 +49,7 @@ def archetype_severity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "A4",
-    f"WITH {with_views('snaps')}, s AS (SELECT *, c_nationkey AS team FROM snaps JOIN customer ON entity = c_custkey WHERE as_of_date < DATE '1995-06-30') SELECT entity, as_of_date, round(greatest(0.0, least(1.0, 0.5 * minutes / sum(minutes) OVER w + 0.3 * usage / max(usage) OVER w + 0.2 * points / sum(points) OVER w)), 6) AS importance FROM s WINDOW w AS (PARTITION BY team, as_of_date)",
+    f"WITH {with_views('snaps')}, s AS (SELECT *, c_nationkey AS team FROM snaps JOIN customer ON entity = c_custkey WHERE as_of_date < DATE '1995-06-30') SELECT entity, as_of_date, round(greatest(0.0, least(1.0, 0.4 * minutes / sum(minutes) OVER w + 0.4 * usage / max(usage) OVER w + 0.2 * points / sum(points) OVER w)), 6) AS importance FROM s WINDOW w AS (PARTITION BY team, as_of_date)",
 )
 def player_importance(spark: SparkSession, sf: str) -> DataFrame:
     teams = table(spark, sf, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_nationkey").alias("team"))
@@ -114,7 +114,7 @@ def freshest_absence(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "A5, P13",
-    f"WITH {with_views('inj')}, {_IMPORTANCE}, t AS (SELECT team, sum(importance) AS total FROM imp GROUP BY 1), s AS (SELECT x.game_date, x.team, sum(importance) AS sat FROM (SELECT DISTINCT game_date, team, player FROM inj WHERE status = 'Out' AND lower(trim(reason)) IN ('rest', 'g league - two-way')) x JOIN imp ON imp.team = x.team AND imp.player = x.player GROUP BY 1, 2) SELECT tg.game_id, tg.team, round(coalesce(sat, 0) / total, 6) AS roster_score FROM tg LEFT JOIN s ON s.game_date = tg.game_date AND s.team = tg.team JOIN t ON t.team = tg.team",
+    f"WITH {with_views('inj')}, {_IMPORTANCE}, t AS (SELECT team, sum(importance) AS total FROM imp GROUP BY 1), s AS (SELECT x.game_date, x.team, sum(importance) AS sat FROM (SELECT DISTINCT game_date, team, player FROM inj WHERE status = 'Out' AND lower(trim(reason)) IN ('rest', 'coach''s decision')) x JOIN imp ON imp.team = x.team AND imp.player = x.player GROUP BY 1, 2) SELECT tg.game_id, tg.team, round(coalesce(sat, 0) / total, 6) AS roster_score FROM tg LEFT JOIN s ON s.game_date = tg.game_date AND s.team = tg.team JOIN t ON t.team = tg.team",
 )
 def roster_behaviour(spark: SparkSession, sf: str) -> DataFrame:
     tg = perspective(games(spark, sf)).select("game_id", "team", "game_date")
@@ -185,11 +185,18 @@ def absence_factor(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "W27, M4, A10",
-    f"""WITH {with_views('pstats')}, s AS (SELECT player, CAST(year(stat_date) AS INTEGER) AS season, avg(stat_value) FILTER (WHERE stat_name = 'PTS') AS PTS, avg(stat_value) FILTER (WHERE stat_name = 'REB') AS REB, avg(stat_value) FILTER (WHERE stat_name = 'AST') AS AST FROM pstats GROUP BY 1, 2),
-r AS (SELECT player, season, """ + ", ".join(f"(rank() OVER (PARTITION BY season ORDER BY {c}) + (count(*) OVER (PARTITION BY season, {c}) - 1) / 2.0) / count(*) OVER (PARTITION BY season) AS {c}" for c in ("PTS", "REB", "AST")) + """ FROM s)
-SELECT player, season, CASE WHEN PTS >= 0.6 AND AST >= 0.6 THEN 'combo' WHEN AST >= 0.7 THEN 'facilitator' WHEN PTS >= 0.7 THEN 'scorer' WHEN REB >= 0.7 THEN 'rim' ELSE 'perimeter' END AS archetype, round(PTS, 6) AS pts_rank FROM r""",
+    f"""WITH {with_views('pstats')}, s AS (SELECT player, CAST(year(stat_date) AS INTEGER) AS season, """
+    + ", ".join(f"avg(stat_value) FILTER (WHERE stat_name = '{n}') AS {c}" for c, n in (("ppg", "PTS"), ("reb", "REB"), ("ast", "AST"), ("blk", "BLK"), ("stl", "STL")))
+    + """ FROM pstats GROUP BY 1, 2),
+u AS (SELECT *, CASE WHEN season >= 1995 THEN 10.0 + player % 25 END AS minutes, CASE WHEN season >= 1995 THEN CAST((player * 7) % 31 AS DOUBLE) END AS usage, CASE WHEN season >= 1995 THEN ast / (10.0 + player % 25) END AS ast_rate FROM s),
+r AS (SELECT player, season, """
+    + ", ".join(f"CASE WHEN {c} IS NOT NULL THEN (rank() OVER (PARTITION BY season ORDER BY {c} NULLS LAST) + (count(*) OVER (PARTITION BY season, {c}) - 1) / 2.0) / count({c}) OVER (PARTITION BY season) END AS {c}" for c in ("ppg", "ast", "blk", "reb", "stl", "usage", "ast_rate"))
+    + """ FROM u)
+SELECT player, season, CASE WHEN CASE WHEN usage IS NOT NULL THEN usage >= 0.8 AND ast_rate >= 0.8 ELSE ppg >= 0.85 AND ast >= 0.85 END THEN 'combo' WHEN ast >= 0.65 AND ppg <= 0.35 THEN 'facilitator'
+  WHEN ppg >= 0.65 AND ast <= 0.35 THEN 'scorer' WHEN blk >= 0.75 AND reb >= 0.75 THEN 'rim_protector' WHEN blk <= 0.3 AND stl >= 0.7 THEN 'perimeter_specialist' END AS archetype, round(ppg, 6) AS ppg_pct FROM r""",
 )
 def archetypes(spark: SparkSession, sf: str) -> DataFrame:
-    s = player_stats(spark, sf).groupBy("player", F.year("stat_date").alias("season")).pivot("stat_name", ["PTS", "REB", "AST"]).agg(F.avg("stat_value"))
-    out = O.archetype_rules(s, "season", {"combo": 0.6, "facilitator": 0.7, "scorer": 0.7, "rim": 0.7})
-    return out.select("player", "season", "archetype", r6(F.col("_PTS")).alias("pts_rank"))
+    s = player_stats(spark, sf).groupBy("player", F.year("stat_date").alias("season")).pivot("stat_name", ["PTS", "REB", "AST", "BLK", "STL"]).agg(F.avg("stat_value")).toDF("player", "season", "ppg", "reb", "ast", "blk", "stl")
+    known = F.col("season") >= 1995  # minutes and usage are on record from then on only
+    s = s.withColumns({"minutes": F.when(known, 10.0 + F.col("player") % 25), "usage": F.when(known, ((F.col("player") * 7) % 31).cast("double"))})
+    return O.archetype_rules(s, "season").select("player", "season", "archetype", r6(F.col("ppg_pct")).alias("ppg_pct"))

@@ -62,7 +62,7 @@ def robust_minimum(spark: SparkSession, sf: str) -> DataFrame:
 pre AS (SELECT market, arg_max(r, (ts, event_id)) AS pregame_price FROM t WHERE ts < {START} GROUP BY 1),
 vb AS (SELECT market, min(v) AS min_vwap, count(*) AS n_bars FROM (SELECT market, time_bucket(INTERVAL 6 HOUR, ts) AS x, sum(r * size) / sum(size) AS v FROM t WHERE ts >= {START} GROUP BY 1, 2) GROUP BY 1)
 SELECT m.market, round(pregame_price, 6) AS pregame_price, round(raw_min, 6) AS raw_min, round(robust_min, 6) AS robust_min, round(min_vwap, 6) AS min_vwap, CAST(coalesce(n_trades, 0) AS BIGINT) AS n_trades, CAST(n_bars AS BIGINT) AS n_bars,
-  CASE WHEN coalesce(n_trades, 0) = 0 THEN 'no_live_trades' WHEN pregame_price IS NULL THEN 'no_pregame' WHEN n_trades < 20 THEN 'thin' ELSE 'ok' END AS quality
+  CASE WHEN coalesce(n_trades, 0) < 20 THEN 'sparse_trades' ELSE 'ok' END AS quality
 FROM (SELECT DISTINCT market FROM t) m LEFT JOIN pre USING (market) LEFT JOIN live USING (market) LEFT JOIN vb USING (market)""",
 )
 def tick_summary(spark: SparkSession, sf: str) -> DataFrame:

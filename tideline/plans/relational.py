@@ -217,13 +217,13 @@ def game_dates_by_era(spark: SparkSession, sf: str) -> DataFrame:
 SELECT game_id, CASE WHEN month(game_date) >= 10 THEN printf('%04d-%02d', year(game_date), (year(game_date) + 1) % 100) ELSE printf('%04d-%02d', year(game_date) - 1, year(game_date) % 100) END AS season,
   CASE WHEN sid - 20000 BETWEEN 1946 AND 2028 THEN printf('%04d-%02d', sid - 20000, (sid - 20000 + 1) % 100) END AS season_text,
   CASE WHEN sid - 20000 BETWEEN 1946 AND 2028 THEN sid END AS back,
-  -4.5 - game_id % 3 AS line, 200.0 + game_id % 30 AS total, CAST(game_date AS TIMESTAMP) AS starts FROM s""",
+  CAST(-4.5 - game_id % 3 AS DOUBLE) AS line, CAST(200.0 + game_id % 30 AS DOUBLE) AS total, CAST(game_date AS TIMESTAMP) AS starts FROM s""",
 )
 def season_and_line_parsing(spark: SparkSession, sf: str) -> DataFrame:
     g = games(spark, sf).withColumn("sid", F.col("season_id") - 22000 + 21990)
     text = C.season_id_to_text(F.col("sid"), 2028)
     spread = F.concat(F.lit("Spread: Home ("), F.format_string("%.1f", F.lit(-4.5) - F.col("game_id") % 3), F.lit(")"))
-    total = F.concat(F.lit("Over/Under "), F.format_string("%.1f", F.lit(200.0) + F.col("game_id") % 30))
+    total = F.concat(F.lit("A vs. B: O/U "), F.format_string("%.1f", F.lit(200.0) + F.col("game_id") % 30))
     starts = C.first_timestamp(F.lit("soon"), F.col("game_date").cast("string"))
     return g.select("game_id", C.season_of(F.col("game_date")).alias("season"), text.alias("season_text"), C.season_text_to_id(text, 2028).cast("int").alias("back"), C.spread_line(spread).alias("line"), C.totals_line(total).alias("total"), starts.alias("starts"))
 
@@ -243,7 +243,7 @@ def impact_clipping(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", C.clip_impact(-F.col("o_totalprice") / 10000, F.lit(12.0) + F.col("o_orderkey") % 9, F.lit(20.0)).alias("impact"))
 
 
-@query("A10, A11", f"WITH {with_views('pstats')} SELECT player, year(stat_date) AS season, CAST(count(DISTINCT stat_date) AS BIGINT) AS days, round(avg(stat_value) FILTER (WHERE stat_name = 'PTS'), 6) AS PTS, round(avg(stat_value) FILTER (WHERE stat_name = 'REB'), 6) AS REB, round(avg(stat_value) FILTER (WHERE stat_name = 'AST'), 6) AS AST FROM pstats GROUP BY 1, 2")
+@query("A10, A11", f"WITH {with_views('pstats')} SELECT player, CAST(year(stat_date) AS INTEGER) AS season, CAST(count(DISTINCT stat_date) AS BIGINT) AS days, round(avg(stat_value) FILTER (WHERE stat_name = 'PTS'), 6) AS PTS, round(avg(stat_value) FILTER (WHERE stat_name = 'REB'), 6) AS REB, round(avg(stat_value) FILTER (WHERE stat_name = 'AST'), 6) AS AST FROM pstats GROUP BY 1, 2")
 def stats_pivot(spark: SparkSession, sf: str) -> DataFrame:
     s = player_stats(spark, sf).withColumn("season", F.year("stat_date"))
     wide = s.groupBy("player", "season").pivot("stat_name", ["PTS", "REB", "AST"]).agg(F.avg("stat_value"))

@@ -100,8 +100,8 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def player_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """player, stat_date, stat_name, stat_value: one value a player, day and statistic, from lineitem."""
     li = table(spark, sf_dir, "lineitem")
-    daily = li.groupBy(F.col("l_suppkey").alias("player"), F.to_date("l_shipdate").alias("stat_date")).agg(F.sum("l_quantity").alias("PTS"), F.count("*").cast("double").alias("REB"), F.max("l_linenumber").cast("double").alias("AST"))
-    return daily.unpivot(["player", "stat_date"], ["PTS", "REB", "AST"], "stat_name", "stat_value")
+    daily = li.groupBy(F.col("l_suppkey").alias("player"), F.to_date("l_shipdate").alias("stat_date")).agg(F.sum("l_quantity").alias("PTS"), F.count("*").cast("double").alias("REB"), F.max("l_linenumber").cast("double").alias("AST"), F.sum(F.round(F.col("l_discount") * 100).cast("long")).cast("double").alias("BLK"), F.sum(F.round(F.col("l_tax") * 100).cast("long")).cast("double").alias("STL"))
+    return daily.unpivot(["player", "stat_date"], ["PTS", "REB", "AST", "BLK", "STL"], "stat_name", "stat_value")
 
 
 def injuries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +115,7 @@ def injuries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where(F.col("x") % 5 != 0).select("game_id", "game_date", "team", "player", status.alias("status"), reason.alias("reason"))
 
 
-REASONS = ("Torn left ACL", "Right ankle sprain", "Illness", "Rest", "Sore knee", "G League - Two-Way", "Concussion Protocol", "Fractured hand")
+REASONS = ("Torn left ACL", "Right ankle sprain", "Illness", "Rest", "Sore knee", "G League - Two-Way", "Coach's Decision", "Fracture, hand")
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,13 +160,13 @@ _SQL = {
         """SELECT user_id AS market, ts, least(0.99, greatest(0.01, floor(value / 600.0 * 10000) / 10000.0)) AS price, event_id % 20 + 1 AS size,
        CASE WHEN event_type IN ('purchase', 'click') THEN 'BUY' ELSE 'SELL' END AS side, event_id % 2 = 0 AS is_ref, event_id FROM events""",
     ),
-    "pdaily": ((), "SELECT l_suppkey AS player, CAST(l_shipdate AS DATE) AS stat_date, sum(l_quantity) AS PTS, CAST(count(*) AS DOUBLE) AS REB, CAST(max(l_linenumber) AS DOUBLE) AS AST FROM lineitem GROUP BY 1, 2"),
-    "pstats": (("pdaily",), "SELECT player, stat_date, 'PTS' AS stat_name, PTS AS stat_value FROM pdaily UNION ALL SELECT player, stat_date, 'REB', REB FROM pdaily UNION ALL SELECT player, stat_date, 'AST', AST FROM pdaily"),
+    "pdaily": ((), "SELECT l_suppkey AS player, CAST(l_shipdate AS DATE) AS stat_date, sum(l_quantity) AS PTS, CAST(count(*) AS DOUBLE) AS REB, CAST(max(l_linenumber) AS DOUBLE) AS AST, CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) AS BLK, CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) AS STL FROM lineitem GROUP BY 1, 2"),
+    "pstats": (("pdaily",), "SELECT player, stat_date, 'PTS' AS stat_name, PTS AS stat_value FROM pdaily UNION ALL SELECT player, stat_date, 'REB', REB FROM pdaily UNION ALL SELECT player, stat_date, 'AST', AST FROM pdaily UNION ALL SELECT player, stat_date, 'BLK', BLK FROM pdaily UNION ALL SELECT player, stat_date, 'STL', STL FROM pdaily"),
     "inj": (
         ("tg",),
         "SELECT game_id, game_date, team, CAST(team * 15 + slot * 5 + (game_id // 15 + slot) % 5 AS BIGINT) AS player, "
         "(['Out', 'Doubtful', 'Questionable', 'Available'])[x % 4 + 1] AS status, (["
-        + ", ".join(f"'{r}'" for r in REASONS)
+        + ", ".join("'" + r.replace("'", "''") + "'" for r in REASONS)
         + f"])[x % {len(REASONS)} + 1] AS reason FROM (SELECT game_id, game_date, team, slot, game_id * 3 + team + slot AS x FROM tg, range(3) t(slot)) WHERE x % 5 <> 0",
     ),
     "snaps": (

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.columns import safe_div
-from tideline.operators.elo import EloRules, step
+from tideline.operators.elo import EloRules, entering, step
 from tideline.session import ship_package
 
 
@@ -32,19 +32,17 @@ def streaming_elo(games: DataFrame, rules: EloRules = EloRules()) -> DataFrame:
     def update(key, batches: Iterator, state) -> Iterator:
         import pandas as pd
 
-        season, teams, values = state.get if state.exists else (None, [], [])
-        ratings = dict(zip(teams, values, strict=True))
+        teams, values, seasons = state.get if state.exists else ([], [], [])
+        ratings, played = dict(zip(teams, values, strict=True)), dict(zip(teams, seasons, strict=True))
         rows = pd.concat(list(batches)).sort_values(["game_date", "game_id"], kind="stable")
         out = []
         for r in rows.itertuples():
-            if season is not None and r.season_id != season:
-                ratings = {t: rules.initial + (1 - rules.regression) * (x - rules.initial) for t, x in ratings.items()}
-            season = int(r.season_id)
-            h, a = ratings.get(r.home, rules.initial), ratings.get(r.away, rules.initial)
+            home, away, season = int(r.home), int(r.away), int(r.season_id)
+            h, a = entering(ratings, played, home, season, rules), entering(ratings, played, away, season, rules)
             out.append((r.game_id, h, a))
             d = step(h, a, r.margin, rules)
-            ratings[int(r.home)], ratings[int(r.away)] = h + d, a - d
-        state.update((season, list(ratings), list(ratings.values())))
+            ratings[home], ratings[away] = h + d, a - d
+        state.update((list(ratings), list(ratings.values()), [played[t] for t in ratings]))
         yield pd.DataFrame(out, columns=["game_id", "elo_home", "elo_away"])
 
-    return lean.groupBy("league").applyInPandasWithState(update, "game_id long, elo_home double, elo_away double", "season int, teams array<int>, ratings array<double>", "append", "NoTimeout")
+    return lean.groupBy("league").applyInPandasWithState(update, "game_id long, elo_home double, elo_away double", "teams array<int>, ratings array<double>, seasons array<int>", "append", "NoTimeout")
