@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -37,7 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset one of our own (single-machine runs)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="tideline-")
+        own = tempfile.mkdtemp(prefix="tideline-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        where = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
