@@ -9,6 +9,8 @@ It is one narrow scan: no shuffle, memory bounded by a batch and the memo.
 
 from __future__ import annotations
 
+import functools
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -17,8 +19,8 @@ from pyspark.sql import functions as F
 
 from tideline.llm._common import one_thread, pick, table, tokenizer_path
 
-#: Distinct pre-tokens that a task remembers; beyond it the memo starts anew.
-MEMO = 400_000
+#: Distinct pre-tokens that a Python worker remembers, twice over; beyond it those that were not used lately are forgotten.
+MEMO = 200_000
 
 
 class Codec:
@@ -45,60 +47,78 @@ class Codec:
             self.bytes_of[i] = text.encode()
         self.text_of = list(map(str, range(len(self.bytes_of))))
         self.inside = inside
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.fragments: dict[bytes, tuple[int, ...]] = {}
+        self.code = "H" if len(self.bytes_of) <= 1 << 16 else "I"
+        self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def cuts(self, raw: bytes) -> list[int]:
         """Places in raw where no token can reach across."""
         inside = self.inside
         return [k for k, (a, b) in enumerate(zip(raw, raw[1:], strict=False), 1) if not inside[a << 8 | b]]
 
-    def _fragment(self, raw: bytes) -> tuple[int, ...]:
-        ids = self.fragments.get(raw)
-        if ids is None:
-            ids = tuple(t.id for t in self.model.tokenize("".join(map(self.chars.__getitem__, raw))))
-            self.fragments[raw] = ids
-        return ids
-
-    def _word(self, word: str) -> tuple[int, ...]:
-        raw = word.encode()
-        edges = [0, *self.cuts(raw), len(raw)]
-        ids = tuple(chain.from_iterable(self._fragment(raw[i:j]) for i, j in zip(edges, edges[1:], strict=False)))
-        self.words[word] = ids
-        return ids
-
-    def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        if len(self.words) > MEMO or len(self.fragments) > MEMO:
-            self.words.clear()
-            self.fragments.clear()
-        known, learn = self.words, self._word
+    def _word(self, word: str) -> bytes:
+        """A pre-token's ids, packed: its fragments between certain cuts are encoded independently and concatenated."""
+        packed = self.old.get(word)
+        if packed is None:
+            raw = word.encode()
+            edges = [0, *self.cuts(raw), len(raw)]
+            ids = array(self.code)
+            for i, j in zip(edges, edges[1:], strict=False):
+                ids.extend([t.id for t in self.model.tokenize("".join(map(self.chars.__getitem__, raw[i:j])))])
+            packed = ids.tobytes()
+        self.words[word] = packed
+        return packed
+
+    def encode(self, text: str) -> array:
+        """The text's ids. Pre-tokens that were used since the memo last filled up are not encoded again."""
+        if len(self.words) > MEMO:
+            self.old, self.words = self.words, {}
+        known, packed = self.words, []
         for k, part in enumerate(self.pre.segments(text)):
             if k % 2:
-                ids.append(self.pre.specials[part])
+                packed.append(array(self.code, [self.pre.specials[part]]).tobytes())
                 continue
             words = self.pre.words(part)
             try:
-                ids.extend(chain.from_iterable([known[w] for w in words]))
+                packed += [known[w] for w in words]
             except KeyError:
-                ids.extend(chain.from_iterable([known.get(w) or learn(w) for w in words]))
+                packed += [known.get(w) or self._word(w) for w in words]
+        ids = array(self.code)
+        ids.frombytes(b"".join(packed))
         return ids
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
-    def joined(self, ids: list[int]) -> str:
+    def joined(self, ids) -> str:
         return ",".join(map(self.text_of.__getitem__, ids))
 
 
+@functools.cache
+def _codec(path: str) -> Codec:
+    """One for all tasks that a Python worker runs, so that its memo stays warm."""
+    return Codec(path)
+
+
+def _lists(arrays: list[array]):
+    """Arrays of ids -> an Arrow list<int32>."""
+    import numpy as np
+    import pyarrow as pa
+
+    flat = [np.frombuffer(a, np.uint16 if a.typecode == "H" else np.uint32) for a in arrays]
+    offsets = np.concatenate([[0], np.cumsum([len(f) for f in flat])]).astype(np.int32)
+    values = np.concatenate(flat).astype(np.int32) if flat else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
 def _encode(path: str):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        codec = Codec(path)
+        codec = _codec(path)
         for batch in batches:
             ids = [codec.encode(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(ids)], names=["doc_id", "ids"])
 
     return run
 
@@ -107,7 +127,7 @@ def _decode(path: str):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        codec = Codec(path)
+        codec = _codec(path)
         for batch in batches:
             texts = [codec.decode(i or []) for i in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
@@ -121,7 +141,7 @@ def _digests(path: str):
 
         import pyarrow as pa
 
-        codec = Codec(path)
+        codec = _codec(path)
         for batch in batches:
             n, of_ids, of_text = [], [], []
             for i in range(len(batch)):  # one text at a time: ids of a whole batch need not be in memory
@@ -138,13 +158,13 @@ def _checked(path: str):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        codec = Codec(path)
+        codec = _codec(path)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 texts = [t or "" for t in batch.column(1).slice(i, 256).to_pylist()]
                 ids = [codec.encode(t) for t in texts]
                 same = [codec.decode(d) == t for d, t in zip(ids, texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 256), pa.array(list(map(len, ids)), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same)], names=["doc_id", "n_tokens", "ids", "round_trip"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 256), pa.array(list(map(len, ids)), pa.int64()), _lists(ids), pa.array(same)], names=["doc_id", "n_tokens", "ids", "round_trip"])
 
     return run
 
