@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -106,10 +107,16 @@ def text_evidence(model: TextModel, text: Column) -> Column:
     return evidence(text)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often body and later projections or filters use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _softmax(logs: Column) -> Column:
-    top = F.array_max(logs)
-    powers = F.transform(logs, lambda x: F.exp(x - top))
-    return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, y: a + y))
+    def shares(powers: Column) -> Column:
+        return _let(F.aggregate(powers, F.lit(0.0), lambda a, y: a + y), lambda total: F.transform(powers, lambda x: x / total))
+
+    return _let(logs, lambda v: _let(F.array_max(v), lambda top: _let(F.transform(v, lambda x: F.exp(x - top)), shares)))
 
 
 def _sums(rows: DataFrame, key: list[str], n: int) -> DataFrame:
@@ -160,20 +167,23 @@ def identify(rows: DataFrame, model: TextModel, *, text: Column, declared: Colum
     full = rows.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], *[v.alias(k) for k, v in keys.items()], text_evidence(model, text).alias("logs"))
     for t, key, width in ((d, ["_d"], 256), (s, ["_s"], 256), (host, ["_m", "_h"], 512)):
         full = full.join(maybe_broadcast(t, t.count(), width), key, "left")
-    own = full.withColumn("soft", _softmax(F.col("logs")))
+    names = F.array(*map(F.lit, model.languages))
 
-    def log_prior(i: int) -> Column:
+    def log_prior(i: int, soft: Column) -> Column:
         share = F.get("domain_share", F.lit(i))
-        smoothed = (F.greatest(F.get("host_sums", F.lit(i)) - F.get("soft", F.lit(i)), F.lit(0.0)) + SMOOTH * share) / (F.greatest(F.col("host_rows") - 1, F.lit(0)) + SMOOTH)
+        smoothed = (F.greatest(F.get("host_sums", F.lit(i)) - F.get(soft, F.lit(i)), F.lit(0.0)) + SMOOTH * share) / (F.greatest(F.col("host_rows") - 1, F.lit(0)) + SMOOTH)
         return F.when(F.col("_h") == "", F.log(F.lit(prior[i]))).otherwise(F.log(smoothed))
 
-    logs = F.array(*[F.get("logs", F.lit(i)) + F.get("declared_logs", F.lit(i)) + F.get("suffix_logs", F.lit(i)) + log_prior(i) for i in range(n)])
-    fused = own.withColumn("post", _softmax(logs)).withColumn("best", F.array_max("post"))
+    def evidence(soft: Column) -> Column:
+        return F.array(*[F.get("logs", F.lit(i)) + F.get("declared_logs", F.lit(i)) + F.get("suffix_logs", F.lit(i)) + log_prior(i, soft) for i in range(n)])
+
+    def decision(post: Column) -> Column:
+        return _let(F.array_max(post), lambda best: F.struct(F.element_at(names, F.array_position(post, best).cast("int")).alias("language"), best.alias("posterior")))
+
     silent = F.forall("logs", lambda x: x == 0)
-    names = F.array(*map(F.lit, model.languages))
-    language = F.when(silent, F.lit(UND)).otherwise(F.element_at(names, F.array_position("post", F.col("best")).cast("int")))
-    posterior = F.when(silent, F.lit(1.0)).otherwise(F.col("best"))
-    decided = fused.select(*[F.col(f"c{i}") for i in range(len(kept))], language.alias("language"), posterior.alias("posterior"))
+    nothing = F.struct(F.lit(UND).alias("language"), F.lit(1.0).alias("posterior"))
+    fused = full.withColumn("_r", F.when(silent, nothing).otherwise(_let(_softmax(F.col("logs")), lambda soft: _let(_softmax(evidence(soft)), decision))))
+    decided = fused.select(*[F.col(f"c{i}") for i in range(len(kept))], F.col("_r.language").alias("language"), F.col("_r.posterior").alias("posterior"))
     return decided.withColumn("accepted", (F.col("language") != UND) & (F.col("posterior") >= LEAST)).toDF(*kept, "language", "posterior", "accepted")
 
 
