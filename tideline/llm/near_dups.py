@@ -6,10 +6,12 @@ function's range, so that sets smaller than the number of buckets fill all of th
 keys; candidates pass an estimate of their similarity from the registers, corrected for registers that agree by accident, and
 are confirmed on full sets.
 
-Equal sets are one node from the start. Inside a band's bucket every node is first compared with the bucket's smallest node
-only (its best such partner over all bands); links found that way join nodes to components. Then, in buckets that still hold
-several components, nodes outside the largest one meet all nodes of other components. So a group of n near copies costs about n
-comparisons, and no pair that could join two components is left out.
+Equal sets are one node from the start. Inside a band's bucket every node is first compared with the bucket's hub only, the node
+with the most company over all bands (of its hubs the likeliest one); confirmed links join nodes to components. A second such
+round takes hubs from each bucket's largest component. Then, in buckets that still hold several components, nodes outside the
+largest one meet all nodes of other components, but for pairs that an upper bound of their intersection rules out: the rare
+shingles that both hold, and the smaller of their numbers of common ones. So a group of n near copies costs about n comparisons,
+a crowd that has a passage in common but is not linked costs few, and no pair that could join two components is left out.
 
 A pair at similarity s shares no band with probability (1 - s**ROWS)**BANDS: 3e-6 at 0.8, 2e-8 at 0.85. An estimate falls 0.16
 below the truth (five standard deviations at 0.8) with a probability under 1e-6.
@@ -29,6 +31,8 @@ BANDS = 32
 ROWS = 5
 MANTISSA = 10
 MARGIN = 0.16
+#: A shingle in at most so many sets is rare: sets that share it are few.
+RARE = 128
 
 
 def _mix(h):
@@ -214,6 +218,43 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * (F.size("set_a") + F.size("set_b") - F.col("common"))).select("a", "b")
 
 
+def _best(estimated: DataFrame) -> DataFrame:
+    """Of each node's pairs the likeliest."""
+    return estimated.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")).select("a", "b")
+
+
+def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components: key, node, weight, component and the bucket's largest component."""
+    known = members.join(found, "node", "left").select("key", "node", "weight", F.coalesce("component", "node").alias("component"))
+    known = stage(known, "known")
+    per = known.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("parts"))
+    return stage(known.join(per.where("parts > 1").select("key", "most"), "key"), "mixed")
+
+
+def _held(sets: DataFrame, percent: int) -> DataFrame:
+    """What bounds an intersection with any other of these sets: n shingles, of them `common` in more than RARE of the sets, and the
+    rare ones that at least two sets hold. Nodes that can't reach the threshold with any other set are left out."""
+    tokens = sets.select("node", F.explode("shingles").alias("s"))
+    few = stage(tokens.groupBy("s").agg(F.count("*").alias("n"), F.min("node").alias("node")).where(F.col("n") <= RARE), "shingles")
+    once = few.where("n = 1").groupBy("node").agg(F.count("*").alias("once"))
+    rare = tokens.join(few.where("n > 1").select("s"), "s").groupBy("node").agg(F.collect_list("s").alias("rare"))
+    held = sets.select("node", F.size("shingles").alias("n")).join(once, "node", "left").join(rare, "node", "left")
+    held = held.select("node", "n", F.coalesce("once", F.lit(0)).alias("once"), F.coalesce("rare", F.array().cast("array<long>")).alias("rare"))
+    held = held.where(100 * (F.col("n") - F.col("once")) >= percent * F.col("n"))
+    return stage(held.select("node", "n", (F.col("n") - F.col("once") - F.size("rare")).alias("common"), "rare"), "held")
+
+
+def _possible(percent: int):
+    """Whether two nodes may reach the threshold: they share at most the rare shingles that both hold and the smaller number of
+    common ones. The cheap bound comes first."""
+
+    def reaches(most):
+        return 100 * most >= percent * (F.col("n_x") + F.col("n_y") - most)
+
+    common = F.least("common_x", "common_y")
+    return reaches(common + F.least(F.size("rare_x"), F.size("rare_y"))) & reaches(common + F.size(F.array_intersect("rare_x", "rare_y")))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
@@ -230,30 +271,39 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     nodes = stage(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     member = nodes.select("node", F.explode("keys").alias("key"))
-    shared = member.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
-    members = stage(member.join(shared.select("key", "first"), "key"), "buckets")
-    stars = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    likely = _estimated(stars, nodes, threshold).groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")).select("a", "b")
-
-    in_buckets = members.select("node").distinct().join(nodes.select("node", "digest", "label"), "node")
-    in_buckets = stage(in_buckets, "members")
-    n = in_buckets.count()
-    wanted = maybe_broadcast(in_buckets.select(F.col("label").alias("doc_id")).distinct(), n, 16)
-    again = source.join(wanted, "doc_id").select("text")
-    by_digest = again.mapInArrow(_full_sets(shingle), "digest binary, shingles array<long>")
-    named = by_digest.join(in_buckets.select("digest", "node"), "digest").select("node", "shingles").dropDuplicates(["node"])
-    sets = stage(named, "sets")
-
-    links = stage(_confirmed(likely, sets, percent), "links")
+    shared = member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = stage(member.join(shared, "key"), "buckets")
+    popular = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    members = stage(members.select("key", "node").join(popular, "node"), "buckets")
+    in_buckets = stage(popular.select("node").join(nodes.select("node", "digest", "label"), "node"), "members")
+    wanted = maybe_broadcast(in_buckets.select(F.col("label").alias("doc_id")).distinct(), in_buckets.count(), 16)
+    texts = source.join(wanted, "doc_id").select("text").union(source.where("doc_id IS NULL").select("text"))
+    made = texts.mapInArrow(_full_sets(shingle), "digest binary, shingles array<long>")
+    sets = stage(made.join(in_buckets.select("digest", "node"), "digest").select("node", "shingles").dropDuplicates(["node"]), "sets")
+
+    heaviest = F.max_by("node", F.struct("weight", "node"))
+    hubs = members.groupBy("key").agg(heaviest.alias("hub"))
+    stars = members.select("key", "node").join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    links = stage(_confirmed(_best(_estimated(stars, nodes, threshold)), sets, percent), "links")
     found = components(links)
 
-    known = members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    known = stage(known, "known")
-    per = known.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = known.join(per.select("key", "most"), "key")
-    left = mixed.where("component <> most").select("key", F.col("node").alias("x"), F.col("component").alias("cx"), "most")
-    right = mixed.select("key", F.col("node").alias("y"), F.col("component").alias("cy"))
-    rest = left.join(right, "key").where("cx <> cy AND (cy = most OR x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    mixed = _mixed(members, found)
+    hubs = mixed.where("component = most").groupBy("key").agg(heaviest.alias("hub"))
+    again = mixed.where("component <> most").join(hubs, "key").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    more = stage(_confirmed(_best(_estimated(again, nodes, threshold)), sets, percent), "links")
+    if not more.isEmpty():
+        links = links.union(more)
+        found = components(links)
+        mixed = _mixed(members, found)
+
+    held = _held(sets.join(mixed.select("node").distinct(), "node"), percent)
+    mixed = mixed.join(held, "node").join(nodes.select("node", "keys"), "node")
+    fields = ("node", "component", "n", "common", "rare", "keys")
+    left = mixed.where("component <> most").select("key", "most", *[F.col(c).alias(f"{c}_x") for c in fields])
+    right = mixed.select("key", *[F.col(c).alias(f"{c}_y") for c in fields])
+    rest = left.join(right, "key").where("component_x <> component_y AND (component_y = most OR node_x < node_y)").where(_possible(percent))
+    rest = rest.where("array_min(array_intersect(keys_x, keys_y)) = key")  # once, however many buckets they share
+    rest = rest.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
     more = stage(_confirmed(_estimated(rest, nodes, threshold), sets, percent), "links")
     if not more.isEmpty():
         found = components(links.union(more))
