@@ -292,8 +292,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     again = mixed.where("component <> most").join(hubs, "key").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     more = stage(_confirmed(_best(_estimated(again, nodes, threshold)), sets, percent), "links")
     if not more.isEmpty():
-        links = links.union(more)
-        found = components(links)
+        found = components(found.toDF("a", "b").union(more))
         mixed = _mixed(members, found)
 
     held = _held(sets.join(mixed.select("node").distinct(), "node"), percent)
@@ -306,7 +305,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rest = rest.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
     more = stage(_confirmed(_estimated(rest, nodes, threshold), sets, percent), "links")
     if not more.isEmpty():
-        found = components(links.union(more))
+        found = components(found.toDF("a", "b").union(more))
 
     joined = found.join(nodes.select("node", "label"), "node")
     smallest = joined.groupBy("component").agg(F.min("label").alias("least"))
