@@ -44,3 +44,9 @@ def _whole(spark, late, name):
 @pytest.mark.parametrize("name", ["standings_panel", "clinch_and_pressure", "preferred_opponent", "motivation_score"])
 def test_standings_of_all_seasons(spark, late, name):
     assert Counter(r.season_id for r in _whole(spark, late, name)) == {s: 6 * 30 for s in (22000, 22004, 22170)}
+
+
+@pytest.mark.parametrize("name", ["absence_streaks", "freshest_absence"])
+def test_absences_of_all_seasons(spark, late, name):
+    last = DAYS[-1] * PER_DAY
+    assert any(r.game_id >= last for r in _whole(spark, late, name))

@@ -97,7 +97,7 @@ def absence_streaks(spark: SparkSession, sf: str) -> DataFrame:
 
 def _streaks(spark: SparkSession, sf: str) -> DataFrame:
     i = injuries(spark, sf)
-    tg = perspective(games(spark, sf)).where("season_id <= 22002").select("team", "game_id", "game_date")
+    tg = perspective(games(spark, sf)).select("team", "game_id", "game_date")
     return O.absence_streaks(tg.join(i.select("player", "team").distinct(), "team"), i)
 
 
