@@ -50,3 +50,9 @@ def test_standings_of_all_seasons(spark, late, name):
 def test_absences_of_all_seasons(spark, late, name):
     last = DAYS[-1] * PER_DAY
     assert any(r.game_id >= last for r in _whole(spark, late, name))
+
+
+def test_calibration_of_all_seasons(spark, late):
+    games = [d * PER_DAY + s for d in DAYS for s in range(PER_DAY)]
+    rows = _whole(spark, late, "calibration_deltas")
+    assert sum(r.n_missing for r in rows) == 2 * 2 * sum(g % 4 == 0 for g in games)  # two sides, two metrics

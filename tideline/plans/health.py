@@ -140,7 +140,7 @@ u AS (SELECT archetype, weight, 'pace' AS metric, pace AS value FROM i WHERE ins
 SELECT archetype, metric, round(sum(CASE WHEN weight > 0 THEN weight * value END) / sum(CASE WHEN weight > 0 THEN weight END) - avg(CASE WHEN weight = 0 THEN value END), 4) AS delta, CAST(count(*) FILTER (WHERE weight > 0) AS BIGINT) AS n_missing FROM u GROUP BY 1, 2""",
 )
 def calibration_deltas(spark: SparkSession, sf: str) -> DataFrame:
-    tg = perspective(games(spark, sf), "ast").where("season_id <= 22004")
+    tg = perspective(games(spark, sf), "ast")
     weight = F.when(F.col("game_id") % 4 == 0, F.pow(F.lit(0.5), (F.col("game_id") % 5) / 5.0)).otherwise(0.0)
     v = tg.select("team", "season_id", (F.col("game_id") % 3).cast("int").alias("archetype"), weight.alias("weight"), F.col("pts").cast("double").alias("pace"), F.col("ast").cast("double").alias("assists"))
     return O.calibration(v, "archetype", ["pace", "assists"])
