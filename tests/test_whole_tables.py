@@ -56,3 +56,7 @@ def test_calibration_of_all_seasons(spark, late):
     games = [d * PER_DAY + s for d in DAYS for s in range(PER_DAY)]
     rows = _whole(spark, late, "calibration_deltas")
     assert sum(r.n_missing for r in rows) == 2 * 2 * sum(g % 4 == 0 for g in games)  # two sides, two metrics
+
+
+def test_date_spine_of_all_seasons(spark, late):
+    assert Counter(r.season_id for r in _whole(spark, late, "date_spine")) == {s: 6 * 30 for s in (22000, 22004, 22170)}
