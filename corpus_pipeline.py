@@ -54,8 +54,9 @@ def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample in which sources, languages and topics have their target weights."""
-    return mixed(docs, share=MIX_SHARE).where("taken").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """A sample in which sources, languages and topics have their target weights; documents repeat where these need it."""
+    taken = mixed(docs, share=MIX_SHARE).where("taken").withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

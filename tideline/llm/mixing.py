@@ -1,9 +1,10 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents fall into cells (source, language, topic); one aggregation sums their tokens. Raking multiplies the cells until the
-token totals by source, by language and by topic are the targets. A document's probability is its cell's weight times one scale,
-at most 1, with the scale chosen so that the expected tokens are the wanted share of the corpus; a document is taken if a hash of its id
-falls under its probability, which needs no shuffle and gives the same sample on every run.
+token totals by source, by language and by topic are the targets. A document's expected number of copies is its cell's weight
+times one scale, so that the expected tokens are the wanted share of the corpus. Where the targets allow it, raking keeps to one
+copy at most; where a target asks for more tokens than its documents hold, documents repeat. The fraction of a copy falls to a
+hash of the id, which needs no shuffle and gives the same sample on every run.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from tideline.llm._common import maybe_broadcast, pick, stage, table
 DRIVER_CELLS = 100_000
 ROUNDS = 60
 TOLERANCE = 1e-9
+#: Targets of a sample without repeats count as met within this share.
+CLOSE = 1e-6
 DIMS = ("source", "lang", "topic")
 #: Targets that are not given: the corpus' own shares to this power.
 TEMPER = 0.5
@@ -42,73 +45,81 @@ def tempered(totals: Mapping, power: float = TEMPER) -> dict:
     return {k: v / whole for k, v in powered.items()}
 
 
-def rake(cells: Mapping[tuple, float], targets: list[Mapping]) -> dict[tuple, float]:
-    """Cells' tokens -> cells' raked shares, by turns fitting each dimension's totals to its targets."""
+def rake(cells: Mapping[tuple, float], targets: list[Mapping], wanted: float | None = None) -> dict[tuple, float] | None:
+    """Cells' tokens -> cells' raked shares, by turns fitting each dimension's totals to its targets.
+
+    With wanted, the shares are those of a sample of so many tokens, in which no cell may have more tokens than it holds; None
+    where the targets can't be met so.
+    """
     import numpy as np
 
     keys = list(cells)
     x = np.array([float(cells[k]) for k in keys])
+    cap = np.full(len(x), np.inf) if wanted is None else x / wanted
     x = x / x.sum()
-    coded, wanted = [], []
+    coded, goals = [], []
     for d, target in enumerate(targets):
         names = {k: i for i, k in enumerate(dict.fromkeys(key[d] for key in keys))}
         coded.append(np.array([names[key[d]] for key in keys]))
         goal = np.array([float(target.get(k, 0)) for k in names])
-        wanted.append(goal / goal.sum())
+        goals.append(goal / goal.sum())
     for _ in range(ROUNDS):
         off = 0.0
-        for at, goal in zip(coded, wanted, strict=True):
-            now = np.bincount(at, weights=x, minlength=len(goal))
+        for at, goal in zip(coded, goals, strict=True):
+            full = x >= cap
+            held = np.bincount(at, weights=np.where(full, cap, 0.0), minlength=len(goal))
+            free = np.bincount(at, weights=np.where(full, 0.0, x), minlength=len(goal))
+            now = held + free
             off = max(off, float(np.abs(now - goal).max()))
-            x *= np.divide(goal, now, out=np.zeros_like(goal), where=now > 0)[at]
+            rise = (free > 0) & (goal > held)
+            by = np.divide(goal - held, free, out=np.divide(goal, now, out=np.zeros_like(goal), where=now > 0), where=rise)
+            x = x * by[at]
         if off < TOLERANCE:
             break
-    return dict(zip(keys, x.tolist(), strict=True))
+    if wanted is not None and not off < CLOSE:
+        return None
+    return dict(zip(keys, np.minimum(x, cap).tolist(), strict=True))
+
+
+def _gap(x: DataFrame, targets: list[DataFrame]) -> float:
+    """The largest deviation of raked totals from their targets, over all dimensions."""
+    gaps = [x.groupBy(d).agg(F.sum(F.least("raked", "cap")).alias("now")).join(t, d, "left").select(F.abs(F.col("now") - F.coalesce("goal", F.lit(0.0))).alias("gap")) for d, t in zip(DIMS, targets, strict=True)]
+    return gaps[0].union(gaps[1]).union(gaps[2]).agg(F.max("gap")).collect()[0][0]
 
 
-def _rake_by_joins(cells: DataFrame, targets: list[DataFrame]) -> DataFrame:
+def _rake_by_joins(cells: DataFrame, targets: list[DataFrame], wanted: float | None = None) -> DataFrame | None:
     """The same on DataFrames, for cell tables beyond DRIVER_CELLS: every round ends in a written table."""
     total = cells.agg(F.sum("tokens")).collect()[0][0]
-    x = cells.withColumn("raked", F.col("tokens") / total)
+    cap = F.lit(float("inf")) if wanted is None else F.col("tokens") / F.lit(float(wanted))
+    x = cells.select(*DIMS, "tokens", (F.col("tokens") / total).alias("raked"), cap.alias("cap"))
+    full, goal, held, free = F.col("raked") >= F.col("cap"), F.coalesce("goal", F.lit(0.0)), F.col("held"), F.col("free")
+    by = F.when((free > 0) & (goal > held), (goal - held) / free).when(held + free > 0, goal / (held + free)).otherwise(0.0)
     for _ in range(ROUNDS):
-        off = None
         for d, target in zip(DIMS, targets, strict=True):
-            now = x.groupBy(d).agg(F.sum("raked").alias("now")).join(target, d, "left").select(d, F.coalesce("goal", F.lit(0.0)).alias("goal"), "now")
-            if d == DIMS[0]:
-                off = now
-            x = x.join(now, d).withColumn("raked", F.when(F.col("now") > 0, F.col("raked") * F.col("goal") / F.col("now")).otherwise(0.0)).select(*DIMS, "tokens", "raked")
-        gap = off.agg(F.max(F.abs(F.col("now") - F.col("goal")))).collect()[0][0]
+            now = x.groupBy(d).agg(F.sum(F.when(full, F.col("cap")).otherwise(0.0)).alias("held"), F.sum(F.when(full, 0.0).otherwise(F.col("raked"))).alias("free"))
+            x = x.join(now.join(target, d, "left").select(d, by.alias("by")), d).select(*DIMS, "tokens", (F.col("raked") * F.col("by")).alias("raked"), "cap")
         x = stage(x, "raked")
+        gap = _gap(x, targets)
         if gap < TOLERANCE:
             break
-    return x
-
-
-def _scale(cells: DataFrame, wanted: float) -> float:
-    """s with sum(tokens * min(1, s * weight)) = wanted, by halving; each step is one small aggregation."""
-    low, high = 0.0, 1.0
-    at = lambda s: cells.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(s) * F.col("weight")))).collect()[0][0] or 0.0
-    while at(high) < wanted * (1 - 1e-12) and high < 1e15:
-        high *= 8
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if at(mid) < wanted else (low, mid)
-    return high
+    if wanted is not None and not gap < CLOSE:
+        return None
+    return x.select(*DIMS, "tokens", F.least("raked", "cap").alias("raked"))
 
 
 def mixed(docs: DataFrame, *, id_col: str = "doc_id", share: float = 0.5, targets: Mapping[str, Mapping] | None = None, tokens: Column | None = None, topic: Column | None = None, seed: int = 7) -> DataFrame:
-    """Every row of docs with topic, n_tokens, weight (raked share over own share of its cell), probability and taken.
+    """Every row of docs with topic, n_tokens, weight (raked share over own share of its cell), probability, taken and copies.
 
     targets maps "source", "lang" or "topic" to wanted shares; a dimension without one gets the corpus' shares to the power
     TEMPER. Values without a target get none. Null sources, languages and topics are the value ''. tokens and topic default to
-    the word count and topic_of the column text. Rows of no tokens are never taken (weight and probability 0). Rows with equal
+    the word count and topic_of the column text. The sample is to have share of the tokens, or all whose weight is above 0 if
+    these are fewer. copies says how often it has a row, by expectation scale * weight; probability is that of being in it at
+    all. No row repeats if the targets can be met without. Rows of no tokens are never taken (weight and probability 0). Rows with equal
     ids are taken together; rows without an id are drawn by their text. Columns of docs that carry a name of the result are
     replaced.
     """
-    import numpy as np
-
     spark = docs.sparkSession
-    made = ("topic", "n_tokens", "weight", "probability", "taken")
+    made = ("topic", "n_tokens", "weight", "probability", "taken", "copies")
     n = tokens if tokens is not None else words_in(F.col("text"))
     counted = docs.withColumn("_tokens", n.cast("long"))
     form = topic if topic is not None else topic_of(F.coalesce("text", F.lit("")), F.col("_tokens"))
@@ -118,6 +129,8 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", share: float = 0.5, target
     cells = stage(counted.select(*cell, "n_tokens").groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"), "cells")
     n_cells = cells.count()
     given = targets or {}
+    total = cells.agg(F.sum("tokens")).collect()[0][0] or 0
+    scale = 0.0
     if n_cells == 0:
         solved = cells.withColumn("raked", F.lit(0.0))
     elif n_cells <= DRIVER_CELLS:
@@ -129,6 +142,10 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", share: float = 0.5, target
                 sums[k[d]] = sums.get(k[d], 0) + v
             goals.append(given.get(name) or tempered(sums))
         raked = rake(rows, goals)
+        wanted = min(share * total, sum(v for k, v in rows.items() if raked[k] > 0))
+        scale = wanted / (total * sum(raked.values()))
+        if any(scale * raked[k] * total > v for k, v in rows.items()) and (single := rake(rows, goals, wanted)):
+            raked, scale = single, wanted / total
         solved = spark.createDataFrame([(*k, rows[k], raked[k]) for k in rows], "source string, lang string, topic string, tokens long, raked double")
     else:
         frames = []
@@ -141,31 +158,21 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", share: float = 0.5, target
                 whole = powered.agg(F.sum("p")).collect()[0][0]
                 frames.append(powered.select(name, (F.col("p") / whole).alias("goal")))
         solved = _rake_by_joins(cells, frames)
-    total = cells.agg(F.sum("tokens")).collect()[0][0] or 0
-    weighted = solved.withColumn("weight", F.col("raked") * total / F.col("tokens")).select(*DIMS, "tokens", "weight")
-    if n_cells <= DRIVER_CELLS:
-        rows = weighted.select("tokens", "weight").collect()
-        t, w = np.array([float(r.tokens) for r in rows]), np.array([r.weight for r in rows])
-        reachable, s = float(t[w > 0].sum()), 1.0
+        reachable, whole, most = solved.where("raked > 0").agg(F.sum("tokens"), F.sum("raked"), F.max(F.col("raked") / F.col("tokens"))).collect()[0]
         wanted = min(share * total, reachable)
-        while n_cells and (t * np.minimum(1, s * w)).sum() < wanted * (1 - 1e-12) and s < 1e15:
-            s *= 8
-        low = 0.0
-        for _ in range(200 if n_cells else 0):
-            mid = (low + s) / 2
-            low, s = (mid, s) if (t * np.minimum(1, mid * w)).sum() < wanted else (low, mid)
-    else:
-        weighted = stage(weighted, "weights")
-        reachable = weighted.where("weight > 0").agg(F.sum("tokens")).collect()[0][0] or 0
-        s = _scale(weighted, min(share * total, reachable))
+        scale = wanted / (total * whole)
+        if scale * most * total > 1 and (single := _rake_by_joins(cells, frames, wanted)) is not None:
+            solved, scale = single, wanted / total
+    weighted = solved.withColumn("weight", F.col("raked") * total / F.col("tokens")).select(*DIMS, "tokens", "weight")
     weights = maybe_broadcast(weighted.select(*[F.col(d).alias(f"_{d}") for d in DIMS], "weight"), n_cells, 128)
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.coalesce("text", F.lit(""))))), 11) / F.lit(float(1 << 53))
     on = [F.coalesce(F.col(d).cast("string"), F.lit("")) == F.col(f"_{d}") for d in DIMS]
     joined = counted.join(weights, on[0] & on[1] & on[2], "left").drop(*[f"_{d}" for d in DIMS])
-    p = F.when(F.col("n_tokens") > 0, F.least(F.lit(1.0), F.lit(float(s)) * F.coalesce("weight", F.lit(0.0)))).otherwise(0.0)
-    return joined.withColumns({"weight": F.coalesce("weight", F.lit(0.0)), "probability": p}).withColumn("taken", u < F.col("probability"))
+    expected = F.when(F.col("n_tokens") > 0, F.lit(float(scale)) * F.coalesce("weight", F.lit(0.0))).otherwise(0.0)
+    copies = (F.floor(expected) + (u < expected - F.floor(expected)).cast("int")).cast("int")
+    return joined.withColumns({"probability": F.least(F.lit(1.0), expected), "copies": copies, "weight": F.coalesce("weight", F.lit(0.0))}).withColumn("taken", F.col("copies") > 0)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text", "source", "lang")
-    return mixed(docs).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "taken")
+    return mixed(docs).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "taken", "copies")
