@@ -47,3 +47,19 @@ def test_pipeline_repeats_what_the_mixture_repeats(spark):
     out = corpus_pipeline.mixture(spark, docs, "")
     assert out.columns == docs.columns
     assert Counter(r.doc_id for r in out.collect()) == {r.doc_id: r.copies for r in mixed}
+
+
+def test_fit_by_joins_watches_all_dimensions(spark, monkeypatch):
+    """Sources meet their targets from the start, languages don't; one source has a target but no documents."""
+    rows = [(i, "w " * n, lang, source) for i, (n, lang, source) in enumerate([(40, "x", "a"), (10, "y", "a"), (15, "x", "b"), (35, "y", "b")])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1)
+    targets = {"source": {"a": 0.4, "b": 0.4, "gone": 0.2}, "lang": {"x": 0.7, "y": 0.3}}
+    want = {r.doc_id: r.weight for r in mixing.mixed(docs, share=0.1, targets=targets).collect()}
+    rounds, stage = [], mixing.stage
+    monkeypatch.setattr(mixing, "stage", lambda df, name: (rounds.append(name), stage(df, name))[1])
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", 0)
+    monkeypatch.setattr(mixing, "TOLERANCE", 1e-3)
+    monkeypatch.setattr(mixing, "ROUNDS", 12)
+    got = {r.doc_id: r.weight for r in mixing.mixed(docs, share=0.1, targets=targets).collect()}
+    assert got == {k: pytest.approx(v, abs=0.01) for k, v in want.items()}
+    assert 1 < rounds.count("raked") < 12

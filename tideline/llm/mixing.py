@@ -151,8 +151,10 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", share: float = 0.5, target
         frames = []
         for name in DIMS:
             if name in given:
-                whole = sum(given[name].values())
-                frames.append(spark.createDataFrame([(k, v / whole) for k, v in given[name].items()], f"{name} string, goal double"))
+                goals = spark.createDataFrame([(k, float(v)) for k, v in given[name].items()], f"{name} string, goal double")
+                here = goals.join(cells.select(name).distinct(), name, "left_semi")
+                whole = here.agg(F.sum("goal")).collect()[0][0]
+                frames.append(here.select(name, (F.col("goal") / whole).alias("goal")))
             else:
                 powered = cells.groupBy(name).agg(F.pow(F.sum("tokens"), TEMPER).alias("p"))
                 whole = powered.agg(F.sum("p")).collect()[0][0]
