@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -166,6 +168,7 @@ def test_winnowing_by_definition(spark, monkeypatch):
     monkeypatch.setattr(winnowing, "SEGMENT", 40)
     rng = random.Random(4)
     texts = ["", "a", "abcdefg", "abcdefgh", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "é\nñ" * 30, *["".join(rng.choice("abc \n") for _ in range(rng.randrange(400))) for _ in range(30)]]
+    texts += ["😀", "😀" * 7, "😀😁" * 40, "a😀" * 100, *["".join(rng.choice("ab\u0301é語😀🧑\U0001d54f\U0010fffd") for _ in range(rng.randrange(300))) for _ in range(30)]]
     _learn(spark, texts)
     got = winnowing.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert len(got) == len(texts)
@@ -174,10 +177,12 @@ def test_winnowing_by_definition(spark, monkeypatch):
 
 
 def test_edit_report(spark, monkeypatch):
-    monkeypatch.setattr(winnowing, "MIN_RANGE", 4)
+    monkeypatch.setattr(winnowing, "RANGE_BYTES", 500)
+    monkeypatch.setattr(winnowing, "FAN", 3)
     rng = random.Random(6)
-    texts = {i * 2: "".join(rng.choice("abcd e\n") for _ in range(rng.choice([0, 1, 5, 20, 60, 400]))) for i in range(40)}
+    texts = {i * 2: "".join(rng.choice(rng.choice(["abcd e\n", "é語😀🧑\U0001d54f"])) for _ in range(rng.choice([0, 1, 5, 20, 60, 120, 400]))) for i in range(120)}
     texts[6] = None
+    texts |= {10**12: "far from all others, " * 9, -(1 << 63): "the least id 😀", (1 << 63) - 1: "the greatest id"}
     rows = [(i, t, "x") for i, t in texts.items()] + [(None, "lonely text without an id", "x")]
     got = {r.doc_id: r for r in winnowing.edit_report(spark.createDataFrame(rows, "doc_id long, text string, place string").repartition(5)).collect()}
     assert len(got) == len(rows)
@@ -200,6 +205,31 @@ def test_edit_report(spark, monkeypatch):
     assert one.edited_sha256 == hashlib.sha256(b"abcdefghabcd").hexdigest() and one.near_next == 1
 
 
+def test_ranges_split_whatever_the_ids(spark, monkeypatch):
+    """One id far off and one id with a third of the rows: no range holds much more than its share."""
+    monkeypatch.setattr(winnowing, "RANGE_BYTES", 1000)
+    rows = [(i, f"text {i} of its own") for i in range(2000)] + [(10**12, "far")] + [(77, f"{i} of one id") for i in range(1000)]
+    laid = winnowing._with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text) for r in laid if r.place == 0) == Counter(rows)
+    sizes = Counter(r.range for r in laid if r.place == 0)
+    assert len(sizes) > 20 and max(sizes.values()) < 400
+    assert {r.range for r in laid if r.place} == set(sizes)
+
+
+def test_long_texts_take_linear_time(spark):
+    """A text in one piece is cut and chosen without starting over: 8 times the text takes nowhere near 64 times as long."""
+    words = [f"{k * 2654435761 % 1000003}" for k in range(100_000)]
+
+    def seconds(n):
+        docs = spark.createDataFrame([(1, " ".join(words * n))], "doc_id long, text string")
+        begin = time.monotonic()
+        assert winnowing.edit_report(docs).select("near_next").collect()[0].near_next == 1
+        return time.monotonic() - begin
+
+    seconds(1)
+    assert seconds(8) < 25 * max(1.0, seconds(1))
+
+
 def test_repeated_ids_follow_each_other(spark):
     got = winnowing.edit_report(spark.createDataFrame([(1, "bbbbbb"), (1, "aaaaaa"), (0, "cccccc")], "doc_id long, text string")).collect()
     assert {r.edited_sha256 for r in got} == {hashlib.sha256(t).hexdigest() for t in (b"aaaabb", b"bbbbcc", b"ccccaa")}

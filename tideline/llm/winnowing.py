@@ -4,16 +4,17 @@ Every K-gram of code points is hashed; of every window of WINDOW successive hash
 rightmost, and its position is kept. So two texts that share K + WINDOW - 1 code points share a chosen hash.
 
 A choice is one long, hash above and the inverted position below, so that the minimum of longs is the rightmost smallest hash.
-Window minima are two passes of four-way minima (4 * 4 = WINDOW). Long texts are taken SEGMENT windows at a time, which bounds
-what is held besides the chosen hashes; windows never cross a segment's end unseen, as segments overlap.
+Window minima are pairwise minima at distances 1, 2, 4 and 8 (their spans add up to WINDOW). Long texts are cut, in one pass,
+into overlapping stretches of SEGMENT windows, which bounds what is held besides the chosen hashes and keeps the work linear.
 
-Neighbours in id order come from one shuffle of the texts into id ranges (a range holds at least MIN_RANGE ids; there are at
-most MAX_RANGES, so the table that links neighbouring ranges is bounded); each range also receives the one document after its
-last.
+Neighbours in id order come from one shuffle of the texts into ranges of keys (the inverted id, then the text's first HEAD code
+points). The ranges' least keys are a sample of the keys by hash, evenly thinned: about one per RANGE_BYTES of text and at most
+MAX_RANGES in one broadcast row, whatever the ids are. Each range also receives the rows that begin the range after it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,8 +26,15 @@ from tideline.llm._common import pick, table
 K = 8
 WINDOW = 16
 SEGMENT = 16_384
-MIN_RANGE = 256
-MAX_RANGES = 16_384
+#: Code points that no window reaches beyond.
+SPAN = K + WINDOW - 1
+HEAD = 32
+RANGE_BYTES = 1 << 20
+#: Least keys are looked up FAN at a time, so MAX_RANGES of them in three steps.
+FAN = 64
+MAX_RANGES = FAN**3
+#: Keys that are drawn for each least key that is kept.
+DRAWS = 4
 _LOW = (1 << 32) - 1
 
 
@@ -40,19 +48,42 @@ def _count_to(n: Column) -> Column:
     return F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
 
 
-def _four(hashes: Column, step: int, n: Column) -> Column:
-    return F.transform(_count_to(n), lambda i: F.least(F.get(hashes, i), F.get(hashes, i + step), F.get(hashes, i + 2 * step), F.get(hashes, i + 3 * step)))
-
-
 def _hash(gram: Column) -> Column:
     return F.shiftright(F.xxhash64(gram), 8).bitwiseAND(F.lit((1 << 28) - 1))
 
 
-def _chosen_of(segment: Column, first: Column) -> Column:
-    """Window minima of one stretch of text whose first code point has the position `first`."""
-    grams = F.regexp_extract_all(segment, F.lit(f"(?s)(?=(.{{{K}}}))"), F.lit(1))
-    packed = F.transform(grams, lambda g, i: F.shiftleft(_hash(g), 32).bitwiseOR(F.lit(_LOW) - (first + i)))
-    return _let(packed, lambda h: _let(_four(h, 1, F.size(h)), lambda a: _four(a, 4, F.size(h) - WINDOW + 1)))
+def _choice(gram: Column, inverted: Column) -> Column:
+    return F.shiftleft(_hash(gram), 32) + inverted
+
+
+def _pairwise(values: Column, step: int) -> Column:
+    return _let(values, lambda v: F.zip_with(v, F.slice(v, F.lit(step + 1), F.size(v)), lambda x, y: F.least(x, y)))
+
+
+def _minima(packed: Column) -> Column:
+    """The distinct minima of all windows of WINDOW neighbours, or of all values if they are fewer."""
+    for step in (1, 2, 4, 8):
+        packed = _pairwise(packed, step)
+    return _let(packed, lambda v: F.array_distinct(F.slice(v, F.lit(1), F.greatest(F.size(v) - WINDOW + 1, F.lit(1)))))
+
+
+def _chosen_of(stretch: Column, last: Column) -> Column:
+    """Distinct window minima of a stretch of text; last is the inverted position of its first code point.
+
+    A match takes one code point and looks ahead at the gram, so a gram begins at every code point and nowhere else.
+    """
+    grams = F.regexp_extract_all(stretch, F.lit(f"(?s)(?=(.{{{K}}}))."), F.lit(1))
+    return _minima(F.transform(grams, lambda g, i: _choice(g, last - i)))
+
+
+def _stretches(text: Column) -> Column:
+    """The text in stretches that begin SEGMENT code points apart and hold SEGMENT windows each; the last holds the rest.
+
+    One pass of a pattern that counts exactly, so it neither starts over from the text's beginning nor goes deep.
+    """
+    over = SPAN - 1
+    cut = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{SEGMENT + over}}}|.+))(?:.{{{SEGMENT}}}|.+)"), F.lit(1))
+    return F.when(F.char_length(text) <= SEGMENT + over, F.array(text)).otherwise(F.filter(cut, lambda p: F.char_length(p) >= SPAN))
 
 
 def chosen(text: Column, at: Column | None = None) -> Column:
@@ -60,28 +91,42 @@ def chosen(text: Column, at: Column | None = None) -> Column:
 
     at: the position of the text's first code point, 0 if not given.
     """
-    at = F.lit(0) if at is None else at
+    last = F.lit(_LOW) if at is None else F.lit(_LOW) - at
     n = F.char_length(text)
-    windows = F.greatest(n - (K + WINDOW - 2), F.lit(1))
-    parts = F.transform(_count_to(F.ceil(windows / SEGMENT).cast("int")), lambda s: _chosen_of(F.substring(text, s * SEGMENT + 1, F.lit(SEGMENT + WINDOW + K - 2)), at + s * SEGMENT))
-    short = F.array(F.shiftleft(_hash(text), 32).bitwiseOR(F.lit(_LOW)))
-    return F.when(n >= K, F.array_distinct(F.flatten(parts))).when(n > 0, short).otherwise(F.array().cast("array<long>"))
+    parts = F.transform(_stretches(text), lambda p, s: _let(last - s * F.lit(SEGMENT), lambda first: _chosen_of(p, first)))
+    whole = _let(parts, lambda p: F.when(F.size(p) == 1, F.get(p, F.lit(0))).otherwise(F.array_distinct(F.flatten(p))))
+    return F.when(n >= K, whole).when(n > 0, F.array(_choice(text, last))).otherwise(F.array().cast("array<long>"))
 
 
 def _position(choice: Column) -> Column:
     return F.lit(_LOW) - choice.bitwiseAND(F.lit(_LOW))
 
 
-def chosen_of_edited(own: Column, edited: Column, kept: Column) -> Column:
-    """chosen(edited), where edited shares its first `kept` code points with the text that `own` was chosen from.
+def chosen_of_edited(edited: Column, kept: Column, own: Column, after: Column) -> Column:
+    """chosen(edited), where edited is the first `kept` code points of one text and the beginning of another.
 
-    A window that starts at s reads K + WINDOW - 1 code points, so windows up to kept - (K + WINDOW - 1) are the same in both texts,
-    and so is which positions up to there are chosen. Later positions lie in windows that start at most WINDOW - 1 before.
+    own and after are those texts' choices. Whether a position is chosen depends on the windows that hold it, which start at most
+    WINDOW - 1 before it and read SPAN code points. So up to kept - SPAN the choices are the first text's, and from WINDOW - 1
+    past the seam up to SPAN before the end the second's; only the seam and the end are chosen anew.
     """
-    same = kept - (K + WINDOW - 1)
-    start = F.greatest(same - WINDOW, F.lit(0))
-    later = F.filter(chosen(F.substring(edited, start + 1, F.char_length(edited)), start), lambda c: _position(c) > same)
-    return F.when(start > 0, F.concat(F.filter(own, lambda c: _position(c) <= same), later)).otherwise(chosen(edited))
+    end = F.char_length(edited)
+    same = kept - SPAN
+    seam = F.greatest(same - WINDOW, F.lit(0))
+    again = kept + (WINDOW - 1)
+    tail = end - SPAN
+
+    def between(choices: Column, low: Column, high: Column) -> Column:
+        return F.filter(choices, lambda c: (_position(c) > low) & (_position(c) <= high))
+
+    def anew(start: Column, low: Column, high: Column) -> Column:
+        """Choices at positions above low and up to high, from the text after start, which is WINDOW before low or 0."""
+        return between(chosen(F.substring(edited, start + 1, F.least(high, end) - start + SPAN), start), low, high)
+
+    head = between(own, F.lit(-1), F.when(seam > 0, same).otherwise(-1))
+    low = F.when(seam > 0, same).otherwise(-1)
+    moved = F.transform(between(after, F.lit(WINDOW - 2), tail - kept), lambda c: c - kept)
+    short = F.concat(head, anew(seam, low, end))
+    return F.when(tail <= again + WINDOW, short).otherwise(F.concat(head, anew(seam, low, again - 1), moved, anew(tail - WINDOW, tail, end)))
 
 
 def as_text(choices: Column) -> Column:
@@ -117,18 +162,46 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return both.select("doc_id", as_text(F.col("choices")).alias("fingerprint"), "choices")
 
 
+def _key() -> Column:
+    """Rows in the order of their ids, the greatest first, and of their texts."""
+    return F.struct(F.bitwise_not("doc_id").alias("down"), F.substring("text", 1, HEAD).alias("head"))
+
+
+def _range_of(key: Column, bounds: Column, ranges: int) -> Column:
+    """Number of the last of the sorted bounds that is not above key; there must be one."""
+    steps = [1]
+    while steps[0] * FAN < ranges:
+        steps.insert(0, steps[0] * FAN)
+
+    def below(step: int) -> Callable[[Column], Column]:
+        def reached(base: Column) -> Column:
+            return F.filter(F.sequence(F.lit(0), F.lit(FAN - 1)), lambda j: F.get(bounds, base + j * step) <= key)
+
+        return lambda base: base + (F.size(reached(base)) - 1) * step
+
+    at = F.lit(0)
+    for step in steps:
+        at = _let(at, below(step))
+    return at
+
+
 def _with_next(source: DataFrame) -> DataFrame:
-    """Rows with an id, laid out in id ranges: range, place (1: the document after the range's last, only there to be read)."""
-    low, high = source.agg(F.min("doc_id"), F.max("doc_id")).collect()[0]
-    if low is None:
-        return source.select("*", F.lit(0).cast("long").alias("range"), F.lit(0).alias("place"))
-    width = max(MIN_RANGE, -(-(high - low + 1) // MAX_RANGES))
-    ranged = source.withColumn("range", F.floor((F.col("doc_id").cast("decimal(38,0)") - low) / width).cast("long"))
-    tops = ranged.groupBy("range").agg(F.max("doc_id").alias("doc_id"))
-    after = tops.select("doc_id", F.coalesce(F.lead("range").over(W.orderBy("range")), F.min("range").over(W.partitionBy())).alias("reader"))
-    seen = ranged.join(F.broadcast(after), "doc_id", "left")  # at most MAX_RANGES rows
-    places = F.when(F.col("reader").isNull(), F.array(F.struct(F.col("range"), F.lit(0).alias("place")))).otherwise(F.array(F.struct(F.col("range"), F.lit(0).alias("place")), F.struct(F.col("reader").alias("range"), F.lit(1).alias("place"))))
-    return seen.select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", "p.range", "p.place")
+    """Rows with an id, laid out in ranges: range, place (1: it begins the range after, and is only there to be read)."""
+    n, volume = source.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).collect()[0]
+    if not n:
+        return source.select("doc_id", "text", F.lit(0).alias("range"), F.lit(0).alias("place"))
+    ranges = min(MAX_RANGES, math.ceil((volume + 1) / RANGE_BYTES))
+    keyed = source.withColumn("key", _key())
+    drawn = F.shiftrightunsigned(F.xxhash64("key"), 2) < int(min(1.0, DRAWS * ranges / n) * (1 << 62))
+    least = keyed.agg(F.min("key").alias("least"), F.sort_array(F.collect_set(F.when(drawn, F.col("key")))).alias("drawn"))
+    thin = F.filter("drawn", lambda k, i: (i % DRAWS == DRAWS - 1) & (k > F.col("least")))
+    bounds = least.select(F.concat(F.array("least"), thin).alias("bounds"))  # one row
+    both = keyed.crossJoin(F.broadcast(bounds))
+    at = both.select("doc_id", "text", "key", "bounds", _range_of(F.col("key"), F.col("bounds"), 2 * ranges).alias("range"))
+    own = F.struct("range", F.lit(0).alias("place"))
+    before = F.struct(F.when(F.col("range") > 0, F.col("range") - 1).otherwise(F.size("bounds") - 1).alias("range"), F.lit(1).alias("place"))
+    places = F.when(F.get("bounds", F.col("range")) == F.col("key"), F.array(own, before)).otherwise(F.array(own))
+    return at.select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", "p.range", "p.place")
 
 
 def edit_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,33 +213,24 @@ def edit_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     source = pick(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     order = W.partitionBy("range").orderBy("place", F.col("doc_id").desc(), "text")
+    none = F.array().cast("array<long>")
     named = _with_next(source.where("doc_id IS NOT NULL")).withColumn("next_text", F.coalesce(F.lead("text").over(order), F.lit("")))
-
-    def edited(rows: DataFrame) -> DataFrame:
-        n = F.char_length("text")
-        cut = F.floor(n / 3).cast("int")
-        return rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut)))
-
-    def marked(rows: DataFrame) -> DataFrame:
-        n = F.char_length("text")
-        own = rows.select("*", chosen(F.col("text")).alias("own"), (n - F.floor(n / 3).cast("int")).alias("kept"))
-        return own.select("*", chosen_of_edited(F.col("own"), F.col("edited"), F.col("kept")).alias("other"))
-
-    named = marked(edited(named)).withColumn("after", F.lead("own").over(order)).where("place = 0")
-    lone = marked(edited(source.where("doc_id IS NULL").withColumn("next_text", F.lit("")))).withColumn("after", F.array().cast("array<long>"))
-    columns = ["doc_id", "text", "edited", "own", "other", "after"]
-    return (
-        named.select(*columns)
-        .union(lone.select(*columns))
-        .select(
-            "doc_id",
-            F.char_length("text").cast("long").alias("n_chars"),
-            F.sha2("edited", 256).alias("edited_sha256"),
-            as_text(F.col("own")).alias("fingerprint"),
-            as_text(F.col("other")).alias("edited_fingerprint"),
-            likeness(F.col("own"), F.col("other")).alias("near_edited"),
-            likeness(F.col("own"), F.col("after")).alias("near_next"),
-        )
+    named = named.select("*", chosen(F.col("text")).alias("own")).withColumn("after", F.lead("own").over(order)).where("place = 0")
+    lone = source.where("doc_id IS NULL").select("doc_id", "text", F.lit("").alias("next_text"), chosen(F.col("text")).alias("own"), none.alias("after"))
+
+    n = F.char_length("text")
+    cut = F.floor(n / 3).cast("int")
+    both = named.select(*lone.columns).union(lone).select("*", (n - cut).alias("kept"))
+    edited = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("kept")), F.substring("next_text", F.lit(1), n - F.col("kept"))))
+    marked = edited.withColumn("other", chosen_of_edited(F.col("edited"), F.col("kept"), F.col("own"), F.col("after")))
+    return marked.select(
+        "doc_id",
+        n.cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        as_text(F.col("own")).alias("fingerprint"),
+        as_text(F.col("other")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("other")).alias("near_edited"),
+        likeness(F.col("own"), F.col("after")).alias("near_next"),
     )
 
 
