@@ -109,24 +109,27 @@ def chosen_of_edited(edited: Column, kept: Column, own: Column, after: Column) -
     WINDOW - 1 before it and read SPAN code points. So up to kept - SPAN the choices are the first text's, and from WINDOW - 1
     past the seam up to SPAN before the end the second's; only the seam and the end are chosen anew.
     """
-    end = F.char_length(edited)
-    same = kept - SPAN
-    seam = F.greatest(same - WINDOW, F.lit(0))
-    again = kept + (WINDOW - 1)
-    tail = end - SPAN
 
     def between(choices: Column, low: Column, high: Column) -> Column:
-        return F.filter(choices, lambda c: (_position(c) > low) & (_position(c) <= high))
+        return _let(F.struct(low.alias("low"), high.alias("high")), lambda b: F.filter(choices, lambda c: (_position(c) > b["low"]) & (_position(c) <= b["high"])))
 
-    def anew(start: Column, low: Column, high: Column) -> Column:
-        """Choices at positions above low and up to high, from the text after start, which is WINDOW before low or 0."""
-        return between(chosen(F.substring(edited, start + 1, F.least(high, end) - start + SPAN), start), low, high)
+    def joined(size: Column) -> Column:
+        kept, end = size["kept"], size["end"]
+        same = kept - SPAN
+        seam = F.greatest(same - WINDOW, F.lit(0))
+        again = kept + (WINDOW - 1)
+        tail = end - SPAN
 
-    head = between(own, F.lit(-1), F.when(seam > 0, same).otherwise(-1))
-    low = F.when(seam > 0, same).otherwise(-1)
-    moved = F.transform(between(after, F.lit(WINDOW - 2), tail - kept), lambda c: c - kept)
-    short = F.concat(head, anew(seam, low, end))
-    return F.when(tail <= again + WINDOW, short).otherwise(F.concat(head, anew(seam, low, again - 1), moved, anew(tail - WINDOW, tail, end)))
+        def anew(start: Column, low: Column, high: Column) -> Column:
+            """Choices at positions above low and up to high, from the text after start, which is WINDOW before low or 0."""
+            return _let(start, lambda at: between(chosen(F.substring(edited, at + 1, F.least(high, end) - at + SPAN), at), low, high))
+
+        low = F.when(seam > 0, same).otherwise(-1)
+        head = between(own, F.lit(-1), low)
+        moved = F.transform(between(after, F.lit(WINDOW - 2), tail - kept), lambda c: c - kept)
+        return F.concat(head, F.when(tail <= again + WINDOW, anew(seam, low, end)).otherwise(F.concat(anew(seam, low, again - 1), moved, anew(tail - WINDOW, tail, end))))
+
+    return _let(F.struct(kept.alias("kept"), F.char_length(edited).alias("end")), joined)
 
 
 def as_text(choices: Column) -> Column:
@@ -140,19 +143,15 @@ def as_text(choices: Column) -> Column:
     return F.lower(F.array_join(F.transform(choices, digits), ""))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of the chosen hashes; 1 for two empty fingerprints."""
+def hashes(choices: Column) -> Column:
+    return F.array_distinct(F.transform(choices, lambda x: F.shiftright(x, 32)))
 
-    def hashes(c: Column) -> Column:
-        return F.array_distinct(F.transform(c, lambda x: F.shiftright(x, 32)))
 
-    def ratio(p: Column) -> Column:
-        x, y = p["x"], p["y"]
-        common = F.size(F.array_intersect(x, y))
-        union = F.size(x) + F.size(y) - common
-        return F.when(union == 0, F.lit(1.0)).otherwise(common / F.nullif(union, F.lit(0)))
-
-    return _let(F.struct(hashes(a).alias("x"), hashes(b).alias("y")), ratio)
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two sets of hashes; 1 for two empty ones."""
+    common = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - common
+    return F.when(union == 0, F.lit(1.0)).otherwise(common / F.nullif(union, F.lit(0)))
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,14 +222,15 @@ def edit_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     both = named.select(*lone.columns).union(lone).select("*", (n - cut).alias("kept"))
     edited = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("kept")), F.substring("next_text", F.lit(1), n - F.col("kept"))))
     marked = edited.withColumn("other", chosen_of_edited(F.col("edited"), F.col("kept"), F.col("own"), F.col("after")))
-    return marked.select(
+    hashed = marked.select("*", hashes(F.col("own")).alias("own_hashes"), hashes(F.col("other")).alias("other_hashes"), hashes(F.col("after")).alias("after_hashes"))
+    return hashed.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         as_text(F.col("own")).alias("fingerprint"),
         as_text(F.col("other")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("other")).alias("near_edited"),
-        likeness(F.col("own"), F.col("after")).alias("near_next"),
+        likeness(F.col("own_hashes"), F.col("other_hashes")).alias("near_edited"),
+        likeness(F.col("own_hashes"), F.col("after_hashes")).alias("near_next"),
     )
 
 
