@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tideline.llm import language, mixing, toxicity
+from tideline.llm import _common, language, mixing, toxicity
 from tideline.llm.queries import ORACLE_SQL, QUERIES
 
 SYLLABLES = {"en": ["the", "ing", "and", "tion", "er", "wh"], "de": ["sch", "ich", "der", "ung", "ein", "ü"], "fr": ["eau", "ou", "qu", "é", "ment", "les"]}
@@ -107,6 +107,22 @@ def test_language_of_nothing(spark):
         assert language.identify(empty, m, text=F.col("text"), declared=none, suffix=none, host=none, domain=none).count() == 0
 
 
+def test_samples_never_vanish(spark, monkeypatch):
+    """Whatever the number of rows, there is something to learn from; repeats and long texts don't enlarge the sample."""
+    rng = random.Random(3)
+    docs = spark.createDataFrame(_labelled(rng, 300) * 3, SCHEMA)
+    some = lambda most, room: _common.bounded_sample(docs, ["doc_id", "text", "lang"], most, room, "text")
+    assert len(some(1000, 1 << 30)) == 300 and len(some(50, 1 << 30)) == 50 and len(some(50, 1)) == 1
+    assert sum(len(r.text.encode()) for r in some(50, 2000)) <= 2000
+    assert some(50, 1 << 30) == some(50, 1 << 30)
+    monkeypatch.setattr(_common, "_about_distinct", lambda hashed: 10**19)
+    assert len(some(50, 1 << 30)) == 50
+    assert set(language.fit_language(docs).languages) == {*SYLLABLES, "und"}
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS toxic")
+    assert toxicity.fit_toxicity(docs, labels, F.lit(True)).bias > -30
+    assert some(0, 1) == [] and _common.bounded_sample(docs.limit(0), ["text"], 5, 5, "text") == []
+
+
 def test_pages(spark):
     html = '<html LANG=fr-FR><head><script>var the = "and";</script><style>p{}</style></head><!-- the --><p>eau &amp; ou</p></html>'
     row = spark.createDataFrame([(html,)], "html string").select(language.visible_text(F.col("html")).alias("t")).collect()[0]

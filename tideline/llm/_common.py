@@ -36,9 +36,12 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset one of our own (single-machine runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Runs on a single machine may leave it unset and get one of
+    their own; on a cluster that is an error, as executors would write to their own disks."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="tideline-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         where = f"file://{own}"
@@ -71,6 +74,34 @@ def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def _about_distinct(hashed: DataFrame) -> int:
+    return hashed.agg(F.approx_count_distinct("h")).collect()[0][0]
+
+
+def bounded_sample(rows: DataFrame, columns: list[str], most: int, most_bytes: int, text_col: str | None = None) -> list:
+    """Distinct rows of the named columns for the driver: the first by a hash of them, at most `most` and most_bytes of text.
+
+    A threshold leaves about twice as many before they are ordered, so no task and no driver sees more; where it leaves none,
+    all rows are ordered. So the sample is empty only if the rows are. Rows that repeat count once.
+    """
+    volume = F.octet_length(text_col) if text_col else F.lit(0)
+    hashed = rows.select(*columns).withColumn("h", F.shiftrightunsigned(F.xxhash64(*columns), 2))
+    n = _about_distinct(hashed)
+    drawn = hashed.where(F.col("h") < int(min(1.0, 2 * most / max(1, n)) * (1 << 62)))
+
+    def first(of: DataFrame) -> list:
+        return of.groupBy("h").agg(F.max(volume).alias("bytes")).orderBy("h").limit(most).collect()
+
+    keys = first(drawn) or first(hashed)
+    last, held = -1, 0
+    for r in keys:
+        held += r.bytes or 0
+        if held > most_bytes and last >= 0:
+            break
+        last = r.h
+    return hashed.where(F.col("h") <= last).groupBy("h").agg(*[F.min_by(c, F.struct(*columns)).alias(c) for c in columns]).orderBy("h").select(*columns).collect()
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 

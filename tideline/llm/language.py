@@ -22,10 +22,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm._common import maybe_broadcast, pick, stage, table
+from tideline.llm._common import bounded_sample, maybe_broadcast, pick, stage, table
 from tideline.session import ship_package
 
+#: At most so many labelled documents, and so many bytes of them, are brought to the driver to fit on.
 SAMPLE = 2_000
+SAMPLE_BYTES = 128 << 20
 BINS = 1 << 16
 EFFECTIVE = 100.0
 #: Weight, in rows, of the broader level when a host's or domain's shares are smoothed.
@@ -71,11 +73,12 @@ def fit_text(texts: list[str], languages: list[str]) -> TextModel:
 
 
 def fit_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE) -> TextModel:
-    """A text model from about `sample` rows with a label, chosen by a hash of id."""
+    """A text model from at most `sample` distinct rows with a label, and SAMPLE_BYTES of text, chosen by a hash of the row.
+
+    Rows without text or label don't count; without any the model knows no language.
+    """
     rows = pick(docs, id_col, text_col, label_col).toDF("id", "text", "label").where("text IS NOT NULL AND label IS NOT NULL")
-    n = rows.count()
-    share = min(1.0, sample / n) if n else 0.0
-    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text", "label").collect()  # about `sample` rows
+    some = bounded_sample(rows, ["id", "text", "label"], sample, SAMPLE_BYTES, "text")
     return fit_text([r.text for r in some], [r.label for r in some])
 
 

@@ -21,10 +21,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm._common import pick, table
+from tideline.llm._common import bounded_sample, pick, table
 
-#: At most about so many labelled documents are brought to the driver to fit on.
+#: At most so many labelled documents, and so many bytes of them, are brought to the driver to fit on.
 SAMPLE = 8_000
+SAMPLE_BYTES = 256 << 20
 MAX_FEATURES = 20_000
 LEAST_DOCS = 4
 LEAST_Z = 3.0
@@ -133,15 +134,16 @@ def fit(texts: list[str], labels: list[int]) -> Model:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """A model from the labelled documents that meet `train`, a condition over the column doc_id of labels.
 
-    At most about `sample` documents, chosen by a hash of their ids, are read; null labels and labels without a document don't count.
+    At most `sample` documents and SAMPLE_BYTES of text, chosen by a hash of their ids, are read; null labels and labels without a
+    document don't count.
     """
     known = pick(labels, id_col, label_col).toDF("doc_id", "toxic").where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & train)
-    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    n = known.count()
-    share = min(1.0, sample / n) if n else 0.0
-    some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = pick(docs, id_col, text_col).toDF("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic").collect()  # about `sample` rows
-    return fit([r.text or "" for r in rows], [int(r.toxic > 0) for r in rows])
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    asked = [(r.doc_id, r.toxic) for r in bounded_sample(known, ["doc_id", "toxic"], sample, SAMPLE_BYTES)]
+    some = docs.sparkSession.createDataFrame(asked, "doc_id long, toxic int")
+    rows = pick(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(some), "doc_id")  # `sample` rows
+    read = bounded_sample(rows, ["doc_id", "text", "toxic"], sample, SAMPLE_BYTES, "text")
+    return fit([r.text or "" for r in read], [int(r.toxic > 0) for r in read])
 
 
 def _score(model: Model):
