@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tideline.llm import mixing
@@ -41,6 +42,58 @@ def test_sample_meets_its_targets(spark, share, source):
         assert max(r.copies for r in rows) > 1
 
 
+def test_targets_by_brute_force(spark):
+    """Weights are those of a plain loop that fits one dimension after the other; the sample's shares are those reported."""
+    docs = _docs(spark, 800)
+    targets = {"source": {"hot": 0.6, "a": 0.3, "b": 0.1}, "lang": {"en": 0.5, "fr": 0.5}, "topic": {"note": 0.4, "article": 0.6}}
+    mixture = mixing.mixed(docs, share=0.05, targets=targets).cache()
+    rows = mixture.collect()
+    total = sum(r.n_tokens for r in rows)
+    cells = Counter()
+    for r in rows:
+        cells[r.source, r.lang, r.topic] += r.n_tokens
+    x = {k: v / total for k, v in cells.items()}
+    for _ in range(500):
+        for d, name in enumerate(("source", "lang", "topic")):
+            now = Counter()
+            for k, v in x.items():
+                now[k[d]] += v
+            x = {k: v * targets[name].get(k[d], 0) / now[k[d]] if now[k[d]] else 0.0 for k, v in x.items()}
+    for r in rows:
+        key = r.source, r.lang, r.topic
+        assert r.weight == pytest.approx(x[key] * total / cells[key], rel=1e-5)
+        assert r.probability == pytest.approx(min(1, 0.05 * r.weight), rel=1e-5)
+    sampled = Counter()
+    for r in rows:
+        sampled["source", r.source] += r.n_tokens * r.copies / sum(q.n_tokens * q.copies for q in rows)
+    got = {(r.dimension, r.value): r.sampled for r in mixing.realised(mixture).collect()}
+    assert all(got[k] == pytest.approx(v) for k, v in sampled.items()) and len(got) == 7
+
+
+@pytest.mark.parametrize("by_joins", [False, True])
+def test_targets_of_absent_values(spark, monkeypatch, by_joins):
+    if by_joins:
+        monkeypatch.setattr(mixing, "DRIVER_CELLS", 0)
+        monkeypatch.setattr(mixing, "ROUNDS", 2)
+    rows = mixing.mixed(_docs(spark, 30), targets={"source": {"gone": 1.0}}).collect()
+    assert len(rows) == 30 and all((r.weight, r.probability, r.copies, r.taken) == (0, 0, 0, False) for r in rows)
+
+
+def test_contradicting_targets_warn(spark):
+    docs = spark.createDataFrame([(1, "w w", "x", "a"), (2, "w w", "y", "b")], "doc_id long, text string, lang string, source string")
+    with pytest.warns(UserWarning, match="contradict"):
+        mixing.mixed(docs, targets={"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.1, "y": 0.9}})
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["_source", "_lang", "_topic", "_tokens", "_form", "c0", "SOURCE", "tokens", "form", "raked"]
+    docs = _docs(spark, 40).select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    rows = mixing.mixed(docs).collect()
+    assert len(rows) == 40 and all(r[n] == f"own {n}" for r in rows for n in names)
+    themed = mixing.mixed(_docs(spark, 40).withColumn("topic", F.when(F.col("doc_id") % 2 == 0, "even")), targets={"topic": {"even": 1.0}}).collect()
+    assert all(r.topic == ("even" if r.doc_id % 2 == 0 else None) and (r.doc_id % 2 == 0 or not r.taken) for r in themed)
+
+
 def test_pipeline_repeats_what_the_mixture_repeats(spark):
     docs = _docs(spark, 600)
     mixed = mixing.mixed(docs, share=corpus_pipeline.MIX_SHARE).where("copies > 0").collect()

@@ -9,6 +9,7 @@ hash of the id, which needs no shuffle and gives the same sample on every run.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,8 @@ from tideline.llm._common import maybe_broadcast, pick, stage, table
 
 #: Up to so many cells are fitted on the driver; more are fitted by joins and aggregations.
 DRIVER_CELLS = 100_000
+#: Rounds of fitting; of those by joins every one is a job.
+DRIVER_ROUNDS = 1000
 ROUNDS = 60
 TOLERANCE = 1e-9
 #: Targets of a sample without repeats count as met within this share.
@@ -48,8 +51,9 @@ def tempered(totals: Mapping, power: float = TEMPER) -> dict:
 def rake(cells: Mapping[tuple, float], targets: list[Mapping], wanted: float | None = None) -> dict[tuple, float] | None:
     """Cells' tokens -> cells' raked shares, by turns fitting each dimension's totals to its targets.
 
+    Targets count relative to those of values that occur; if a dimension's occur nowhere, nothing is wanted and all shares are 0.
     With wanted, the shares are those of a sample of so many tokens, in which no cell may have more tokens than it holds; None
-    where the targets can't be met so.
+    where the targets can't be met so. Without, targets that no weights can meet are approached, with a warning.
     """
     import numpy as np
 
@@ -62,8 +66,10 @@ def rake(cells: Mapping[tuple, float], targets: list[Mapping], wanted: float | N
         names = {k: i for i, k in enumerate(dict.fromkeys(key[d] for key in keys))}
         coded.append(np.array([names[key[d]] for key in keys]))
         goal = np.array([float(target.get(k, 0)) for k in names])
+        if not goal.sum() > 0:
+            return dict.fromkeys(keys, 0.0)
         goals.append(goal / goal.sum())
-    for _ in range(ROUNDS):
+    for _ in range(DRIVER_ROUNDS):
         off = 0.0
         for at, goal in zip(coded, goals, strict=True):
             full = x >= cap
@@ -73,14 +79,20 @@ def rake(cells: Mapping[tuple, float], targets: list[Mapping], wanted: float | N
             off = max(off, float(np.abs(now - goal).max()))
             rise = (free > 0) & (goal > held)
             by = np.divide(goal - held, free, out=np.divide(goal, now, out=np.zeros_like(goal), where=now > 0), where=rise)
-            x = x * by[at]
+            x = np.minimum(x * by[at], 1e100)  # a full cell's own value only says how full
         if off < TOLERANCE:
             break
-    if wanted is not None and not off < CLOSE:
-        return None
+    if not off < CLOSE:
+        if wanted is not None:
+            return None
+        _warn(off)
     return dict(zip(keys, np.minimum(x, cap).tolist(), strict=True))
 
 
+def _warn(gap: float) -> None:
+    warnings.warn(f"mixture: the targets contradict each other on these cells; shares are off by up to {gap:.2g}", stacklevel=3)
+
+
 def _gap(x: DataFrame, targets: list[DataFrame]) -> float:
     """The largest deviation of raked totals from their targets, over all dimensions."""
     gaps = [x.groupBy(d).agg(F.sum(F.least("raked", "cap")).alias("now")).join(t, d, "left").select(F.abs(F.col("now") - F.coalesce("goal", F.lit(0.0))).alias("gap")) for d, t in zip(DIMS, targets, strict=True)]
@@ -102,8 +114,10 @@ def _rake_by_joins(cells: DataFrame, targets: list[DataFrame], wanted: float | N
         gap = _gap(x, targets)
         if gap < TOLERANCE:
             break
-    if wanted is not None and not gap < CLOSE:
-        return None
+    if not gap < CLOSE:
+        if wanted is not None:
+            return None
+        _warn(gap)
     return x.select(*DIMS, "tokens", F.least("raked", "cap").alias("raked"))
 
 
@@ -111,21 +125,25 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", share: float = 0.5, target
     """Every row of docs with topic, n_tokens, weight (raked share over own share of its cell), probability, taken and copies.
 
     targets maps "source", "lang" or "topic" to wanted shares; a dimension without one gets the corpus' shares to the power
-    TEMPER. Values without a target get none. Null sources, languages and topics are the value ''. tokens and topic default to
-    the word count and topic_of the column text. The sample is to have share of the tokens, or all whose weight is above 0 if
-    these are fewer. copies says how often it has a row, by expectation scale * weight; probability is that of being in it at
-    all. No row repeats if the targets can be met without. Rows of no tokens are never taken (weight and probability 0). Rows with equal
-    ids are taken together; rows without an id are drawn by their text. Columns of docs that carry a name of the result are
-    replaced.
+    TEMPER. Values without a target get none; where no wanted value occurs, nothing is taken. Null sources, languages and topics
+    are the value ''. tokens defaults to the word count, topic to the column topic of docs, if there is one, and else to topic_of
+    the text. The sample is to have share of the tokens, or all whose weight is above 0 if these are fewer. copies says how often
+    it has a row, by expectation scale * weight; probability is that of being in it at all. No row repeats if the targets can be
+    met without. Rows of no tokens are never taken (weight and probability 0). Rows with equal ids are taken together; rows
+    without an id are drawn by their text. Columns of docs that carry a name of the result are replaced; all others stay,
+    whatever their names.
     """
     spark = docs.sparkSession
     made = ("topic", "n_tokens", "weight", "probability", "taken", "copies")
-    n = tokens if tokens is not None else words_in(F.col("text"))
-    counted = docs.withColumn("_tokens", n.cast("long"))
-    form = topic if topic is not None else topic_of(F.coalesce("text", F.lit("")), F.col("_tokens"))
-    counted = counted.withColumn("_form", form.cast("string"))
-    counted = counted.select(*[F.col(f"`{c}`") for c in docs.columns if c not in made], F.col("_tokens").alias("n_tokens"), F.col("_form").alias("topic"))
-    cell = [F.coalesce(F.col(d).cast("string"), F.lit("")).alias(d) for d in DIMS]
+    own = docs.columns
+    at = {c: f"c{i}" for i, c in reversed(list(enumerate(own)))}
+    extra = {k: c for k, c in (("tokens", tokens), ("form", topic)) if c is not None}
+    flat = docs.select("*", *extra.values()).toDF(*[f"c{i}" for i in range(len(own))], *extra)
+    text = F.coalesce(F.col(at["text"]), F.lit(""))
+    counted = flat.withColumn("n_tokens", (F.col("tokens") if tokens is not None else words_in(text)).cast("long"))
+    form = F.col("form") if topic is not None else F.col(at["topic"]) if "topic" in at else topic_of(text, F.col("n_tokens"))
+    counted = counted.select(*[f"c{i}" for i in range(len(own))], "n_tokens", form.cast("string").alias("topic"), *[F.col(at[d]).cast("string").alias(d) for d in ("source", "lang")])
+    cell = [F.coalesce(d, F.lit("")).alias(d) for d in DIMS]
     cells = stage(counted.select(*cell, "n_tokens").groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"), "cells")
     n_cells = cells.count()
     given = targets or {}
@@ -143,7 +161,7 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", share: float = 0.5, target
             goals.append(given.get(name) or tempered(sums))
         raked = rake(rows, goals)
         wanted = min(share * total, sum(v for k, v in rows.items() if raked[k] > 0))
-        scale = wanted / (total * sum(raked.values()))
+        scale = wanted / (total * sum(raked.values())) if wanted else 0.0
         if any(scale * raked[k] * total > v for k, v in rows.items()) and (single := rake(rows, goals, wanted)):
             raked, scale = single, wanted / total
         solved = spark.createDataFrame([(*k, rows[k], raked[k]) for k in rows], "source string, lang string, topic string, tokens long, raked double")
@@ -153,7 +171,7 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", share: float = 0.5, target
             if name in given:
                 goals = spark.createDataFrame([(k, float(v)) for k, v in given[name].items()], f"{name} string, goal double")
                 here = goals.join(cells.select(name).distinct(), name, "left_semi")
-                whole = here.agg(F.sum("goal")).collect()[0][0]
+                whole = here.agg(F.sum("goal")).collect()[0][0] or 1.0
                 frames.append(here.select(name, (F.col("goal") / whole).alias("goal")))
             else:
                 powered = cells.groupBy(name).agg(F.pow(F.sum("tokens"), TEMPER).alias("p"))
@@ -161,18 +179,29 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", share: float = 0.5, target
                 frames.append(powered.select(name, (F.col("p") / whole).alias("goal")))
         solved = _rake_by_joins(cells, frames)
         reachable, whole, most = solved.where("raked > 0").agg(F.sum("tokens"), F.sum("raked"), F.max(F.col("raked") / F.col("tokens"))).collect()[0]
-        wanted = min(share * total, reachable)
-        scale = wanted / (total * whole)
-        if scale * most * total > 1 and (single := _rake_by_joins(cells, frames, wanted)) is not None:
+        wanted = min(share * total, reachable or 0)
+        scale = wanted / (total * whole) if wanted else 0.0
+        if wanted and scale * most * total > 1 and (single := _rake_by_joins(cells, frames, wanted)) is not None:
             solved, scale = single, wanted / total
     weighted = solved.withColumn("weight", F.col("raked") * total / F.col("tokens")).select(*DIMS, "tokens", "weight")
     weights = maybe_broadcast(weighted.select(*[F.col(d).alias(f"_{d}") for d in DIMS], "weight"), n_cells, 128)
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.coalesce("text", F.lit(""))))), 11) / F.lit(float(1 << 53))
-    on = [F.coalesce(F.col(d).cast("string"), F.lit("")) == F.col(f"_{d}") for d in DIMS]
+    drawn = F.coalesce(F.col(at[id_col]).cast("string"), F.concat(F.lit("text "), text))
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), drawn), 11) / F.lit(float(1 << 53))
+    on = [F.coalesce(d, F.lit("")) == F.col(f"_{d}") for d in DIMS]
     joined = counted.join(weights, on[0] & on[1] & on[2], "left").drop(*[f"_{d}" for d in DIMS])
     expected = F.when(F.col("n_tokens") > 0, F.lit(float(scale)) * F.coalesce("weight", F.lit(0.0))).otherwise(0.0)
     copies = (F.floor(expected) + (u < expected - F.floor(expected)).cast("int")).cast("int")
-    return joined.withColumns({"probability": F.least(F.lit(1.0), expected), "copies": copies, "weight": F.coalesce("weight", F.lit(0.0))}).withColumn("taken", F.col("copies") > 0)
+    out = joined.withColumns({"probability": F.least(F.lit(1.0), expected), "copies": copies, "weight": F.coalesce("weight", F.lit(0.0))}).withColumn("taken", F.col("copies") > 0)
+    kept = [(f"c{i}", c) for i, c in enumerate(own) if c not in made]
+    return out.select(*[c for c, _ in kept], *made).toDF(*[c for _, c in kept], *made)
+
+
+def realised(mixture: DataFrame) -> DataFrame:
+    """dimension, value, share, sampled: the share of every source, language and topic in mixed()'s rows and in the sample."""
+    cells = mixture.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d).cast("string"), F.lit("")).alias("value")) for d in DIMS])).alias("d"), "n_tokens", "copies")
+    sums = cells.groupBy("d.dimension", "d.value").agg(F.sum("n_tokens").alias("n"), F.sum(F.col("n_tokens") * F.col("copies")).alias("m"))
+    whole = F.broadcast(sums.groupBy("dimension").agg(F.sum("n").alias("all_n"), F.sum("m").alias("all_m")))  # three rows
+    return sums.join(whole, "dimension").select("dimension", "value", (F.col("n") / F.nullif("all_n", F.lit(0))).alias("share"), (F.col("m") / F.nullif("all_m", F.lit(0))).alias("sampled"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
