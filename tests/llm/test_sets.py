@@ -78,6 +78,38 @@ def test_near_duplicates(spark, size, percent):
         assert got == want
     else:  # below the design point links may be missed, never invented
         assert all(got[i][0] == want[i][0] and want[got[i][1]][1] == want[i][1] for i in got)
+        linked = [i for i in got if sum(want[j][1] == want[i][1] for j in want) > 1]
+        assert sum(got[i][1] == want[i][1] for i in linked) >= 0.9 * len(linked)
+
+
+def _templates(rng, n):
+    """A crowd around one long passage: under the threshold, but for a few pairs that are linked."""
+    passage = _prose(rng, 300, 10**6)
+    pool = [f"p{k}" for k in range(60)]
+    texts = [f"{passage} {' '.join(rng.choice(pool) for _ in range(100))}" for _ in range(n)]
+    return list(enumerate([*texts, *[_edited(rng, texts[k], 3) for k in range(0, n, 25)]]))
+
+
+def test_crowd_that_is_not_linked(spark):
+    docs = _templates(random.Random(5), 150)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dups.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=4).collect()}
+    assert got == _brute(docs, 4, 80)
+    assert 0 < sum(not k for _, _, k in got.values()) < 20
+    with pytest.raises(ValueError, match="60"):
+        near_dups.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), percent=50)
+
+
+def test_pairs_across_a_crowd_grow_with_it(spark):
+    """Candidates between components under rare shingles: about in proportion to the crowd, not to its square."""
+
+    def pairs(n):
+        docs = spark.createDataFrame(_templates(random.Random(5), n), "doc_id long, text string")
+        made = docs.select("text").mapInArrow(near_dups._full_sets(4), "digest binary, shingles array<long>")
+        sets = made.select(F.xxhash64("digest").alias("node"), "shingles")
+        return near_dups._across(near_dups._openings(sets, 80), spark.createDataFrame([], "node long, component long"), 80).count()
+
+    small, large = pairs(200), pairs(800)
+    assert 8 <= small <= large < 8 * small
 
 
 def test_near_duplicates_of_odd_rows(spark):

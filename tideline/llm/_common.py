@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,20 +54,46 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Staged tables that nobody has deleted yet.
+_STAGED: list[str] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage ends here, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    _STAGED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_stage(df: DataFrame) -> None:
     """Deletes the files of a staged table that nothing reads any more."""
-    spark = df.sparkSession
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        _delete(df.sparkSession, folder)
+
+
+def staged_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make()'s result as a staged table; what it staged on the way is deleted once that is written, or if it fails."""
+    first = len(_STAGED)
+    kept: list[str] = []
+    spark = None
+    try:
+        result = make()
+        spark = result.sparkSession
+        out = stage(result, name)
+        kept = [_STAGED[-1]]
+        return out
+    finally:
+        for folder in _STAGED[first:]:
+            if folder not in kept:
+                _delete(spark or SparkSession.active(), folder)
+        _STAGED[first:] = kept
 
 
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:

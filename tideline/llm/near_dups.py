@@ -8,10 +8,11 @@ are confirmed on full sets.
 
 Equal sets are one node from the start. Inside a band's bucket every node is first compared with the bucket's hub only, the node
 with the most company over all bands (of its hubs the likeliest one); confirmed links join nodes to components. A second such
-round takes hubs from each bucket's largest component. Then, in buckets that still hold several components, nodes outside the
-largest one meet all nodes of other components, but for pairs that an upper bound of their intersection rules out: the rare
-shingles that both hold, and the smaller of their numbers of common ones. So a group of n near copies costs about n comparisons,
-a crowd that has a passage in common but is not linked costs few, and no pair that could join two components is left out.
+round takes hubs from each bucket's largest component. Then nodes of buckets that still hold several components are paired by
+rare shingles: of two sets at the threshold, ordered from the rarest shingle to the commonest, the larger holds one of the
+smaller's first few among its own first few. Under a shingle, nodes outside its largest component meet those of other
+components. So a group of n near copies costs about n comparisons, a crowd that has a passage in common but is not linked meets
+under rare shingles only, and no pair that could join two components is left out.
 
 A pair at similarity s shares no band with probability (1 - s**ROWS)**BANDS: 3e-6 at 0.8, 2e-8 at 0.85. An estimate falls 0.16
 below the truth (five standard deviations at 0.8) with a probability under 1e-6.
@@ -24,15 +25,15 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm._common import maybe_broadcast, pick, stage, table
+from tideline.llm._common import maybe_broadcast, pick, stage, staged_alone, table
 from tideline.llm._graph import components
 
 BANDS = 32
 ROWS = 5
 MANTISSA = 10
 MARGIN = 0.16
-#: A shingle in at most so many sets is rare: sets that share it are few.
-RARE = 128
+#: Below it too many links share no band: at 60 % a pair is missed with a probability of 0.075, at 50 % of 0.36.
+LEAST_PERCENT = 60
 
 
 def _mix(h):
@@ -231,28 +232,36 @@ def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
     return stage(known.join(per.where("parts > 1").select("key", "most"), "key"), "mixed")
 
 
-def _held(sets: DataFrame, percent: int) -> DataFrame:
-    """What bounds an intersection with any other of these sets: n shingles, of them `common` in more than RARE of the sets, and the
-    rare ones that at least two sets hold. Nodes that can't reach the threshold with any other set are left out."""
-    tokens = sets.select("node", F.explode("shingles").alias("s"))
-    few = stage(tokens.groupBy("s").agg(F.count("*").alias("n"), F.min("node").alias("node")).where(F.col("n") <= RARE), "shingles")
-    once = few.where("n = 1").groupBy("node").agg(F.count("*").alias("once"))
-    rare = tokens.join(few.where("n > 1").select("s"), "s").groupBy("node").agg(F.collect_list("s").alias("rare"))
-    held = sets.select("node", F.size("shingles").alias("n")).join(once, "node", "left").join(rare, "node", "left")
-    held = held.select("node", "n", F.coalesce("once", F.lit(0)).alias("once"), F.coalesce("rare", F.array().cast("array<long>")).alias("rare"))
-    held = held.where(100 * (F.col("n") - F.col("once")) >= percent * F.col("n"))
-    return stage(held.select("node", "n", (F.col("n") - F.col("once") - F.size("rare")).alias("common"), "rare"), "held")
-
-
-def _possible(percent: int):
-    """Whether two nodes may reach the threshold: they share at most the rare shingles that both hold and the smaller number of
-    common ones. The cheap bound comes first."""
-
-    def reaches(most):
-        return 100 * most >= percent * (F.col("n_x") + F.col("n_y") - most)
+def _openings(sets: DataFrame, percent: int) -> DataFrame:
+    """s, node, n, at, narrow: every node's first shingles, rarest first, as far as another set at the threshold must share one.
 
-    common = F.least("common_x", "common_y")
-    return reaches(common + F.least(F.size("rare_x"), F.size("rare_y"))) & reaches(common + F.size(F.array_intersect("rare_x", "rare_y")))
+    Of sets x and y (the larger and the smaller) that reach the threshold one shingle at least is among the first
+    n - ceil(percent n / 100) + 1 of x and, as y need not meet smaller sets, among the first n - ceil(2 percent n / (100 + percent)) + 1
+    of y (narrow). at is the shingle's place. Shingles of one set only lead the order and join nothing, so they are only counted.
+    """
+    tokens = sets.select("node", F.explode("shingles").alias("s"))
+    shared = tokens.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = tokens.join(shared, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("ranked"))
+    sized = sets.select("node", F.size("shingles").alias("n")).join(ranked, "node").withColumn("once", F.col("n") - F.size("ranked"))
+    wide = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
+    first = sized.select("node", "n", "once", F.posexplode(F.slice("ranked", F.lit(1), F.greatest(wide - F.col("once"), F.lit(0)).cast("int"))).alias("i", "t"))
+    at = (F.col("once") + F.col("i")).cast("int")
+    return first.select("t.s", "node", "n", at.alias("at"), (at <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent))).alias("narrow"))
+
+
+def _across(openings: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that share an opening shingle and may reach the threshold from its place on."""
+    known = openings.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = stage(known, "openings")
+    per = known.groupBy("s", "component").agg(F.count("*").alias("k")).groupBy("s").agg(F.max_by("component", F.struct("k", "component")).alias("most"), F.count("*").alias("parts"))
+    several = known.join(per.where("parts > 1").select("s", "most"), "s")
+    x = several.where("component <> most").select("s", "most", *[F.col(c).alias(f"{c}_x") for c in ("node", "component", "n", "at", "narrow")])
+    y = known.select("s", *[F.col(c).alias(f"{c}_y") for c in ("node", "component", "n", "at", "narrow")])
+    smaller = F.when(F.struct("n_x", "node_x") < F.struct("n_y", "node_y"), F.col("narrow_x")).otherwise(F.col("narrow_y"))
+    most = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
+    reaches = 100 * most >= percent * (F.col("n_x") + F.col("n_y") - most)
+    both = x.join(y, "s").where("component_x <> component_y AND (component_y = most OR node_x < node_y)").where(smaller & reaches)
+    return both.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -261,8 +270,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Documents are linked if 100 * |intersection| >= percent * |union| of their sets of `shingle`-word shingles; component_id is
     the smallest doc_id reachable over links, kept says whether that is the document itself. Null and empty texts and texts
     without words have an empty set and are linked with nothing. Repeated rows stay rows; a null doc_id is never the smallest
-    one, and a component of null ids only has a null component_id (kept is then true). Other columns are ignored.
+    one, and a component of null ids only has a null component_id (kept is then true). Other columns are ignored. The result is
+    a staged table. percent is LEAST_PERCENT at least, as with less the bands would miss too many links.
     """
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"percent must be {LEAST_PERCENT} or more")
+    return staged_alone(lambda: _grouped(docs, id_col, text_col, shingle, percent), "groups")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
     threshold = percent / 100
     source = pick(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     sketched = stage(source.mapInArrow(_sketch(shingle), "doc_id long, n_shingles long, digest binary, sketch binary, keys array<long>"), "sketches")
@@ -295,15 +311,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         found = components(found.toDF("a", "b").union(more))
         mixed = _mixed(members, found)
 
-    held = _held(sets.join(mixed.select("node").distinct(), "node"), percent)
-    mixed = mixed.join(held, "node").join(nodes.select("node", "keys"), "node")
-    fields = ("node", "component", "n", "common", "rare", "keys")
-    left = mixed.where("component <> most").select("key", "most", *[F.col(c).alias(f"{c}_x") for c in fields])
-    right = mixed.select("key", *[F.col(c).alias(f"{c}_y") for c in fields])
-    rest = left.join(right, "key").where("component_x <> component_y AND (component_y = most OR node_x < node_y)").where(_possible(percent))
-    rest = rest.where("array_min(array_intersect(keys_x, keys_y)) = key")  # once, however many buckets they share
-    rest = rest.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
-    more = stage(_confirmed(_estimated(rest, nodes, threshold), sets, percent), "links")
+    openings = _openings(sets.join(mixed.select("node").distinct(), "node"), percent)
+    more = stage(_confirmed(_estimated(_across(openings, found, percent), nodes, threshold), sets, percent), "links")
     if not more.isEmpty():
         found = components(found.toDF("a", "b").union(more))
 
