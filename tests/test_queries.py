@@ -29,7 +29,7 @@ def plain(v):
     if isinstance(v, decimal.Decimal):
         v = float(v)
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 4) + 0.0
+        return "nan" if math.isnan(v) else float(f"{v:.12g}") + 0.0
     return v
 
 

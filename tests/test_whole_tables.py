@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import duckdb
@@ -26,14 +25,14 @@ def late(spark, tmp_path_factory):
 
 
 def _whole(spark, late, name):
-    """The query's rows, which must be those of its statement over all seasons."""
+    """The query's rows, which must be those of its statement."""
     q = registry()[name]
     df = q.build(spark, f"file://{late}")
     columns = sorted(df.columns)
     rows = df.collect()
     con = duckdb.connect()
     con.sql(f"CREATE VIEW orders AS SELECT * FROM '{late}/orders.parquet/*.parquet'")
-    result = con.sql(re.sub(r"(t\.)?season_id <= \d+", "true", q.sql))
+    result = con.sql(q.sql)
     at = [result.columns.index(c) for c in columns]
     want = Counter(tuple(plain(r[i]) for i in at) for r in result.fetchall())
     got = Counter(tuple(plain(r[c]) for c in columns) for r in rows)

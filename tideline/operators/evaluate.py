@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import math
+import random
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -21,7 +24,14 @@ def error_metrics(df: DataFrame, keys: Sequence[str] = (), *, within: float = 10
     probability by the errors' deviation; where that is 0 the sign decides.
     """
     rows = df.where("pred_diff IS NOT NULL AND diff IS NOT NULL")
-    sd = F.stddev_pop(F.col("diff") - F.col("pred_diff")).over(W.partitionBy(*keys))
+    spread = rows.groupBy(*keys).agg(F.stddev_pop(F.col("diff") - F.col("pred_diff")).alias("_sd"))
+    if keys:
+        named = spread.toDF(*[f"_k{i}" for i in range(len(keys))], "_sd")
+        same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+        rows = rows.join(named, functools.reduce(lambda a, b: a & b, same)).drop(*[f"_k{i}" for i in range(len(keys))])
+    else:
+        rows = rows.crossJoin(F.broadcast(spread))  # one row
+    sd = F.col("_sd")
     won = (F.col("diff") > 0).cast("double")
     p = F.when(sd > 0, normal_cdf(F.col("pred_diff") / F.nullif(sd, F.lit(0.0)))).otherwise((F.col("pred_diff") > 0).cast("double"))
     e, t = F.abs(F.col("pred_diff") - F.col("diff")), F.abs(F.col("pred_total") - F.col("total"))
@@ -80,20 +90,25 @@ def rolling_origin(df: DataFrame, date: str, folds: Sequence[Fold], predict: Cal
 
 
 def linear_model(features: Sequence[str], targets: Mapping[str, str]) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    """A predictor of ordinary least squares per target, by Spark ML; a missing feature takes its training mean."""
+    """A predictor of ordinary least squares per target: one aggregation of means, one of centred products, and the normal equations
+    of the few features on the driver. A missing feature takes its training mean; features that explain each other share the weight."""
 
     def predict(train: DataFrame, rows: DataFrame) -> DataFrame:
-        from pyspark.ml import Pipeline
-        from pyspark.ml.feature import Imputer, VectorAssembler
-        from pyspark.ml.regression import LinearRegression
-
-        filled = [f"_f{i}" for i in range(len(features))]
-        prepare = Pipeline(stages=[Imputer(inputCols=list(features), outputCols=filled), VectorAssembler(inputCols=filled, outputCol="_x")]).fit(train)
-        ready, out = prepare.transform(train), prepare.transform(rows)
-        for target, name in targets.items():
-            model = LinearRegression(featuresCol="_x", labelCol=target, predictionCol=name, regParam=1e-6).fit(ready.where(F.col(target).isNotNull()))
-            out = model.transform(out)
-        return out.drop("_x", *filled)
+        import numpy as np
+
+        train = train.where(functools.reduce(lambda a, b: a & b, [F.col(t).isNotNull() for t in targets]))
+        names = [*features, *targets]
+        mean = [m or 0.0 for m in train.agg(*[F.avg(c) for c in names]).collect()[0]]
+        x = [F.coalesce(F.col(c).cast("double"), F.lit(m)) - m for c, m in zip(names, mean, strict=True)]
+        n = len(features)
+        pairs = [(i, j) for i in range(n) for j in range(i, len(names))]
+        sums = dict(zip(pairs, train.agg(*[F.sum(x[i] * x[j]) for i, j in pairs]).collect()[0], strict=True))
+        square = np.array([[sums[min(i, j), max(i, j)] or 0.0 for j in range(n)] for i in range(n)])
+        out = rows
+        for k, name in enumerate(targets.values(), n):
+            weights = np.linalg.lstsq(square, np.array([sums[i, k] or 0.0 for i in range(n)]), rcond=None)[0]
+            out = out.withColumn(name, functools.reduce(lambda a, b: a + b, [F.lit(float(w)) * v for w, v in zip(weights, x, strict=False)], F.lit(mean[k])))
+        return out
 
     return predict
 
@@ -172,14 +187,41 @@ def ablation(flags: Mapping[str, bool], run: Callable[[Mapping[str, bool]], floa
 
 def random_search(space: Mapping[str, Sequence], score: Callable[[Mapping], float], trials: int, seed: int = 7) -> tuple[dict, float]:
     """The best of `trials` random settings and its score (higher is better). Trials run on the driver; each may run Spark jobs."""
-    import random
+    return _search(space, score, trials, random.Random(seed), trials)
+
+
+def parzen_search(space: Mapping[str, Sequence], score: Callable[[Mapping], float], trials: int, seed: int = 7, first: int = 5, share: float = 0.25, draws: int = 24) -> tuple[dict, float]:
+    """The best of `trials` settings chosen by a tree of Parzen estimators, and its score (higher is better).
+
+    After `first` random settings the best `share` of those tried are told from the rest; of `draws` settings drawn from the good
+    ones' densities the one is tried whose density among the good exceeds that among the rest most. Every setting is tried once.
+    """
+    return _search(space, score, trials, random.Random(seed), first, share, draws)
+
 
-    rng = random.Random(seed)
+def _search(space, score, trials, rng, first, share=0.25, draws=24) -> tuple[dict, float]:
+    values = {k: list(v) for k, v in space.items()}
     tried: dict[tuple, float] = {}
-    for _ in range(trials):
-        choice = {k: rng.choice(list(v)) for k, v in space.items()}
-        key = tuple(choice.items())
-        if key not in tried:
-            tried[key] = score(choice)
+    for t in range(min(trials, math.prod(map(len, values.values())))):
+        fresh = lambda draw: next(c for c in iter(lambda: tuple(draw(k) for k in values), None) if c not in tried)
+        if t < first:
+            at = fresh(lambda k: rng.randrange(len(values[k])))
+        else:
+            ranked = sorted(tried, key=tried.get, reverse=True)
+            good, rest = ranked[: (cut := max(1, math.ceil(share * len(ranked))))], ranked[cut:]
+
+            def density(some, d, i, n):
+                """Smoothed share of place i among the settings' places; neighbours count half as much for each step."""
+                return (1 / n + sum(0.5 ** abs(c[d] - i) for c in some)) / (1 + len(some))
+
+            def ratio(c):
+                return math.prod(density(good, d, i, len(v)) / density(rest, d, i, len(v)) for d, (i, v) in enumerate(zip(c, values.values(), strict=True)))
+
+            def drawn(k):
+                d = list(values).index(k)
+                return rng.choices(range(len(values[k])), [density(good, d, i, len(values[k])) for i in range(len(values[k]))])[0]
+
+            at = max((fresh(drawn) for _ in range(draws)), key=ratio)
+        tried[at] = score({k: values[k][i] for k, i in zip(values, at, strict=True)})
     best = max(tried, key=tried.get)
-    return dict(best), tried[best]
+    return {k: values[k][i] for k, i in zip(values, best, strict=True)}, tried[best]

@@ -25,8 +25,9 @@ def bars(ticks: DataFrame, size: str, seq: str = "event_id") -> DataFrame:
     are not emitted. One aggregation: first and last are by (ts, seq), so the result doesn't depend on row order."""
     at = F.struct("ts", seq)
     p, q = F.col("ref_price"), F.col("size")
+    paid = F.sum(p.cast("decimal(12,6)") * q.cast("decimal(20,6)"))  # exact, whatever the order of addition
     out = ticks.groupBy("market", F.window("ts", size)["start"].alias("bar_start")).agg(
-        F.min_by(p, at).alias("open"), F.max(p).alias("high"), F.min(p).alias("low"), F.max_by(p, at).alias("close"), F.sum(q).alias("volume"), F.count("*").alias("n_trades"), safe_div(F.sum(p * q), F.sum(q)).alias("vwap"), F.bool_or("is_ref").alias("any_ref")
+        F.min_by(p, at).alias("open"), F.max(p).alias("high"), F.min(p).alias("low"), F.max_by(p, at).alias("close"), F.sum(q).alias("volume"), F.count("*").alias("n_trades"), safe_div(paid.cast("double"), F.sum(q)).alias("vwap"), F.bool_or("is_ref").alias("any_ref")
     )
     return out
 

@@ -49,7 +49,24 @@ def win_probability(spark: SparkSession, sf: str) -> DataFrame:
 _FOLDS = (O.Fold("f1", "2017-03-31", "2017-04-01", "2017-06-30", "2017-07-01", "2017-09-30"), O.Fold("f2", "2017-12-31", "2018-01-01", "2018-03-31", "2018-04-01", "2018-06-30"))
 
 
-@query("E1, E4, E5, E6, M9", None)
+def _fold_sql(f: O.Fold) -> str:
+    """A fold's rows with predictions: least squares of two features by their covariances, fitted up to train_end."""
+    fit = ", ".join(
+        f"(covar_pop(x1, {y}) * var_pop(x2) - covar_pop(x2, {y}) * covar_pop(x1, x2)) / (var_pop(x1) * var_pop(x2) - covar_pop(x1, x2) ** 2) AS {y}1, "
+        f"(covar_pop(x2, {y}) * var_pop(x1) - covar_pop(x1, {y}) * covar_pop(x1, x2)) / (var_pop(x1) * var_pop(x2) - covar_pop(x1, x2) ** 2) AS {y}2, avg({y}) AS {y}0"
+        for y in ("diff", "total")
+    )
+    part = f"CASE WHEN game_date <= DATE '{f.val_end}' THEN '{f.name} val' WHEN game_date >= DATE '{f.test_start}' THEN '{f.name} test' END"
+    return f"""{f.name}m AS (SELECT avg(pred_diff) AS m1, avg(pred_total) AS m2 FROM n0 WHERE game_date <= DATE '{f.train_end}'),
+{f.name}x AS (SELECT *, coalesce(pred_diff, m1) AS x1, coalesce(pred_total, m2) AS x2 FROM n0, {f.name}m),
+{f.name}f AS (SELECT {fit}, avg(x1) AS a1, avg(x2) AS a2 FROM {f.name}x WHERE game_date <= DATE '{f.train_end}'),
+{f.name} AS (SELECT {part} AS k, diff, total, diff0 + diff1 * (x1 - a1) + diff2 * (x2 - a2) AS pred_diff, total0 + total1 * (x1 - a1) + total2 * (x2 - a2) AS pred_total FROM {f.name}x, {f.name}f WHERE game_date BETWEEN DATE '{f.val_start}' AND DATE '{f.test_end}')"""
+
+
+@query(
+    "E1, E4, E5, E6, M9",
+    f"WITH {with_views('games')}, {_NAIVE.replace('n AS (', 'n0 AS (', 1)}, {', '.join(map(_fold_sql, _FOLDS))}, n AS ({' UNION ALL '.join(f'SELECT * FROM {f.name} WHERE k IS NOT NULL' for f in _FOLDS)}), {_metrics_sql('k')} SELECT string_split(k, ' ')[2] AS part, met.* EXCLUDE (k), string_split(k, ' ')[1] AS fold FROM met",
+)
 def rolling_origin_cv(spark: SparkSession, sf: str) -> DataFrame:
     rows = _naive(spark, sf).withColumnsRenamed({"pred_diff": "form", "pred_total": "pace"})
     model = O.linear_model(["form", "pace"], {"diff": "pred_diff", "total": "pred_total"})

@@ -87,7 +87,7 @@ def missing_impact(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "W24, Q4, J7",
-    f"""WITH {with_views('inj')}, r AS (SELECT DISTINCT player, team FROM inj), s AS (SELECT r.player, t.team, t.game_id, t.game_date, EXISTS (SELECT 1 FROM inj i WHERE i.player = r.player AND i.game_id = t.game_id AND i.status = 'Out') AS out FROM tg t JOIN r ON r.team = t.team WHERE t.season_id <= 22002),
+    f"""WITH {with_views('inj')}, r AS (SELECT DISTINCT player, team FROM inj), s AS (SELECT r.player, t.team, t.game_id, t.game_date, EXISTS (SELECT 1 FROM inj i WHERE i.player = r.player AND i.game_id = t.game_id AND i.status = 'Out') AS out FROM tg t JOIN r ON r.team = t.team),
 g AS (SELECT *, sum(CASE WHEN out THEN 0 ELSE 1 END) OVER (PARTITION BY player, team ORDER BY game_date, game_id) AS run FROM s)
 SELECT player, team, game_id, CAST(CASE WHEN out THEN sum(CAST(out AS INTEGER)) OVER (PARTITION BY player, team, run ORDER BY game_date, game_id) ELSE 0 END AS BIGINT) AS streak FROM g""",
 )
@@ -103,7 +103,7 @@ def _streaks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "A9, P21",
-    f"""WITH {with_views('inj')}, r AS (SELECT DISTINCT player, team FROM inj), s AS (SELECT r.player, t.team, t.game_id, t.game_date, EXISTS (SELECT 1 FROM inj i WHERE i.player = r.player AND i.game_id = t.game_id AND i.status = 'Out') AS out FROM tg t JOIN r ON r.team = t.team WHERE t.season_id <= 22002),
+    f"""WITH {with_views('inj')}, r AS (SELECT DISTINCT player, team FROM inj), s AS (SELECT r.player, t.team, t.game_id, t.game_date, EXISTS (SELECT 1 FROM inj i WHERE i.player = r.player AND i.game_id = t.game_id AND i.status = 'Out') AS out FROM tg t JOIN r ON r.team = t.team),
 g AS (SELECT *, sum(CASE WHEN out THEN 0 ELSE 1 END) OVER (PARTITION BY player, team ORDER BY game_date, game_id) AS run FROM s),
 k AS (SELECT *, CASE WHEN out THEN sum(CAST(out AS INTEGER)) OVER (PARTITION BY player, team, run ORDER BY game_date, game_id) ELSE 0 END AS streak FROM g)
 SELECT game_id, team, CAST(min(streak) AS BIGINT) AS freshest, round(pow(0.5, (min(streak) - 1) / 5.0), 6) AS weight FROM k WHERE streak > 0 GROUP BY 1, 2""",
@@ -130,7 +130,7 @@ def minutes_trend(spark: SparkSession, sf: str) -> DataFrame:
     return O.minutes_trend(at, snapshots(spark, sf), 4).select("id", r6(F.col("drop")).alias("drop"))
 
 
-_VALUES = "v AS (SELECT team, season_id, CAST(game_id % 3 AS INTEGER) AS archetype, CASE WHEN game_id % 4 = 0 THEN pow(0.5, (game_id % 5) / 5.0) ELSE 0.0 END AS weight, CAST(pts AS DOUBLE) AS pace, CAST(ast AS DOUBLE) AS assists FROM tg WHERE season_id <= 22004)"
+_VALUES = "v AS (SELECT team, season_id, CAST(game_id % 3 AS INTEGER) AS archetype, CASE WHEN game_id % 4 = 0 THEN pow(0.5, (game_id % 5) / 5.0) ELSE 0.0 END AS weight, CAST(pts AS DOUBLE) AS pace, CAST(ast AS DOUBLE) AS assists FROM tg)"
 
 
 @query(

@@ -17,7 +17,7 @@ P = (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4)
 START = "TIMESTAMP '2024-01-05'"
 _T = f"{with_views('ticks')}, t AS (SELECT *, CASE WHEN is_ref THEN price ELSE 1 - price END AS r FROM ticks)"
 _B = """b AS (SELECT market, time_bucket(INTERVAL 6 HOUR, ts) AS bar_start, arg_min(r, (ts, event_id)) AS open, max(r) AS high, min(r) AS low, arg_max(r, (ts, event_id)) AS close,
-  CAST(sum(size) AS BIGINT) AS volume, count(*) AS n_trades, sum(r * size) / sum(size) AS vwap, bool_or(is_ref) AS any_ref FROM t GROUP BY 1, 2)"""
+  CAST(sum(size) AS BIGINT) AS volume, count(*) AS n_trades, CAST(sum(CAST(r AS DECIMAL(12, 6)) * CAST(size AS DECIMAL(12, 0))) AS DOUBLE) / sum(size) AS vwap, bool_or(is_ref) AS any_ref FROM t GROUP BY 1, 2)"""
 _S = "s AS (SELECT market, 'ref' AS side, bar_start, open, high, low, close FROM b UNION ALL SELECT market, 'other', bar_start, 1 - open, 1 - low, 1 - high, 1 - close FROM b)"
 _D = f"""c AS (SELECT s.*, p, max(CAST(low < p AS INTEGER)) OVER (PARTITION BY market, side, p ORDER BY bar_start) AS crossed FROM s CROSS JOIN (SELECT unnest([{', '.join(map(str, P))}])::DOUBLE AS p)),
 k AS (SELECT *, min((low, bar_start)) OVER (PARTITION BY market, side, p) AS tr FROM c WHERE crossed = 1),
@@ -37,10 +37,10 @@ def _start():
     return F.lit("2024-01-05").cast("timestamp_ntz")
 
 
-@query("A13, T1, T2, P19", f"WITH {_T}, {_B} SELECT market, bar_start, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume, CAST(n_trades AS BIGINT) AS n_trades, round(vwap, 6) AS vwap, any_ref FROM b")
+@query("A13, T1, T2, P19", f"WITH {_T}, {_B} SELECT market, bar_start, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume, CAST(n_trades AS BIGINT) AS n_trades, vwap, any_ref FROM b")
 def tick_bars(spark: SparkSession, sf: str) -> DataFrame:
     b = O.bars(_ticks(spark, sf), BAR)
-    return b.select("market", "bar_start", *[r6(F.col(c)).alias(c) for c in ("open", "high", "low", "close")], "volume", "n_trades", r6(F.col("vwap")).alias("vwap"), "any_ref")
+    return b.select("market", "bar_start", *[r6(F.col(c)).alias(c) for c in ("open", "high", "low", "close")], "volume", "n_trades", "vwap", "any_ref")
 
 
 @query("A15, S20", f"WITH {_T} SELECT market, max(ts) AS pregame_ts, round(arg_max(r, (ts, event_id)), 6) AS pregame_price FROM t WHERE ts < {START} GROUP BY 1")

@@ -85,7 +85,7 @@ def player_projection(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "J6",
     f"""WITH {with_views('tg')}, c AS (SELECT team, season_id, game_date, sum(win) OVER (PARTITION BY team, season_id ORDER BY game_date) AS wins FROM tg),
-s AS (SELECT DISTINCT t.team, d.season_id, d.game_date FROM (SELECT DISTINCT season_id, game_date FROM games WHERE season_id <= 22003) d CROSS JOIN (SELECT DISTINCT team FROM tg) t)
+s AS (SELECT t.team, d.season_id, d.game_date FROM (SELECT DISTINCT season_id, game_date FROM games) d JOIN (SELECT DISTINCT season_id, team FROM tg) t ON t.season_id = d.season_id)
 SELECT s.season_id, s.game_date, s.team, CAST(coalesce(c.wins, 0) AS BIGINT) AS wins FROM (SELECT *, game_date - 1 AS e FROM s) s ASOF LEFT JOIN c ON s.team = c.team AND s.season_id = c.season_id AND s.e >= c.game_date""",
 )
 def date_spine(spark: SparkSession, sf: str) -> DataFrame:

@@ -104,11 +104,11 @@ def season_checkpoints(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "S16, S34",
-    f"WITH {with_views('games')}, s AS (SELECT season_id, min(game_date) AS a, max(game_date) AS b FROM games GROUP BY 1), c AS (SELECT season_id, CAST(unnest(generate_series(a, b, INTERVAL 7 DAY)) AS DATE) AS as_of_date FROM s), t AS (SELECT c.season_id, c.as_of_date, t.team FROM c CROSS JOIN (SELECT DISTINCT home AS team FROM games) t) SELECT season_id, as_of_date, team FROM t WHERE NOT EXISTS (SELECT 1 FROM games g WHERE g.game_date = t.as_of_date AND g.home = t.team)",
+    f"WITH {with_views('games')}, s AS (SELECT season_id, min(game_date) AS a, max(game_date) AS b FROM games GROUP BY 1), c AS (SELECT season_id, CAST(unnest(generate_series(a, b, INTERVAL 7 DAY)) AS DATE) AS as_of_date FROM s), t AS (SELECT c.season_id, c.as_of_date, t.team FROM c JOIN (SELECT DISTINCT season_id, home AS team FROM games) t ON t.season_id = c.season_id) SELECT season_id, as_of_date, team FROM t WHERE NOT EXISTS (SELECT 1 FROM games g WHERE g.game_date = t.as_of_date AND g.home = t.team)",
 )
 def missing_checkpoints(spark: SparkSession, sf: str) -> DataFrame:
     g = games(spark, sf)
-    spine = T.checkpoints(g, "season_id", "game_date", 7).join(F.broadcast(g.select(F.col("home").alias("team")).distinct().limit(1024)), how="cross")  # teams: a dimension of 30
+    spine = T.checkpoints(g, "season_id", "game_date", 7).join(g.select("season_id", F.col("home").alias("team")).distinct(), "season_id")
     return spine.join(g.select(F.col("game_date").alias("as_of_date"), F.col("home").alias("team")), ["as_of_date", "team"], "left_anti").select("season_id", "as_of_date", "team")
 
 

@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
+import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir. A single machine may do without the setting; on a cluster that is an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        own = tempfile.mkdtemp(prefix="tideline-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        where = f"file://{own}"
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def write_series(df: DataFrame, path: str, keys: Sequence[str], mode: str = "overwrite") -> None:
     """zstd Parquet, a folder per key value; rows are dealt by key first, so a key's rows don't end in a file per task."""
     df.repartition(*keys).write.mode(mode).option("compression", "zstd").partitionBy(*keys).parquet(path)
@@ -23,8 +39,17 @@ def read_series(spark: SparkSession, path: str, columns: Sequence[str], **keys)
 
 
 def append_run(spark: SparkSession, path: str, row: Mapping) -> None:
-    """One more row of an experiment log in CSV."""
-    spark.createDataFrame([tuple(row.values())], list(row)).coalesce(1).write.mode("append").option("header", True).csv(path)
+    """One more row of an experiment log in CSV. The first row fixes the columns: later ones may lack some, but bring none of their own."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        columns = read_runs(spark, path).columns
+    except AnalysisException:
+        columns = list(row)
+    if unknown := [c for c in row if c not in columns]:
+        raise ValueError(f"the log has no column {unknown}")
+    values = [None if row.get(c) is None else str(row[c]) for c in columns]
+    spark.createDataFrame([values], ", ".join(f"`{c}` string" for c in columns)).coalesce(1).write.mode("append").option("header", True).csv(path)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
