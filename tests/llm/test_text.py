@@ -258,6 +258,33 @@ def test_pipeline(spark, tmp_path):
     assert ids["bpe"] <= ids["near_dups"]
 
 
+def test_near_copies_are_judged_by_row(spark):
+    """Ids that repeat or are missing: each group keeps one row, and no other row goes."""
+    rng = random.Random(7)
+    a, b, c, d = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(4))
+    near = lambda t: t.rsplit(" ", 2)[0]
+    rows = [(3, a), (5, near(a)), (5, b), (None, c), (None, near(c)), (None, near(b)), (9, d), (9, d), (11, None), (12, ""), (12, "")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, ROW string").repartition(3)
+    kept = corpus_pipeline.near_dups(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert got - Counter([(None, c), (None, near(c))]) == Counter([(3, a), (5, b), (9, d), (11, None), (12, ""), (12, "")])
+    assert sum(got[None, t] for t in (c, near(c))) == 1
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    rng = random.Random(21)
+    names = ["language", "posterior", "accepted", "n_lines", "n_removed", "topic", "n_tokens", "weight", "probability", "taken", "copies", "copy", "c1", "row", "kept", "component_id", "_h"]
+    rows = [(i, t, l, s, n, *[f"{k} of {i}" for k in names]) for i, t, l, s, n in _labelled(rng, 60)]
+    docs = spark.createDataFrame(rows, f"{SCHEMA}, {', '.join(f'`{k}` string' for k in names)}")
+    for name, apply in corpus_pipeline.STAGES[:-1]:
+        out = apply(spark, docs, "")
+        assert out.columns == docs.columns, name
+        found = out.collect()
+        assert found and all(r[k] == f"{k} of {r.doc_id}" for r in found for k in names), name
+        assert apply(spark, docs.limit(0), "").count() == 0
+
+
 def test_run_writes_and_rereads(spark, tmp_path):
     rng = random.Random(13)
     spark.createDataFrame(_labelled(rng, 40), SCHEMA).write.parquet(f"file://{tmp_path}/documents.parquet")
