@@ -283,7 +283,12 @@ def test_lines(spark):
         assert (got[i].text, got[i].n_lines, got[i].n_removed) == (kept, 5, 1 if i < 9 else 2)
     assert got[100].text == "whole copy\nsecond line of it" and got[100].n_removed == 0
     assert (got[200].text, got[200].n_lines, got[201].text, got[201].n_lines) == (None, 0, "", 1)
-    assert got[202].n_removed == 0  # mostly boilerplate: left whole
+    assert (got[202].text, got[202].n_removed) == ("x", 1)
+    lenient = {r.doc_id: r for r in line_dedup.strip_boilerplate(docs, max_share=0.5).collect()}
+    assert lenient[202].n_removed == 0 and all(lenient[i].text == got[i].text for i in range(40))
+    many = "\n".join(["Cookie notice", "own"] * 50_000)
+    long = line_dedup.strip_boilerplate(docs.union(spark.createDataFrame([(900, many, "s1", 0)], docs.schema))).where("doc_id = 900").collect()[0]
+    assert (long.n_removed, long.text) == (50_000, "\n".join(["own"] * 50_000))
     assert line_dedup.strip_boilerplate(docs.limit(0)).count() == 0
 
 

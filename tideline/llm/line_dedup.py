@@ -2,8 +2,8 @@
 
 Lines are counted by hash: a HyperLogLog sketch of the sites per line hash, merged by aggregation (map side first, so a line
 that fills the corpus is one sketch per task). Lines whose estimate falls near the threshold get an exact distinct count.
-Documents then lose those lines. A document that consists mostly of spread lines is a copy of a document rather than a
-carrier of boilerplate; it keeps its text for near-duplicate detection to judge.
+Documents then lose those lines. A document of nothing but spread lines is a copy of a document rather than a carrier of
+boilerplate; it keeps its text for near-duplicate detection to judge.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ MIN_SITES = 10
 LG_K = 8
 #: Standard errors around the threshold within which counts are made exactly.
 SIGMAS = 5.0
-MAX_SHARE = 0.5
 
 
 def _lines(text: Column) -> Column:
@@ -56,12 +55,12 @@ def spread_lines(docs: DataFrame, *, text_col: str = "text", site_col: str = "so
     return estimated.where(F.col("sites") > high).select("l1", "l2").union(exact.select("l1", "l2"))
 
 
-def strip_boilerplate(docs: DataFrame, *, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> DataFrame:
+def strip_boilerplate(docs: DataFrame, *, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, max_share: float | None = None) -> DataFrame:
     """docs with n_lines, n_removed and text without its spread lines; all other columns stay.
 
     Lines end at U+000A and are compared without blanks, tabs and carriage returns at their ends; lines empty after that stay.
-    A text of which spread lines make up more than max_share of the lines' characters is left whole. Null texts stay null (no
-    lines, none removed). Repeated rows are treated alike. Columns named n_lines or n_removed are replaced.
+    A text without any other line is left whole, and with max_share also one of which spread lines make up more than that share of
+    the lines' characters. Null texts stay null (no lines, none removed). Repeated rows are treated alike. Columns named n_lines or n_removed are replaced.
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     source = pick(docs, text_col, site_col).toDF("text", "site").select("text", F.col("site").cast("string"))
@@ -69,7 +68,8 @@ def strip_boilerplate(docs: DataFrame, *, text_col: str = "text", site_col: str
     spread = maybe_broadcast(spread, spread.count(), 32)
     hit = _exploded(source).join(spread, ["l1", "l2"]).select("t1", "t2", "place", "n").distinct()
     places = stage(hit.groupBy("t1", "t2").agg(F.collect_set("place").alias("places"), F.sum("n").alias("spread_chars")), "places")
-    places = maybe_broadcast(places, places.count(), 96)
+    n, held = places.agg(F.count("*"), F.sum(F.size("places"))).collect()[0]
+    places = maybe_broadcast(places, 1, 64 * n + 8 * (held or 0))
     at = docs.columns.index(text_col)
     flat = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
     text = F.col(f"_c{at}")
@@ -77,8 +77,11 @@ def strip_boilerplate(docs: DataFrame, *, text_col: str = "text", site_col: str
     joined = flat.withColumns({"t1": t1, "t2": t2}).join(places, ["t1", "t2"], "left")
     lines = _lines(text)
     chars = F.aggregate(F.transform(lines, lambda x: F.char_length(_bare(x))), F.lit(0).cast("long"), lambda a, x: a + x)
-    strip = F.col("places").isNotNull() & (F.col("spread_chars") <= max_share * chars)
-    left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("places", i)), "\n")
+    strip = F.col("places").isNotNull() & (F.col("spread_chars") < chars)
+    if max_share is not None:
+        strip = strip & (F.col("spread_chars") <= max_share * chars)
+    others = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("places"))
+    left = F.array_join(F.element_at(F.transform(F.array(lines), lambda all_: F.transform(others, lambda i: F.get(all_, i))), 1), "\n")
     out = {c: F.col(f"_c{i}") for i, c in enumerate(docs.columns)}
     out[text_col] = F.when(strip, left).otherwise(text)
     return joined.select(
@@ -103,7 +106,7 @@ r AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE hit) AS hits,
              coalesce(sum(length(bare)) FILTER (WHERE hit), 0) AS spread_chars, coalesce(sum(length(bare)), 0) AS chars,
              string_agg(CASE WHEN NOT hit THEN line END, chr(10) ORDER BY place) AS left_over FROM m GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines,
-       CAST(CASE WHEN hits > 0 AND spread_chars <= {MAX_SHARE} * chars THEN hits ELSE 0 END AS BIGINT) AS n_removed,
-       sha256(CASE WHEN hits > 0 AND spread_chars <= {MAX_SHARE} * chars THEN coalesce(left_over, '') ELSE text END) AS text_sha256
+       CAST(CASE WHEN hits > 0 AND spread_chars < chars THEN hits ELSE 0 END AS BIGINT) AS n_removed,
+       sha256(CASE WHEN hits > 0 AND spread_chars < chars THEN coalesce(left_over, '') ELSE text END) AS text_sha256
 FROM d LEFT JOIN r USING (doc_id)
 """
