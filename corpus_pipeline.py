@@ -18,6 +18,8 @@ from tideline.llm.near_dups import near_duplicates
 
 #: Share of the corpus' tokens that the mixture keeps.
 MIX_SHARE = 0.5
+#: Documents with a larger share of boilerplate stay whole for near-duplicate detection.
+WHOLE_ABOVE = 0.5
 
 
 def _apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -45,10 +47,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that many sites share; n_chars follows the text. No document goes.
 
-    Null texts stay null; null sources are no site. A document of nothing but such lines keeps them. Repeated rows fare alike.
+    Null texts stay null; null sources are no site. A document of which such lines make up most keeps them: among near copies from
+    many sites the common lines are such, and what then differs would no longer link them. Repeated rows fare alike.
     """
     flat, at = _apart(docs)
-    out = strip_boilerplate(flat, text_col=at["text"], site_col=at["source"])
+    out = strip_boilerplate(flat, text_col=at["text"], site_col=at["source"], max_share=WHOLE_ABOVE)
     if "n_chars" in at:
         out = out.withColumn(at["n_chars"], F.when(F.col("n_removed") > 0, F.char_length(at["text"]).cast("long")).otherwise(F.col(at["n_chars"])))
     return _named(out, docs)
