@@ -320,6 +320,25 @@ def test_topk(spark, settings):
     assert got == _brute_topk(rows, lambda q: q % 10 == 0, 5)
 
 
+def test_topk_of_clusters_replicates_little(spark, monkeypatch):
+    """Vectors in clusters: a group needs few of them, so far fewer rows than groups x vectors are dealt; results stay exact."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(24, 8)) * 3
+    rows = [(i, [float(x) for x in (centres[i % 24] + 0.05 * rng.normal(size=8)).astype(np.float32)]) for i in range(960)]
+    counts, count = [], vector_topk._counts
+    monkeypatch.setattr(vector_topk, "_counts", lambda data, bounds: counts.extend(count(data, bounds)) or counts)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got = sorted(map(tuple, vector_topk.voronoi_topk(table, F.col("id") % 10 == 0, group_queries=4, block_rows=100).collect()))
+    assert got == _brute_topk(rows, lambda q: q % 10 == 0, 5)
+    assert len(counts) >= 12 and sum(counts) < 0.3 * len(counts) * len(rows)
+
+
+def test_units_share_and_split():
+    assert vector_topk._units([90, 10, 80], [5, 5, 5], 100) == [(0, 1, 100), (1, 1, 10), (0, 1, 100)]
+    n = vector_topk.UNIT_QUERIES
+    assert vector_topk._units([90, 90, 100], [n, 1, 2 * n + 1], 100) == [(0, 1, 100), (1, 1, 100), (2, 3, 100)]
+
+
 def test_topk_of_little(spark):
     schema = "vec_id long, embedding array<float>"
     assert vector_topk.voronoi_topk(spark.createDataFrame([], schema), F.col("id") >= 0).count() == 0

@@ -2,9 +2,11 @@
 
 Vectors become integers (floor(scale * x)). Equal vectors are one row that keeps its k + 1 smallest ids, which is all that any
 query can use of them, so a vector that fills a third of the table costs one row. Pivots, chosen from a bounded sample, split
-queries and data into cells. From the cells' summaries (count, radius) and from the sample itself each query group derives a
-score that every one of its queries reaches k times; a data vector x goes to group g only if pivot_g . x + radius_g * |x| can
-reach that score. A group's data are split into blocks of bounded size, solved locally, and the blocks' top rows merged.
+queries and data into cells. The sample gives each query a score that it reaches k times; a query at distance d from its pivot
+needs a data vector x only if pivot . x + d |x| reaches that. Per group of queries the summary is the largest d n - score at KNOTS
+norms n: between them a convex function lies below its chords. The cells' counts and radii give each group one more such score.
+A counting scan then tells how many vectors each group needs. Groups that need most of the data share them; groups of many
+queries are split; the data of a group go to blocks of bounded size, are solved locally, and the blocks' top rows are merged.
 """
 
 from __future__ import annotations
@@ -19,9 +21,12 @@ from pyspark.sql import functions as F
 from tideline.llm._common import pick, stage, table
 
 SAMPLE = 4096
-GROUP_QUERIES = 1024
-MAX_PIVOTS = 256
+GROUP_QUERIES = 128
+MAX_PIVOTS = 1024
 BLOCK_ROWS = 16_384
+#: Queries that meet a block together at most.
+UNIT_QUERIES = 8192
+KNOTS = 17
 
 
 def _matrix(column):
@@ -67,7 +72,7 @@ def _nearest(x, centres):
 
 
 def _place(centres, sample, k: int):
-    """Data or queries -> cell, distance to its pivot and the score that the sample alone guarantees k times besides a row itself."""
+    """Data or queries -> cell, distance to its pivot, norm and the score that the sample alone guarantees k times besides a row itself."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -81,30 +86,89 @@ def _place(centres, sample, k: int):
             floor = np.full(len(x), -np.inf)
             if sample is not None and len(sample) > k:
                 floor = np.partition(_scores(x, sample), len(sample) - k - 1, axis=1)[:, len(sample) - k - 1].astype(np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near.astype(np.int32)), pa.array(dist), pa.array(floor)], names=["id", "vec", "cell", "dist", "floor"])
+            norm = np.sqrt((x.astype(np.float64) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near.astype(np.int32)), pa.array(dist), pa.array(norm), pa.array(floor)], names=["id", "vec", "cell", "dist", "norm", "floor"])
 
     return run
 
 
-def _replicate(centres, groups: list[int], radius, floor, blocks: int):
-    """Every vector goes to those query groups whose guaranteed score it may reach, into one block of each."""
+class Bounds:
+    """What query groups need: centres of their pivots, largest distance, the guaranteed score, and the summaries at the knots."""
+
+    def __init__(self, centres, radius, floor, knots, at_knots):
+        self.centres, self.radius, self.floor, self.knots, self.at_knots = centres, radius, floor, knots, at_knots
+
+    def needed(self, x):
+        """Rows x groups: whether a vector may be among the k best of any of the group's queries."""
+        import numpy as np
+
+        norm = np.sqrt((x * x).sum(1))
+        step = np.clip(np.searchsorted(self.knots, norm) - 1, 0, len(self.knots) - 2)
+        part = ((norm - self.knots[step]) / (self.knots[step + 1] - self.knots[step]))[:, None]
+        low, high = self.at_knots[:, step].T, self.at_knots[:, step + 1].T
+        with np.errstate(invalid="ignore"):
+            chord = np.where(np.isfinite(low) & np.isfinite(high), low + part * (high - low), np.inf)
+        reach = np.minimum(chord, norm[:, None] * self.radius[None, :] - self.floor[None, :])
+        near = x @ self.centres.T
+        return near + reach + 1 + 1e-9 * (np.abs(near) + norm[:, None] * self.radius[None, :]) >= 0
+
+
+def _count_needed(bounds: Bounds):
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        n = np.zeros(len(bounds.radius), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                n += bounds.needed(_matrix(batch.column(1)).astype(np.float64)).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n)], names=["at", "n"])
+
+    return run
+
+
+def _counts(data: DataFrame, bounds: Bounds) -> list[int]:
+    """How many vectors each group needs."""
+    rows = data.mapInArrow(_count_needed(bounds), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    return [n for _, n in sorted((r.at, r.n) for r in rows)]
+
+
+def _units(needs: list[int], asked: list[int], count: int) -> list[tuple[int, int, int]]:
+    """Per group the first of its units, how many it has, and their number of rows. Groups that need over half of the data share
+    units of up to UNIT_QUERIES queries; others have their own, several if they have more queries than that."""
+    out, shared, room, units = [], 0, 0, 0
+    for need, queries in zip(needs, asked, strict=True):
+        if 2 * need > count and queries <= UNIT_QUERIES:
+            if room < queries:
+                shared, room, units = units, UNIT_QUERIES, units + 1
+            room -= queries
+            out.append((shared, 1, count))
+        else:
+            parts = math.ceil(queries / UNIT_QUERIES)
+            out.append((units, parts, need))
+            units += parts
+    return out
+
+
+def _replicate(bounds: Bounds, units: list[tuple[int, int, int]], blocks: list[int]):
+    """Every vector goes to those units with a group that needs it, into one block of each."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        own = np.asarray(groups)
+        members = np.zeros((len(units), len(blocks)), np.float32)
+        for g, (first, parts, _) in enumerate(units):
+            members[g, first : first + parts] = 1
+        n_blocks = np.asarray(blocks, np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column(1)).astype(np.float64)
-            norm = np.sqrt((x * x).sum(1))
-            bound = x @ centres[own].T + norm[:, None] * radius[None, :]
-            slack = 1 + 1e-9 * (np.abs(bound) + norm[:, None] * radius[None, :])
-            row, g = np.nonzero(bound + slack >= floor[None, :])
+            needed = bounds.needed(_matrix(batch.column(1)).astype(np.float64)).astype(np.float32)
+            row, unit = np.nonzero(needed @ members)
+            block = np.asarray(batch.column(2).to_numpy(), np.int64)[row] % n_blocks[unit]
             take = pa.array(row)
-            block = np.asarray(batch.column(2).to_numpy(), np.int64)[row] % blocks
-            yield pa.RecordBatch.from_arrays([pa.array(own[g].astype(np.int32)), pa.array(block.astype(np.int32)), batch.column(0).take(take), batch.column(1).take(take)], names=["cell", "block", "ids", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(unit.astype(np.int32)), pa.array(block.astype(np.int32)), batch.column(0).take(take), batch.column(1).take(take)], names=["unit", "block", "ids", "vec"])
 
     return run
 
@@ -163,27 +227,34 @@ def voronoi_topk(
     count = data.agg(F.count("*")).collect()[0][0]
     n_queries = asked.agg(F.count("*")).collect()[0][0]
     centres = _pivots(seed, min(MAX_PIVOTS, max(4, math.ceil(n_queries / group_queries))))
-    placed = stage(asked.mapInArrow(_place(centres, seed, k), "id long, vec array<long>, cell int, dist double, floor double"), "queries")
-    groups = {r.cell: r for r in placed.groupBy("cell").agg(F.max("dist").alias("radius"), F.min("floor").alias("floor")).collect()}
+    fields = "vec array<long>, cell int, dist double, norm double, floor double"
+    placed = stage(asked.mapInArrow(_place(centres, seed, k), f"id long, {fields}"), "queries")
+    cells = data.select(F.col("ids").alias("id"), "vec").mapInArrow(_place(centres, None, k), f"id array<long>, {fields}").groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("radius"), F.max("norm").alias("norm")).collect()
+    knots = np.linspace(0, max(c.norm for c in cells) * (1 + 1e-9) + 1, KNOTS)
+    reach = [F.max(F.col("dist") * float(at) - F.col("floor")).alias(f"k{j}") for j, at in enumerate(knots)]
+    groups = sorted(placed.groupBy("cell").agg(F.count("*").alias("queries"), F.max("dist").alias("radius"), *reach).collect(), key=lambda r: r.cell)
     if not groups:
         return vectors.sparkSession.createDataFrame([], schema)
-    cells = data.select(F.col("ids").alias("id"), "vec").mapInArrow(_place(centres, None, k), "id array<long>, vec array<long>, cell int, dist double, floor double").groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("radius")).collect()
     norm = np.sqrt((centres * centres).sum(1))
-    order = sorted(groups)
-    radius = np.array([groups[g].radius for g in order])
-    floor = np.array([groups[g].floor for g in order])
-    for at, g in enumerate(order):  # what the cells' summaries alone guarantee
-        least = sorted(((centres[g] @ centres[c.cell] - norm[g] * c.radius - radius[at] * norm[c.cell] - radius[at] * c.radius, c.n) for c in cells), reverse=True)
+    floor = np.full(len(groups), -np.inf)
+    for at, g in enumerate(groups):  # what the cells' summaries alone guarantee
+        least = sorted(((centres[g.cell] @ centres[c.cell] - norm[g.cell] * c.radius - g.radius * norm[c.cell] - g.radius * c.radius, c.n) for c in cells), reverse=True)
         held = 0
         for score, n in least:
             held += n
             if held > k:
-                floor[at] = max(floor[at], score)
+                floor[at] = score
                 break
-    blocks = max(1, math.ceil(count / block_rows))
-    needed = data.mapInArrow(_replicate(centres, order, radius, floor, blocks), "cell int, block int, ids array<long>, vec array<long>")
-    spread = placed.select("id", "vec", "cell", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    local = spread.groupBy("cell", "block").cogroup(needed.groupBy("cell", "block")).applyInArrow(_solve(k), "query_id long, vec_id long, score long")
+    bounds = Bounds(centres[[g.cell for g in groups]], np.array([g.radius for g in groups]), floor, knots, np.array([[g[f"k{j}"] for j in range(KNOTS)] for g in groups]))
+    units = _units(_counts(data, bounds), [g.queries for g in groups], count)
+    blocks = [1] * max(first + parts for first, parts, _ in units)
+    for first, parts, rows in units:
+        blocks[first : first + parts] = [max(1, math.ceil(rows / block_rows))] * parts
+    needed = data.mapInArrow(_replicate(bounds, units, blocks), "unit int, block int, ids array<long>, vec array<long>")
+    where = vectors.sparkSession.createDataFrame([(g.cell, u[0], u[1], blocks[u[0]]) for g, u in zip(groups, units, strict=True)], "cell int, first int, parts int, blocks int")
+    dealt = placed.join(F.broadcast(where), "cell")  # a row a cell, MAX_PIVOTS at most
+    dealt = dealt.select("id", "vec", (F.col("first") + F.pmod(F.xxhash64("id"), "parts")).cast("int").alias("unit"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    local = dealt.groupBy("unit", "block").cogroup(needed.groupBy("unit", "block")).applyInArrow(_solve(k), "query_id long, vec_id long, score long")
     best = local.distinct().withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
     return best.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
