@@ -186,30 +186,36 @@ def decayed_means(df: DataFrame, names: Sequence[str], keys: Sequence[str], orde
     """df with, for each name, the mean of the last `window` rows before, the weight halving every `halflife` rows back; the weights
     of NULLs drop out.
 
-    A weight 2 ** (row / halflife) gives the same mean as 0.5 ** (age / halflife), so plain window sums suffice. To keep the
-    powers small, rows are numbered within chunks of at least `window` rows; a frame touches at most two neighbouring chunks,
-    an even and an odd one, which are summed apart and then put on one scale.
+    A weight 2 ** (row / halflife) gives the same mean as 0.5 ** (age / halflife), so plain sums suffice. To keep the powers small,
+    rows are numbered within chunks of at least `window` rows. A frame touches at most two neighbouring chunks; its sums are
+    differences of running sums within each, so a row costs the same for any window.
     """
     chunk = max(window, 32)
     spec = W.partitionBy(*keys).orderBy(*order)
-    frame = spec.rowsBetween(-window, -1)
-    row = F.row_number().over(spec) - 1
-    out = df.withColumn("_row", row).withColumns({"_odd": F.floor(F.col("_row") / chunk) % 2 == 1, "_w": F.pow(F.lit(2.0), (F.col("_row") % chunk) / F.lit(float(halflife)))})
-    # The row before this one is in this row's chunk unless this row opens it; weights of the other chunk in the frame are older by one chunk.
-    newest_odd = F.floor((F.col("_row") - 1) / chunk) % 2 == 1
+    numbered = df.withColumn("_row", F.row_number().over(spec) - 1)
+    weighted = numbered.withColumns({"_chunk": F.floor(F.col("_row") / chunk), "_w": F.pow(F.lit(2.0), (F.col("_row") % chunk) / F.lit(float(halflife)))})
+    parts = {}
+    for i, m in enumerate(names):
+        x = F.col(m).cast("double")
+        parts |= {f"_x{i}": F.coalesce(F.col("_w") * x, F.lit(0.0)), f"_n{i}": F.when(x.isNotNull(), F.col("_w")).otherwise(0.0)}
+    within = W.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    summed = weighted.withColumns({c: F.sum(v).over(within) for c, v in parts.items()})
+
+    # The newest row of a frame is the one before this; the frame begins `window` rows before this one.
+    newest, begin = F.floor((F.col("_row") - 1) / chunk), F.greatest(F.col("_row") - window, F.lit(0))
+    before = spec.rowsBetween(W.unboundedPreceding, -1)
+    closed = F.last(F.when(F.col("_row") % chunk == chunk - 1, F.struct(*parts)), ignorenulls=True).over(before)
+    placed = summed.withColumns({"_at": F.lag(F.struct(*parts)).over(spec), "_off": F.lag(F.struct(*parts), window + 1).over(spec), "_closed": closed})
+    placed = placed.withColumns({"_newest": newest, "_first": F.floor(begin / chunk), "_cut": (F.col("_row") > window) & (begin % chunk != 0)})
     older = 2.0 ** (-chunk / halflife)
 
-    def total(value: Column) -> Column:
-        odd = F.coalesce(F.sum(F.when(F.col("_odd"), value)).over(frame), F.lit(0.0))
-        even = F.coalesce(F.sum(F.when(~F.col("_odd"), value)).over(frame), F.lit(0.0))
-        return F.when(newest_odd, odd + older * even).otherwise(even + older * odd)
+    def total(c: str) -> Column:
+        off = F.when(F.col("_cut"), F.col(f"_off.{c}")).otherwise(0.0)
+        one = F.col(f"_at.{c}") - off
+        return F.when(F.col("_first") == F.col("_newest"), one).otherwise(F.col(f"_at.{c}") + older * (F.col(f"_closed.{c}") - off))
 
-    made = {}
-    for m in names:
-        x = F.col(m).cast("double")
-        made[m] = safe_div(total(F.col("_w") * x), total(F.when(x.isNotNull(), F.col("_w"))))
     kept = [c for c in df.columns if c not in names]
-    return out.select(*kept, *[e.alias(m) for m, e in made.items()])
+    return placed.select(*kept, *[safe_div(total(f"_x{i}"), total(f"_n{i}")).alias(m) for i, m in enumerate(names)])
 
 
 def rank_pct(value: Column, *keys: str) -> Column:

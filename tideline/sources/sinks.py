@@ -25,6 +25,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, for what is read more than once."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_series(df: DataFrame, path: str, keys: Sequence[str], mode: str = "overwrite") -> None:
     """zstd Parquet, a folder per key value; rows are dealt by key first, so a key's rows don't end in a file per task."""
     df.repartition(*keys).write.mode(mode).option("compression", "zstd").partitionBy(*keys).parquet(path)
