@@ -327,7 +327,7 @@ def test_neighbours_are_earlier(spark):
     rng = random.Random(7)
     rows = [(i, i // 3, [rng.gauss(0, 1) for _ in range(4)], float(i)) for i in range(40)] + [(40, 20, [0.0] * 4, 1.0)]
     df = spark.createDataFrame(rows, "id long, at int, vec array<double>, score double")
-    got = sorted((r.id, r["rank"], r.other) for r in style.earlier_neighbours(df, df, 3, blocks=4).collect())
+    got = sorted((r.id, r["rank"], r.other) for r in style.earlier_neighbours(df, df, 3, block_rows=2).collect())
 
     def cos(a, b):
         n = lambda v: math.sqrt(sum(x * x for x in v)) or 1e-9
