@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import os
 import re
 import unicodedata
 
@@ -42,6 +43,8 @@ class PreTokens:
             raise ValueError("added tokens with stripping or word rules are not supported")
         self.specials = {t["content"]: t["id"] for t in added}
         longest_first = sorted(self.specials, key=len, reverse=True)
+        #: What every special string begins with: a text without it holds none.
+        self.hint = os.path.commonprefix(longest_first)
         self.cut = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")").split if added else lambda t: [t]
 
     def words(self, segment: str) -> list[str]:
@@ -51,4 +54,4 @@ class PreTokens:
 
     def segments(self, text: str) -> list[str]:
         """Odd places hold special strings, even places plain text."""
-        return self.cut(text) if "<" in text else [text]
+        return self.cut(text) if self.hint in text else [text]

@@ -21,6 +21,8 @@ from tideline.llm._common import one_thread, pick, table, tokenizer_path
 
 #: Distinct pre-tokens that a Python worker remembers, twice over; beyond it those that were not used lately are forgotten.
 MEMO = 200_000
+#: Longer pre-tokens are not remembered, so that the memo is bounded in bytes too.
+LONGEST = 128
 
 
 class Codec:
@@ -66,7 +68,8 @@ class Codec:
             for i, j in zip(edges, edges[1:], strict=False):
                 ids.extend([t.id for t in self.model.tokenize("".join(map(self.chars.__getitem__, raw[i:j])))])
             packed = ids.tobytes()
-        self.words[word] = packed
+        if len(word) <= LONGEST:
+            self.words[word] = packed
         return packed
 
     def encode(self, text: str) -> array:

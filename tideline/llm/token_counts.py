@@ -27,8 +27,10 @@ CHUNK_ROWS = 16_384
 CHUNK_CHARS = 32 << 20
 #: Entries that a task adds up before it passes them on.
 FLUSH_ENTRIES = 4 << 20
-#: Distinct pre-tokens that a task remembers; beyond it the memo starts anew and a word may be encoded again.
-MEMO = 2_000_000
+#: Bytes of distinct pre-tokens, at ENTRY_BYTES each beside their own, that a task remembers; beyond it the memo starts anew and a word
+#: may be encoded again.
+MEMO_BYTES = 220 << 20
+ENTRY_BYTES = 100
 
 
 def _load(path: str):
@@ -161,7 +163,7 @@ def _join_and_add(path: str):
         tokenizer = _load(path)
         pieces: dict[bytes, int] = {}
         sums: dict[int, np.ndarray] = {}
-        held = 0
+        held = memo = 0
         names = ["chunk", "docs", "sums", "ids", "n_bytes", "done"]
         longs = pa.list_(pa.int64())
 
@@ -179,9 +181,11 @@ def _join_and_add(path: str):
                     yield pa.RecordBatch.from_arrays([one.column(1), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), one.column(3), one.column(4), one.column(5)], names=names)
                     continue
                 words, each, docs = _unpack(block)
-                if len(pieces) > MEMO:
+                if memo > MEMO_BYTES:
                     pieces.clear()
+                    memo = 0
                 if new := [w for w in words if w not in pieces]:
+                    memo += sum(map(len, new)) + ENTRY_BYTES * len(new)
                     pieces.update(zip(new, _n_pieces(tokenizer, [w.decode() for w in new]), strict=True))
                 weight = np.repeat(np.fromiter(map(pieces.__getitem__, words), np.int64, len(words)), each)
                 n = np.bincount(docs, weights=weight).astype(np.int64)
@@ -220,7 +224,8 @@ def token_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) for every row of docs, by a byte-level BPE file.
 
     Null texts count as empty (0 bytes, 0 tokens). Repeated rows and null ids stay rows of their own. Empty tables give no
-    rows. Other columns are ignored.
+    rows. Other columns are ignored. Chunks are named by partition and place, so docs must be a scan, a staged or a sorted table:
+    one that reads its rows in the same order again if an executor is lost.
     """
     path = tokenizer or tokenizer_path("byte_bpe_50k.json")
     source = pick(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), "text")

@@ -16,6 +16,7 @@ it brings documents to files in ascending id order.
 from __future__ import annotations
 
 import functools
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -35,6 +36,8 @@ END_ID = 2
 PLAIN_BELOW = 0x23A
 #: Distinct words, and distinct runs of them, that a Python worker remembers; beyond it the memo starts anew.
 MEMO = 400_000
+#: Longer words and runs are not remembered, so that the memo is bounded in bytes too.
+LONGEST = 128
 
 
 class WordCodes:
@@ -64,6 +67,8 @@ class WordCodes:
         self.find = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{spaces}{letters}{digits}]+").findall
         self.beyond = re.compile(f"[\\x1c-\\x1f\\U{PLAIN_BELOW:08x}-\\U0010ffff]").search
         self.specials = [t["content"] for t in json.loads(self.library.to_str())["added_tokens"]]
+        #: What every special string begins with: a text without it holds none.
+        self.hint = os.path.commonprefix(self.specials)
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.dtype = "<u2" if self.size <= 1 << 16 else "<u4"
         self.code = "H" if self.size <= 1 << 16 else "I"
@@ -77,7 +82,8 @@ class WordCodes:
         if packed is None:
             raw = word if word.isascii() and word.isprintable() else "".join(map(self.chars.__getitem__, word.encode()))
             packed = array(self.code, [t.id for t in self.model.tokenize(raw)]).tobytes()
-        self.words[word] = packed
+        if len(word) <= LONGEST:
+            self.words[word] = packed
         return packed
 
     def _run(self, run: str) -> bytes:
@@ -89,12 +95,13 @@ class WordCodes:
                 packed = known.get(run) or self._word(run)
             else:
                 packed = b"".join([known.get(w) or self._word(w) for w in self.find(run)])
-        self.runs[run] = packed
+        if len(run) <= LONGEST:
+            self.runs[run] = packed
         return packed
 
     def encode(self, text: str) -> bytes:
         """The text's ids, packed as little-endian self.dtype. What was used since the memo last filled up stays known."""
-        if self.beyond(text) or "<|" in text and any(s in text for s in self.specials):
+        if self.beyond(text) or self.hint in text and any(s in text for s in self.specials):
             return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self.runs) > MEMO:
             self.old_runs, self.runs = self.runs, {}
