@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -102,6 +103,39 @@ def test_encode_then_decode(spark, byte_bpe):
     assert {r.doc_id: r.text for r in bpe_codec.decode(odd).collect()} == {1: "", 2: byte_bpe.decode([128, 200])}
 
 
+def test_other_special_strings(spark, tmp_path):
+    """Special strings that have nothing in common, not even their first character."""
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    library.add_special_tokens(["[SEP]", "§end"])
+    library.save(f"{tmp_path}/other.json")
+    texts = ["a [SEP]b", "x§end", "[SEP]<|endoftext|>§end§", "[sep] plain", "", None]
+    counted = {r.doc_id: r.n_tokens for r in token_counts.token_counts(_docs(spark, texts), tokenizer=f"{tmp_path}/other.json").collect()}
+    coded = {r.doc_id: r.ids for r in bpe_codec.encode(_docs(spark, texts), tokenizer=f"{tmp_path}/other.json").collect()}
+    for i, t in enumerate(texts):
+        assert coded[i] == library.encode(t or "", add_special_tokens=False).ids
+        assert counted[i] == len(coded[i])
+
+
+def test_long_words_are_not_remembered(byte_bpe, word_bpe):
+    text = "x" * 5000 + " " + "-" * 3000 + " a"
+    codec, codes = bpe_codec.Codec(P.path("byte_bpe_50k.json")), token_files.WordCodes(P.path("word_bpe_49k.json"))
+    for _ in range(2):
+        assert codec.encode(text).tolist() == byte_bpe.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(codes.encode(text), codes.dtype).tolist() == word_bpe.encode(text, add_special_tokens=False).ids
+    assert max(map(len, [*codec.words, *codes.words, *codes.runs])) <= 128
+
+
+def test_memo_of_counts_restarts(byte_bpe, monkeypatch):
+    monkeypatch.setattr(token_counts, "MEMO_BYTES", 500)
+    texts = _random_texts(40)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    monkeypatch.setattr("pyspark.TaskContext.get", staticmethod(lambda: type("Context", (), {"partitionId": staticmethod(lambda: 0)})))
+    packed = list(token_counts._invert(P.path("byte_bpe_50k.json"), 4)(iter([batch])))
+    added = pa.Table.from_batches(list(token_counts._join_and_add(P.path("byte_bpe_50k.json"))(iter(packed))))
+    got = token_counts._complete(added).to_pydict()
+    assert got["n_tokens"] == [len(byte_bpe.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_cuts_are_certain(byte_bpe):
     codec = bpe_codec.Codec(P.path("byte_bpe_50k.json"))
     assert 0 < sum(codec.inside) < 65536
@@ -160,6 +194,25 @@ def test_token_files(spark, word_bpe, tmp_path, monkeypatch):
         at += len(ids)
 
 
+def test_token_files_of_a_hot_id(spark, tmp_path):
+    """Rows without an id, all of one text, go to several files; starts still follow one order."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(0, 6000, 1, 6).select(F.when(F.col("id") % 3 == 0, F.col("id")).alias("doc_id"), F.lit("one two").alias("text"))
+    path = f"file://{tmp_path}/hot"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which would join files as small as these
+    try:
+        token_files.write_token_files(rows, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = token_files.read_token_files(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 4000 + list(range(0, 6000, 3))
+    n = got[0].n_tokens
+    assert [r.start for r in got] == [n * k for k in range(6000)]
+    blocks = spark.read.parquet(f"{path}/blocks")
+    assert blocks.select("part", F.explode("doc_ids").alias("i")).where("i IS NULL").select("part").distinct().count() > 1
+
+
 def test_token_files_of_nothing_and_damage(spark, tmp_path):
     empty = f"file://{tmp_path}/empty"
     token_files.write_token_files(_docs(spark, []).limit(0), empty)

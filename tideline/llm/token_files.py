@@ -285,8 +285,8 @@ BLOCKS = "part int, block int, start long, doc_ids array<long>, lengths array<lo
 def write_token_files(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> None:
     """Encodes every whole text, appends end_id, and writes the ids in ascending id order to the folder `path`.
 
-    Null texts count as empty (the end id alone). Null ids come first. Rows that repeat an id follow each other, ordered by
-    their packed ids. An empty table gives a folder without blocks. Only the frequency table, bounded by the vocabulary, reaches the driver.
+    Null texts count as empty (the end id alone). Null ids come first. Rows that repeat an id follow each other, ordered by a hash
+    of their ids; they may fill several files, so that no id, missing ones included, makes a task hot. An empty table gives a folder without blocks. Only the frequency table, bounded by the vocabulary, reaches the driver.
     """
     import numpy as np
     from tokenizers import Tokenizer
@@ -301,8 +301,10 @@ def write_token_files(docs: DataFrame, path: str, *, id_col: str = "doc_id", tex
     freq = quantise({r.token: r.n for r in counted}, size) if counted else np.zeros(size, np.int64)
     used = [(int(i), int(freq[i])) for i in np.flatnonzero(freq)]
     spark.createDataFrame(used, "token int, freq long").coalesce(1).write.parquet(f"{path}/table")
-    ordered = coded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(_write_blocks(dtype, freq), BLOCKS).write.parquet(f"{path}/blocks")
+    key = ["doc_id", "tie", "row"]
+    keyed = coded.withColumns({"tie": F.xxhash64("ids"), "row": F.monotonically_increasing_id()})
+    ordered = keyed.repartitionByRange(*key).sortWithinPartitions(*key)
+    ordered.select("doc_id", "ids").mapInArrow(_write_blocks(dtype, freq), BLOCKS).write.parquet(f"{path}/blocks")
     drop_stage(coded)
 
 
