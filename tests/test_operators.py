@@ -340,6 +340,26 @@ def test_neighbours_are_earlier(spark):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("floor", [None, 0.3])
+def test_neighbours_tie_by_id_across_blocks(spark, floor):
+    rng = random.Random(11)
+    some = [[rng.gauss(0, 1) for _ in range(5)] for _ in range(9)]
+    day = lambda n: None if n is None else dt.date(2020, 1, 1) + dt.timedelta(n)
+    rows = [(i, rng.choice([3, 3, 3, *range(12)]), some[rng.randrange(9)], 1.0) for i in range(150)]
+    rows += [(150, 5, None, 1.0), (151, 5, [1.0, None, 1.0, 1.0, 1.0], 1.0), (152, 5, [float("nan")] * 5, 1.0), (153, None, some[0], 1.0)]
+    schema = "id long, at date, vec array<double>, score double"
+    df = spark.createDataFrame([(i, day(a), v, s) for i, a, v, s in rows], schema)
+    want = []
+    for i, a, v, _ in rows[:150]:
+        cos = lambda w, v=v: sum(x * y for x, y in zip(v, w, strict=True)) / math.sqrt(sum(x * x for x in v)) / math.sqrt(sum(x * x for x in w))
+        near = sorted((-round(cos(w), 9), j) for j, b, w, _ in rows[:150] if b < a)[:6]
+        want += [(i, n + 1, j) for n, (s, j) in enumerate(near) if floor is None or -s >= floor]
+    for block_rows in (25, 1000):
+        got = style.earlier_neighbours(df, df, 6, floor=floor, block_rows=block_rows).collect()
+        assert sorted((r.id, r["rank"], r.other) for r in got) == want
+    assert style.earlier_neighbours(df, df.limit(0), 6, floor=floor).count() == 0 == style.earlier_neighbours(df.limit(0), df, 6, floor=floor).count()
+
+
 def test_folds():
     f = lambda n, a, b, c, d, e: evaluate.Fold(n, *(f"2020-{x:02d}-01" for x in (a, b, c, d, e)))
     evaluate.check_folds([f("a", 1, 2, 3, 4, 5), f("b", 4, 5, 6, 7, 8)])
