@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tideline.llm import yinyang
 
-SEEDS = F.sha2(F.concat(F.lit("2:"), F.col("id").cast("string")), 256)
+
+def _seeds():
+    return F.sha2(F.concat(F.lit("2:"), F.col("id").cast("string")), 256)
 
 
 def _lloyd(rows, k, rounds):
@@ -34,7 +36,7 @@ def _frame(spark, rows):
 
 
 def _check(spark, rows, k, rounds, dims, scale=256, group=2):
-    got, centres = yinyang.cluster_vectors(_frame(spark, rows), k=k, rounds=rounds, dims=dims, seeds=SEEDS, scale=scale, group=group)
+    got, centres = yinyang.cluster_vectors(_frame(spark, rows), k=k, rounds=rounds, dims=dims, seeds=_seeds(), scale=scale, group=group)
     got = got.collect()
     whole = [(i, [int(scale * x // 1) for x in v]) for i, v in rows]
     want, want_centres = _lloyd(whole, k, rounds)
@@ -61,13 +63,13 @@ def test_ties_repeats_and_null_ids(spark):
 def test_few_vectors_and_none(spark):
     rows = [(1, [0.5, 0.25]), (2, [-0.5, 0.25])]
     _check(spark, rows, 40, 3, 2)
-    out, centres = yinyang.cluster_vectors(_frame(spark, []), k=3, rounds=2, dims=2, seeds=SEEDS)
+    out, centres = yinyang.cluster_vectors(_frame(spark, []), k=3, rounds=2, dims=2, seeds=_seeds())
     assert out.collect() == [] and centres == []
 
 
 def test_what_takes_no_part(spark):
     rows = [(1, [0.5, 0.25]), (2, None), (3, [1.0]), (4, [float("nan"), 0.0]), (5, [float("inf"), 0.0]), (6, [None, 0.0]), (7, [])]
-    out, _ = yinyang.cluster_vectors(_frame(spark, rows), k=3, rounds=2, dims=2, seeds=SEEDS)
+    out, _ = yinyang.cluster_vectors(_frame(spark, rows), k=3, rounds=2, dims=2, seeds=_seeds())
     assert [r.vec_id for r in out.collect()] == [1]
 
 
@@ -78,13 +80,13 @@ def test_large_components(spark):
     _check(spark, rows, 4, 3, 2, scale=1)
     for big in (2.0**31, 1e300, -1e300):
         with pytest.raises(ValueError, match="2\\*\\*63"):
-            yinyang.cluster_vectors(_frame(spark, [(1, [big, 0.0])]), k=1, rounds=1, dims=2, seeds=SEEDS, scale=1)
+            yinyang.cluster_vectors(_frame(spark, [(1, [big, 0.0])]), k=1, rounds=1, dims=2, seeds=_seeds(), scale=1)
 
 
 def test_bounds_spare_distances(spark):
     rng = random.Random(6)
     spots = [[rng.uniform(-1, 1) for _ in range(8)] for _ in range(20)]
     rows = [(i, [x + rng.gauss(0, 0.02) for x in spots[i % 20]]) for i in range(2000)]
-    out, _ = yinyang.cluster_vectors(_frame(spark, rows), k=20, rounds=6, dims=8, seeds=SEEDS, group=4)
+    out, _ = yinyang.cluster_vectors(_frame(spark, rows), k=20, rounds=6, dims=8, seeds=_seeds(), group=4)
     cost = out.agg(F.sum("scanned")).collect()[0][0]
     assert cost < 0.5 * 2000 * 20 * 7
