@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.functions.columns import normal_cdf, safe_div
-from tideline.operators.market import global_rank
+from tideline.operators.ranks import global_rank
 from tideline.operators.windows import r6
 
 
@@ -113,35 +113,29 @@ def linear_model(features: Sequence[str], targets: Mapping[str, str]) -> Callabl
     return predict
 
 
-def boosted_model(features: Sequence[str], targets: Mapping[str, str], **params) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    """The same with gradient-boosted trees, one model a target."""
+def donors(rows: DataFrame, key: str, seed: int, within: Sequence[str] = ()) -> DataFrame:
+    """within, key, donor: the donor of a row stands in the order of a hash of (seed, within, key) where the row stands in that of key.
 
-    def predict(train: DataFrame, rows: DataFrame) -> DataFrame:
-        from pyspark.ml import Pipeline
-        from pyspark.ml.feature import Imputer, VectorAssembler
-        from pyspark.ml.regression import GBTRegressor
-
-        filled = [f"_f{i}" for i in range(len(features))]
-        prepare = Pipeline(stages=[Imputer(inputCols=list(features), outputCols=filled), VectorAssembler(inputCols=filled, outputCol="_x")]).fit(train)
-        ready, out = prepare.transform(train), prepare.transform(rows)
-        for target, name in targets.items():
-            out = GBTRegressor(featuresCol="_x", labelCol=target, predictionCol=name, seed=7, **params).fit(ready).transform(out)
-        return out.drop("_x", *filled)
-
-    return predict
+    A permutation of the rows of each `within` that any engine with SHA-256 derives alike. key tells the rows of a `within` apart.
+    """
+    drawn = F.sha2(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in (*within, key)]), 256)
+    placed = global_rank(rows.select(*within, key), [*within, key]).select(*within, key, "rank")
+    dealt = global_rank(rows.select(*within, F.col(key).alias("donor"), drawn.alias("_drawn")), [*within, "_drawn", "donor"]).select(*within, "donor", "rank")
+    return placed.join(dealt, [*within, "rank"]).drop("rank")
 
 
 def permuted(df: DataFrame, columns: Sequence[str], key: str, seed: int) -> DataFrame:
     """df with a block of columns shuffled together among rows, the rest in place; the order of rows doesn't matter."""
-    rows = global_rank(df.select(key), [key]).select(key, F.col("rank").alias("_n"))
-    drawn = global_rank(df.select(*columns, F.xxhash64(F.lit(seed), F.col(key)).cast("double").alias("_u"), F.col(key).alias("_key")), ["_u", "_key"]).select(*columns, F.col("rank").alias("_n"))
-    return df.drop(*columns).join(rows, key).join(drawn, "_n").drop("_n").select(*df.columns)
+    lent = df.select(F.col(key).alias("donor"), *columns)
+    return df.drop(*columns).join(donors(df, key, seed), key).join(lent, "donor").select(*df.columns)
 
 
-def importance(scores: DataFrame) -> DataFrame:
-    """fold, family, delta -> mean, share of all, first fold and later folds side by side."""
-    per = scores.groupBy("family").agg(F.avg("delta").alias("mean"), F.sum("delta").alias("total"), F.avg(F.when(F.col("fold") == 1, F.col("delta"))).alias("first"), F.avg(F.when(F.col("fold") > 1, F.col("delta"))).alias("later"))
-    return per.select("family", r6(F.col("mean")).alias("mean"), r6(safe_div(F.col("total"), F.sum("total").over(W.partitionBy()))).alias("share"), r6(F.col("first")).alias("first"), r6(F.col("later")).alias("later"))
+def importance(scores: DataFrame, first: str) -> DataFrame:
+    """fold, family, share, delta -> per family their means over folds, and the share in the first fold beside that in later ones."""
+    in_first = F.col("fold") == first
+    return scores.groupBy("family").agg(
+        r6(F.avg("share")).alias("share"), r6(F.avg("delta")).alias("delta"), r6(F.avg(F.when(in_first, F.col("share")))).alias("first_share"), r6(F.avg(F.when(~in_first, F.col("share")))).alias("later_share")
+    )
 
 
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:

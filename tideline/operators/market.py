@@ -159,18 +159,3 @@ def classify(markets: DataFrame, key: str, types: Sequence[str]) -> DataFrame:
     several = [F.when(F.max(F.when(F.col("type") == t, F.col("n"))) > 1, F.lit(f"several_{t}")) for t in types]
     missing = [F.when(F.max(F.when(F.col("type") == t, F.col("n"))).isNull(), F.lit(f"no_{t}")) for t in types]
     return rows.groupBy(key).agg(*picked, F.concat_ws(";", F.array_compact(F.array(*several, *missing))).alias("flags"))
-
-
-def global_rank(df: DataFrame, order: Sequence[str], buckets: int = 64) -> DataFrame:
-    """rank (1 to n_rows, in order) and n_rows, without gathering all rows in one task: rows are cut into ranges of the first
-    order column, ranked inside, and shifted by the rows of lower ranges (a table of at most `buckets` rows)."""
-    first = order[0]
-    edges = df.approxQuantile(first, [i / buckets for i in range(1, buckets)], 0.001)
-    part = F.lit(0)
-    for e in sorted(set(edges)):
-        part = part + (F.col(first) > e).cast("int")
-    cut = df.withColumn("_part", part)
-    sizes = cut.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(W.partitionBy()).alias("n_rows"))
-    ranked = cut.withColumn("_r", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
-    return ranked.join(F.broadcast(before), "_part").withColumn("rank", F.col("_r") + F.col("_before")).drop("_part", "_r", "_before")

@@ -73,15 +73,6 @@ def rolling_origin_cv(spark: SparkSession, sf: str) -> DataFrame:
     return O.rolling_origin(rows, "game_date", _FOLDS, model)
 
 
-_IMP = "s AS (SELECT CAST(o_orderkey % 5 + 1 AS INTEGER) AS fold, o_orderpriority AS family, avg(floor(o_totalprice)) AS delta FROM orders GROUP BY 1, 2)"
-
-
-@query("A21, E7", f"WITH {_IMP} SELECT family, round(avg(delta), 6) AS mean, round(sum(delta) / sum(sum(delta)) OVER (), 6) AS share, round(avg(delta) FILTER (WHERE fold = 1), 6) AS first, round(avg(delta) FILTER (WHERE fold > 1), 6) AS later FROM s GROUP BY 1")
-def family_importance(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "orders").groupBy((F.col("o_orderkey") % 5 + 1).cast("int").alias("fold"), F.col("o_orderpriority").alias("family")).agg(F.avg(F.floor("o_totalprice")).alias("delta"))
-    return O.importance(s)
-
-
 _COLS = ("fga_home", "fgm_home", "pts_home", "pts_away")
 
 
@@ -107,9 +98,3 @@ def quality_checks(spark: SparkSession, sf: str) -> DataFrame:
 def worst_rows(spark: SparkSession, sf: str) -> DataFrame:
     m = F.abs(F.col("pts_home") - F.col("pts_away"))
     return games(spark, sf).select("game_id", m.alias("margin")).where("margin > 20").orderBy(F.desc("margin"), "game_id").limit(10)
-
-
-@query("E7", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(s_suppkey) AS BIGINT) AS keys, round(sum(s_acctbal), 4) AS balance FROM supplier")
-def block_permutation(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    return O.permuted(s, ["s_acctbal"], "s_suppkey", 7).agg(F.count("*").alias("n"), F.sum("s_suppkey").alias("keys"), F.round(F.sum("s_acctbal"), 4).alias("balance"))

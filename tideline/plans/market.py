@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import columns as C
 from tideline.operators import market as O
+from tideline.operators.ranks import global_rank
 from tideline.operators.windows import r6
 from tideline.plans import query
 from tideline.sources.views import table, ticks, with_views
@@ -125,7 +126,7 @@ def right_closed_histogram(spark: SparkSession, sf: str) -> DataFrame:
 @query("W28", "WITH r AS (SELECT user_id AS market, row_number() OVER (ORDER BY n, user_id) AS r, count(*) OVER () AS n FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)) SELECT market, CAST(least(3, greatest(0, ceil((r - 1) * 4 / CAST(n - 1 AS DOUBLE)) - 1)) AS INTEGER) AS quartile FROM r")
 def volume_quartiles(spark: SparkSession, sf: str) -> DataFrame:
     n = table(spark, sf, "events").groupBy(F.col("user_id").alias("market")).agg(F.count("*").alias("v"))
-    ranked = O.global_rank(n, ["v", "market"])
+    ranked = global_rank(n, ["v", "market"])
     return ranked.select("market", C.quartile(F.col("rank"), F.col("n_rows")).alias("quartile"))
 
 
