@@ -6,11 +6,12 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tideline.functions import columns as C
-from tideline.operators import asof, elo, evaluate, form, health, market, pairs, players, ranks, standings, style, tables
+from tideline.operators import asof, elo, evaluate, form, health, market, neighbours, pairs, players, ranks, standings, style, tables
 from tideline.operators.windows import by, centred, with_streak
 from tideline.sources.views import STYLE, perspective
 
@@ -339,7 +340,7 @@ def test_neighbours_are_earlier(spark):
     rng = random.Random(7)
     rows = [(i, i // 3, [rng.gauss(0, 1) for _ in range(4)], float(i)) for i in range(40)] + [(40, 20, [0.0] * 4, 1.0)]
     df = spark.createDataFrame(rows, "id long, at int, vec array<double>, score double")
-    got = sorted((r.id, r["rank"], r.other) for r in style.earlier_neighbours(df, df, 3, block_rows=2).collect())
+    got = sorted((r.id, r["rank"], r.other) for r in neighbours.earlier_neighbours(df, df, 3, cell_rows=5, block_rows=2).collect())
 
     def cos(a, b):
         n = lambda v: math.sqrt(sum(x * x for x in v)) or 1e-9
@@ -366,10 +367,42 @@ def test_neighbours_tie_by_id_across_blocks(spark, floor):
         cos = lambda w, v=v: sum(x * y for x, y in zip(v, w, strict=True)) / math.sqrt(sum(x * x for x in v)) / math.sqrt(sum(x * x for x in w))
         near = sorted((-round(cos(w), 9), j) for j, b, w, _ in rows[:150] if b < a)[:6]
         want += [(i, n + 1, j) for n, (s, j) in enumerate(near) if floor is None or -s >= floor]
-    for block_rows in (25, 1000):
-        got = style.earlier_neighbours(df, df, 6, floor=floor, block_rows=block_rows).collect()
+    for cell_rows, block_rows in ((10, 1000), (30, 7), (1000, 1000)):
+        got = neighbours.earlier_neighbours(df, df, 6, floor=floor, cell_rows=cell_rows, block_rows=block_rows).collect()
         assert sorted((r.id, r["rank"], r.other) for r in got) == want
-    assert style.earlier_neighbours(df, df.limit(0), 6, floor=floor).count() == 0 == style.earlier_neighbours(df.limit(0), df, 6, floor=floor).count()
+    assert neighbours.earlier_neighbours(df, df.limit(0), 6, floor=floor).count() == 0 == neighbours.earlier_neighbours(df.limit(0), df, 6, floor=floor).count()
+
+
+def test_cones_spare_pairs(spark):
+    """Clustered vectors: under 30 % of the pairs are scored, results are those of all pairs, and groups stay apart."""
+    rng = random.Random(12)
+    spots = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(24)]
+    rows = [(i % 2, i, i, [x + rng.gauss(0, 0.05) for x in spots[rng.randrange(24)]], float(i)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "grp int, id long, at int, vec array<double>, score double")
+    targets = df.where("id % 10 < 2")
+    n_targets = targets.count()
+    found = neighbours.search_earlier(targets, df, 5, threshold=0.95, group="grp", cell_rows=100, scored=True).collect()
+    assert sum(r.n for r in found if r.sim == -2) < 0.3 * n_targets * 3000
+    vectors = np.array([r[3] for r in rows])
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    got = neighbours.earlier_neighbours(targets, df, 5, group="grp", cell_rows=100).collect()
+    near = {}
+    for r in got:
+        near.setdefault(r.id, []).append((r["rank"], r.other))
+    votes = {}
+    for r in found:
+        if r.other is None and r.sim != -2:
+            n, s = votes.get(r.id, (0, 0.0))
+            votes[r.id] = (n + r.n, s + r.score)
+    for i in range(0, 6000):
+        if i % 10 >= 2:
+            continue
+        own = np.arange(i % 2, i, 2)
+        sims = vectors[own] @ vectors[i]
+        best = own[np.argsort(-sims, kind="stable")[:5]]
+        assert [o for _, o in sorted(near.get(i, []))] == best.tolist()
+        reached = own[sims >= 0.95]
+        assert votes.get(i, (0, 0.0)) == (len(reached), float(reached.sum()))
 
 
 def test_folds():
