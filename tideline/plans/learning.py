@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from tideline.functions.columns import safe_div
 from tideline.operators import boosting as B
 from tideline.operators import evaluate as O
+from tideline.operators import pairs as P
+from tideline.operators import style as S
+from tideline.operators import walkforward as W
 from tideline.operators.windows import by, lagged, r6
 from tideline.plans import query
 from tideline.plans.evaluation import _metrics_sql
-from tideline.sources.views import games, with_views
+from tideline.plans.style import _RAW
+from tideline.sources.sinks import staged
+from tideline.sources.views import STYLE, games, perspective, with_views
 
 _FOLDS = (O.Fold("f1", "2016-12-31", "2017-01-01", "2017-01-31", "2017-02-01", "2017-03-31"), O.Fold("f2", "2017-12-31", "2018-01-01", "2018-03-31", "2018-04-01", "2018-06-30"))
 _FEATURES = {"form": ("form_home", "form_away"), "pace": ("pace_home",), "shooting": ("fg_home",)}
@@ -158,3 +163,51 @@ def family_importance(spark: SparkSession, sf: str) -> DataFrame:
 def block_permutation(spark: SparkSession, sf: str) -> DataFrame:
     """Every game with its score and the shooting block of the game that the permutation names."""
     return O.permuted(games(spark, sf).select("game_id", "pts_home", "fgm_home", "fga_home"), ["fgm_home", "fga_home"], "game_id", 7)
+
+
+_SEASONS = (W.Season("w1", "2017-02-01", "2017-03-31"), W.Season("w2", "2018-01-01", "2018-02-28"), W.Season("w3", "2019-01-01", "2019-02-28"))
+_METHODS = (
+    W.Method("threshold", 20, 5.0, 10, 50, threshold=0.7),
+    W.Method("nearest", 37, 13.2, 21, 82, k=81),
+    W.Method("nearest_floor", 37, 13.2, 21, 82, k=81, floor=0.4),
+)
+
+
+def _walk_sql() -> str:
+    names = S.METRICS
+    out = []
+    settings = list(dict.fromkeys((m.window, m.halflife) for m in _METHODS))
+    for i, (n, h) in enumerate(settings):
+        age = f"pow(0.5, (len({{m}}) - i) / {h})"
+        mean = lambda m: f"list_sum(list_transform({m}, lambda x, i: x * {age.format(m=m)})) / list_sum(list_transform({m}, lambda x, i: {age.format(m=m)})) AS {m}"
+        out.append(f"w{i} AS (SELECT game_id, game_date, team, count(*) OVER p AS n_games, {', '.join(f'list({m}) OVER p AS {m}' for m in names)} FROM raw WINDOW p AS (PARTITION BY team ORDER BY game_date, game_id ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING))")
+        out.append(f"fp{i} AS MATERIALIZED (SELECT game_id, game_date, team, {', '.join(map(mean, names))} FROM w{i} WHERE n_games >= 5)")
+    parts = []
+    for i in range(len(settings)):
+        for j, f in enumerate(_SEASONS):
+            z = ", ".join(f"avg({m}) AS {m}_m, CASE WHEN stddev_samp({m}) >= 1e-9 THEN stddev_samp({m}) ELSE 1 END AS {m}_s" for m in names)
+            vec = ", ".join(f"({s}.{m} - {m}_m) / {m}_s" for s in ("h", "a") for m in names)
+            parts.append(f"SELECT {i} AS setting, {j} AS fold, g.game_id, g.game_date, g.game_date >= DATE '{f.start}' AS asked, CAST(g.pts_home - g.pts_away AS DOUBLE) AS margin, [{vec}] AS v FROM games g JOIN fp{i} h ON h.game_id = g.game_id AND h.team = g.home JOIN fp{i} a ON a.game_id = g.game_id AND a.team = g.away, (SELECT {z} FROM fp{i} WHERE game_date < DATE '{f.start}') WHERE g.game_date <= DATE '{f.end}' AND {names[0]}_m IS NOT NULL")
+    out.append(f"v AS MATERIALIZED (SELECT *, CASE WHEN list_inner_product(v, v) = 0 THEN 1e-9 ELSE sqrt(list_inner_product(v, v)) END AS norm FROM ({' UNION ALL '.join(parts)}))")
+    out.append("sims AS MATERIALIZED (SELECT t.setting, t.fold, t.game_id, p.margin, list_inner_product(t.v, p.v) / (t.norm * p.norm) AS sim, row_number() OVER (PARTITION BY t.setting, t.fold, t.game_id ORDER BY list_inner_product(t.v, p.v) / (t.norm * p.norm) DESC, p.game_id) AS rn FROM v t JOIN v p ON p.setting = t.setting AND p.fold = t.fold AND p.game_date < t.game_date WHERE t.asked)")
+    judged = []
+    for m in _METHODS:
+        keep = f"sim >= {m.threshold}" if m.threshold is not None else f"rn <= {m.k}" + (f" AND sim >= {m.floor}" if m.floor is not None else "")
+        at = settings.index((m.window, m.halflife))
+        judged.append(f"SELECT '{m.name}' AS method, t.fold, t.margin, coalesce(n, 0) < {m.least} AS fell, least(coalesce(n, 0) / CAST({m.full} AS DOUBLE), 1.0) AS confidence, CASE WHEN coalesce(n, 0) < {m.least} THEN coalesce(a2, 0) ELSE mean END AS guess FROM v t LEFT JOIN (SELECT setting, fold, game_id, sum(margin) / count(*) AS mean, count(*) AS n FROM sims WHERE {keep} GROUP BY 1, 2, 3) k ON k.setting = t.setting AND k.fold = t.fold AND k.game_id = t.game_id LEFT JOIN h2h ON h2h.game_id = t.game_id WHERE t.asked AND t.setting = {at}")
+    names_of = ", ".join(f"'{f.name}'" for f in _SEASONS)
+    return f"""WITH {with_views('tg', 'games')}, {_RAW}, {', '.join(out)},
+h2h AS (SELECT game_id, avg(CASE WHEN home < away THEN pts_home - pts_away ELSE pts_away - pts_home END) OVER (PARTITION BY least(home, away), greatest(home, away) ORDER BY game_date, game_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) * CASE WHEN home < away THEN 1 ELSE -1 END AS a2 FROM games),
+j AS ({' UNION ALL '.join(judged)})
+SELECT method, ([{names_of}])[fold + 1] AS fold, count(*) AS n_games, round(CASE WHEN min(guess) < max(guess) AND min(margin) < max(margin) THEN corr(guess, margin) ELSE 0 END, 6) AS corr, round(avg(CAST(fell AS INTEGER)), 6) AS fallback_rate, round(avg(confidence), 6) AS mean_confidence FROM j GROUP BY 1, 2"""
+
+
+@query("M9, M3, A22, J13", _walk_sql())
+def walk_forward(spark: SparkSession, sf: str) -> DataFrame:
+    """Three ways to choose neighbours on each fold, z-scored by what lies before the fold."""
+    g = games(spark, sf)
+    metrics = S.raw_metrics(perspective(g, *STYLE))
+    prints = {(n, h): staged(S.fingerprints(metrics, n, h, 5), "fingerprints") for n, h in dict.fromkeys((m.window, m.halflife) for m in _METHODS)}
+    margins = g.select("game_id", "game_date", "home", "away", (F.col("pts_home") - F.col("pts_away")).alias("margin"))
+    out = W.walk_forward(margins, P.head_to_head(g).select("game_id", F.col("a2_score").alias("score")), prints, _SEASONS, _METHODS)
+    return out.select("method", "fold", "n_games", *[r6(F.col(c)).alias(c) for c in ("corr", "fallback_rate", "mean_confidence")])
