@@ -228,10 +228,32 @@ def test_missing_impact_rules(spark):
 
 
 def test_name_resolution(spark):
-    index = spark.createDataFrame([(1, "José García", 5), (2, "Jose Garcia Jr.", 9), (3, "Al Horford", 1)], "player int, full_name string, games int")
-    names = spark.createDataFrame([("JOSE  GARCIA",), ("Al Horford",), ("Nobody",)], "printed string")
-    got = {r.printed: (r.player, r.confidence) for r in health.resolve_names(names, index).collect()}
-    assert got == {"JOSE  GARCIA": (2, "ambiguous"), "Al Horford": (3, "exact"), "Nobody": (None, "none")}
+    index = [(1, "José García"), (2, "Jose Garcia Jr."), (3, "Al Horford"), (4, "Bo Diaz"), (5, "Bo  Díaz"), (6, "Cy Young"), (7, "CY. YOUNG"), (8, "..."), (9, "...."), (10, None)]
+    reports = [("JOSE  GARCIA", D(2020, 3, 1)), ("JOSE  GARCIA", D(2020, 1, 10)), ("Al Horford", D(2020, 1, 1)), ("Bo Diaz", D(2020, 5, 1)), ("Cy Young", D(2020, 5, 1)), ("Nobody", D(2020, 1, 1)), ("....", D(2020, 1, 1)), (None, D(2020, 1, 1))]
+    seen = [(1, D(2020, 3, 11)), (2, D(2020, 3, 10)), (4, D(2019, 1, 1)), (6, D(2020, 4, 1)), (7, D(2020, 6, 1)), (3, D(2010, 1, 1))]
+    got = health.resolve_names(
+        spark.createDataFrame(reports, "printed string, report_date date"), spark.createDataFrame(index, "player int, full_name string"), spark.createDataFrame(seen, "player int, active_date date")
+    )
+    assert {r.printed: (r.player, r.method, r.confidence) for r in got.collect()} == {
+        "JOSE  GARCIA": (2, "normalized+disambiguated", "medium"),  # 60 days after the first report, the other 61
+        "Al Horford": (3, "normalized", "high"),
+        "Bo Diaz": (4, "normalized+ambiguous", "low"),  # nobody active
+        "Cy Young": (6, "normalized+ambiguous", "low"),  # both
+        "Nobody": (None, "unmatched", "none"),
+        "....": (9, "exact_fallback", "high"),
+        None: (None, "unmatched", "none"),
+    }
+
+
+def test_absence_runs(spark):
+    games = spark.createDataFrame([(t, 10 * t + i, D(2020, 1, 1 + i // 2)) for t in (1, 2) for i in range(8)], "team int, game_id int, game_date date")
+    out = {(5, 1): [0, 1, 3, 4, 5, 7], (6, 1): [2], (5, 2): [6, 7]}
+    rows = [(p, t, 10 * t + i, "Out") for (p, t), v in out.items() for i in v] * 2 + [(6, 1, 13, "Doubtful")]
+    runs = health.absence_runs(games, spark.createDataFrame(rows, "player int, team int, game_id int, status string"))
+    want = {(5, 10): 1, (5, 11): 2, (5, 13): 1, (5, 14): 2, (5, 15): 3, (5, 17): 1, (6, 12): 1, (5, 26): 1, (5, 27): 2}
+    assert {(r.player, r.game_id): r.streak for r in runs.collect()} == want
+    schedule = games.where("team = 1").selectExpr("5 AS player", "*")
+    assert [r.streak for r in health.absence_streaks(schedule, runs).orderBy("game_id").collect()] == [1, 2, 0, 1, 2, 3, 0, 1]
 
 
 def test_two_archetypes_add_up(spark):

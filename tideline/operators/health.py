@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.functions import columns as C
-from tideline.operators.asof import asof_backward
-from tideline.operators.windows import by, lagged, r6, with_streak
+from tideline.operators.asof import active_near, asof_backward
+from tideline.operators.windows import by, lagged, r6
 
 DOUBTFUL = 0.8
 
@@ -67,11 +67,22 @@ def with_coverage(team_dates: DataFrame, injuries: DataFrame) -> DataFrame:
     return team_dates.join(days, "game_date", "left").withColumn("has_injury_data", F.col("_seen").isNotNull().cast("int")).drop("_seen")
 
 
-def absence_streaks(schedule: DataFrame, injuries: DataFrame) -> DataFrame:
-    """schedule (player, team, game_id, game_date) with the place in the run of games out, 0 on a game played."""
-    out = injuries.where("status = 'Out'").select("player", "game_id").distinct().withColumn("_out", F.lit(True))
-    rows = schedule.join(out, ["player", "game_id"], "left").withColumn("_out", F.coalesce("_out", F.lit(False)))
-    return with_streak(rows, F.col("_out"), ["player", "team"], ("game_date", "game_id"), "streak").drop("_out")
+def absence_runs(team_games: DataFrame, injuries: DataFrame) -> DataFrame:
+    """player, team, game_id, streak: the place of every game out in its run of the team's games.
+
+    A team's games are numbered once; the number less the rank among a player's absences is the same throughout a run. So only
+    absences are sorted by player, and no row is made for a game played. team_games: team, game_id, game_date.
+    """
+    numbered = team_games.withColumn("_i", F.row_number().over(by("team")))
+    out = injuries.where("status = 'Out'").select("player", "team", "game_id").distinct().join(numbered.select("team", "game_id", "_i"), ["team", "game_id"])
+    ranked = out.withColumn("_run", F.col("_i") - F.row_number().over(W.partitionBy("player", "team").orderBy("_i")))
+    place = F.col("_i") - F.min("_i").over(W.partitionBy("player", "team", "_run")) + 1
+    return ranked.select("player", "team", "game_id", place.cast("long").alias("streak"))
+
+
+def absence_streaks(schedule: DataFrame, runs: DataFrame) -> DataFrame:
+    """schedule (player, team, game_id, ...) with the place in the run of games out, 0 on a game played. runs: absence_runs()."""
+    return schedule.join(runs, ["player", "team", "game_id"], "left").withColumn("streak", F.coalesce("streak", F.lit(0)).cast("long"))
 
 
 def min_streak(streaks: DataFrame, halflife: float) -> DataFrame:
@@ -111,19 +122,34 @@ def calibration(values: DataFrame, group: str, metrics: Sequence[str]) -> DataFr
 
 def adjusted(fingerprints: DataFrame, severities: DataFrame, deltas: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """Fingerprints plus, per metric, the sum of delta x severity over the archetypes missing. severities: keys, archetype,
-    severity; deltas: archetype, metric, delta (a small configured table)."""
-    shift = severities.join(F.broadcast(deltas), "archetype").groupBy(*keys).agg(*[F.sum(F.when(F.col("metric") == m, F.col("delta") * F.col("severity"))).alias(f"_{m}") for m in metrics])  # configured table
+    severity; deltas: archetype, metric, delta; Spark broadcasts these where their size allows."""
+    shift = severities.join(deltas, "archetype").groupBy(*keys).agg(*[F.sum(F.when(F.col("metric") == m, F.col("delta") * F.col("severity"))).alias(f"_{m}") for m in metrics])
     out = fingerprints.join(shift, list(keys), "left")
     return out.withColumns({m: F.col(m) + F.coalesce(f"_{m}", F.lit(0.0)) for m in metrics}).drop(*[f"_{m}" for m in metrics])
 
 
-def resolve_names(names: DataFrame, index: DataFrame) -> DataFrame:
-    """Printed names -> ids by normalised name. confidence: exact for a single id, ambiguous for several (the one with most
-    games is taken, the smaller id on ties), none without any. index: player, full_name, games."""
-    key = lambda c: C.normal_name(F.col(c))
-    ids = index.groupBy(key("full_name").alias("_k")).agg(F.count("*").alias("_n"), F.max_by("player", F.struct("games", -F.col("player"))).alias("player"))
-    out = names.withColumn("_k", key("printed")).join(ids, "_k", "left")
-    return out.withColumn("confidence", F.when(F.col("_n").isNull(), "none").when(F.col("_n") == 1, "exact").otherwise("ambiguous")).drop("_k", "_n")
+def resolve_names(reports: DataFrame, index: DataFrame, activity: DataFrame, days: int = 60) -> DataFrame:
+    """printed, player, method, confidence: the id of every printed name.
+
+    reports: printed, report_date; index: player, full_name; activity: player, active_date. Candidates share the normalised name;
+    where that is empty or unknown, those of exactly this spelling (exact_fallback). One candidate: high. Of several the only one
+    active within `days` days of the name's first report: medium (+disambiguated). None or more than one active: the smallest id
+    of those active, or of all, at low (+ambiguous). No candidate: none (unmatched). A null name is unmatched.
+    """
+    key = lambda c: F.nullif(C.normal_name(F.col(c)), F.lit(""))
+    names = reports.groupBy("printed").agg(F.min("report_date").alias("_first")).withColumn("_k", key("printed"))
+    ids = index.select("player", "full_name", key("full_name").alias("_k")).distinct()
+    plain = names.join(ids.select("player", "_k"), "_k").select("printed", "_first", "player", F.lit("normalized").alias("method"))
+    unknown = names.join(ids.select("_k").distinct(), "_k", "left_anti")
+    exact = unknown.join(ids.select("player", F.col("full_name").alias("printed")), "printed").select("printed", "_first", "player", F.lit("exact_fallback").alias("method"))
+    found = plain.unionAll(exact).withColumn("_n", F.count("*").over(W.partitionBy("printed")))
+    near = active_near(found.where("_n > 1"), activity, "player", "_first", "active_date", days).select("printed", "player", F.lit(True).alias("_active"))
+    per = found.join(near, ["printed", "player"], "left").groupBy("printed", "method").agg(F.count("*").alias("_n"), F.count("_active").alias("_active"), F.min("player").alias("_least"), F.min(F.when(F.col("_active"), F.col("player"))).alias("_most"))
+    out = names.select("printed").join(per, "printed", "left")
+    one, only = F.col("_n") == 1, F.col("_active") == 1
+    method = F.when(F.col("_n").isNull(), "unmatched").when(one, F.col("method")).when(only, F.concat("method", F.lit("+disambiguated"))).otherwise(F.concat("method", F.lit("+ambiguous")))
+    confidence = F.when(F.col("_n").isNull(), "none").when(one, "high").when(only, "medium").otherwise("low")
+    return out.select("printed", F.coalesce("_most", "_least").alias("player"), method.alias("method"), confidence.alias("confidence"))
 
 
 def absence_factor(rows: DataFrame, keys: Sequence[str], window: float) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions import columns as C
@@ -92,13 +92,9 @@ g AS (SELECT *, sum(CASE WHEN out THEN 0 ELSE 1 END) OVER (PARTITION BY player,
 SELECT player, team, game_id, CAST(CASE WHEN out THEN sum(CAST(out AS INTEGER)) OVER (PARTITION BY player, team, run ORDER BY game_date, game_id) ELSE 0 END AS BIGINT) AS streak FROM g""",
 )
 def absence_streaks(spark: SparkSession, sf: str) -> DataFrame:
-    return _streaks(spark, sf).select("player", "team", "game_id", F.col("streak").cast("long").alias("streak"))
-
-
-def _streaks(spark: SparkSession, sf: str) -> DataFrame:
-    i = injuries(spark, sf)
-    tg = perspective(games(spark, sf)).select("team", "game_id", "game_date")
-    return O.absence_streaks(tg.join(i.select("player", "team").distinct(), "team"), i)
+    i, tg = injuries(spark, sf), perspective(games(spark, sf)).select("team", "game_id", "game_date")
+    schedule = tg.join(i.select("player", "team").distinct(), "team")
+    return O.absence_streaks(schedule, O.absence_runs(tg, i)).select("player", "team", "game_id", "streak")
 
 
 @query(
@@ -109,7 +105,7 @@ k AS (SELECT *, CASE WHEN out THEN sum(CAST(out AS INTEGER)) OVER (PARTITION BY
 SELECT game_id, team, CAST(min(streak) AS BIGINT) AS freshest, round(pow(0.5, (min(streak) - 1) / 5.0), 6) AS weight FROM k WHERE streak > 0 GROUP BY 1, 2""",
 )
 def freshest_absence(spark: SparkSession, sf: str) -> DataFrame:
-    return O.min_streak(_streaks(spark, sf), 5.0).select("game_id", "team", F.col("freshest").cast("long").alias("freshest"), r6(F.col("weight")).alias("weight"))
+    return O.min_streak(O.absence_runs(perspective(games(spark, sf)).select("team", "game_id", "game_date"), injuries(spark, sf)), 5.0).select("game_id", "team", F.col("freshest").cast("long").alias("freshest"), r6(F.col("weight")).alias("weight"))
 
 
 @query(
@@ -164,14 +160,31 @@ def injury_adjusted(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("game_id", "team", r6(F.col("pace")).alias("pace"), r6(F.col("assists")).alias("assists"))
 
 
+_NUMBER = "CASE WHEN {c} % 7 = 0 THEN 'own ' || {c} ELSE {c} % 100 + 100 * ({c} // 200) || '' END"
+_PRINTED = "CASE WHEN {c} % 97 = 5 THEN repeat('.', CAST({c} // 97 + 3 AS INTEGER)) WHEN {c} % 11 = 0 THEN 'nobody ' || {c} ELSE 'name ' || " + _NUMBER + " END"
+
+
+def _name(c: str, first: str, last: str) -> Column:
+    """Two players share most names; some have a name of their own, some one of full stops only."""
+    x = F.col(c)
+    number = F.when(x % 7 == 0, F.concat(F.lit("own "), x)).otherwise((x % 100 + 100 * F.floor(x / 200)).cast("string"))
+    return F.when(x % 97 == 5, F.repeat(F.lit("."), (F.floor(x / 97) + 3).cast("int"))).otherwise(F.concat(F.lit(first), number, F.lit(last)))
+
+
 @query(
-    "M5, P10, J7, M12",
-    "WITH i AS (SELECT c_custkey AS player, 'name ' || (c_custkey % 800) AS k, c_custkey % 13 AS games FROM customer), n AS (SELECT s_suppkey AS row_id, 'name ' || (s_suppkey * 9) AS k FROM supplier), g AS (SELECT k, count(*) AS n, arg_max(player, games * 1000000 - player) AS player FROM i GROUP BY 1) SELECT row_id, g.player, CASE WHEN g.n IS NULL THEN 'none' WHEN g.n = 1 THEN 'exact' ELSE 'ambiguous' END AS confidence FROM n LEFT JOIN g ON n.k = g.k",
+    "M5, P10, J7, J15, M12",
+    f"""WITH i AS (SELECT c_custkey AS player, {_PRINTED.replace("WHEN {c} % 11 = 0 THEN 'nobody ' || {c} ", "").format(c='c_custkey')} AS k FROM customer),
+r AS (SELECT {_PRINTED.format(c='o_custkey')} AS k, o_custkey AS player, CAST(o_orderdate AS DATE) AS d FROM orders), n AS (SELECT k, min(d) AS first FROM r GROUP BY 1),
+a AS (SELECT DISTINCT n.k, i.player, EXISTS (SELECT 1 FROM r WHERE r.player = i.player AND abs(date_diff('day', r.d, n.first)) <= 60) AS active FROM n JOIN i ON i.k = n.k),
+g AS (SELECT k, count(*) AS n, count(*) FILTER (WHERE active) AS m, min(player) AS least, min(player) FILTER (WHERE active) AS most, CASE WHEN k LIKE '.%' THEN 'exact_fallback' ELSE 'normalized' END AS method FROM a GROUP BY 1)
+SELECT upper(n.k) AS printed, CASE WHEN n > 1 THEN coalesce(most, least) ELSE least END AS player, CASE WHEN n IS NULL THEN 'unmatched' WHEN n = 1 THEN method WHEN m = 1 THEN method || '+disambiguated' ELSE method || '+ambiguous' END AS method,
+  CASE WHEN n IS NULL THEN 'none' WHEN n = 1 THEN 'high' WHEN m = 1 THEN 'medium' ELSE 'low' END AS confidence FROM n LEFT JOIN g ON n.k = g.k""",
 )
 def name_resolution(spark: SparkSession, sf: str) -> DataFrame:
-    index = table(spark, sf, "customer").select(F.col("c_custkey").alias("player"), F.concat(F.lit("Námé  "), F.col("c_custkey") % 800, F.lit(" Jr.")).alias("full_name"), (F.col("c_custkey") % 13).alias("games"))
-    names = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("row_id"), F.concat(F.lit("NAME "), F.col("s_suppkey") * 9).alias("printed"))
-    return O.resolve_names(names, index).select("row_id", "player", "confidence")
+    index = table(spark, sf, "customer").select(F.col("c_custkey").alias("player"), _name("c_custkey", "Námé  ", " Jr.").alias("full_name"))
+    o = table(spark, sf, "orders").select("o_custkey", F.to_date("o_orderdate").alias("d"))
+    printed = F.when((F.col("o_custkey") % 11 == 0) & (F.col("o_custkey") % 97 != 5), F.concat(F.lit("NOBODY "), F.col("o_custkey"))).otherwise(F.upper(_name("o_custkey", "NAME ", "")))
+    return O.resolve_names(o.select(printed.alias("printed"), F.col("d").alias("report_date")), index, o.select(F.col("o_custkey").alias("player"), F.col("d").alias("active_date")))
 
 
 @query(
