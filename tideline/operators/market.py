@@ -25,9 +25,13 @@ def bars(ticks: DataFrame, size: str, seq: str = "event_id") -> DataFrame:
     are not emitted. One aggregation: first and last are by (ts, seq), so the result doesn't depend on row order."""
     at = F.struct("ts", seq)
     p, q = F.col("ref_price"), F.col("size")
-    paid = F.sum(p.cast("decimal(12,6)") * q.cast("decimal(20,6)"))  # exact, whatever the order of addition
+    # paid is exact, whatever the order of addition: millionths of the price (a probability) times the high and low part of the
+    # millionths of the size, so that both sums stay far below 2**63; they meet once a bar
+    price, lot = F.round(p * 1_000_000).cast("long"), F.round(q * 1_000_000).cast("long")
+    high, low = F.sum(price * F.shiftright(lot, 20)), F.sum(price * lot.bitwiseAND(F.lit((1 << 20) - 1)))
+    paid = (high.cast("decimal(20,0)") * F.lit(1 << 20).cast("decimal(8,0)") + low.cast("decimal(20,0)")).cast("double") / 1e12
     out = ticks.groupBy("market", F.window("ts", size)["start"].alias("bar_start")).agg(
-        F.min_by(p, at).alias("open"), F.max(p).alias("high"), F.min(p).alias("low"), F.max_by(p, at).alias("close"), F.sum(q).alias("volume"), F.count("*").alias("n_trades"), safe_div(paid.cast("double"), F.sum(q)).alias("vwap"), F.bool_or("is_ref").alias("any_ref")
+        F.min_by(p, at).alias("open"), F.max(p).alias("high"), F.min(p).alias("low"), F.max_by(p, at).alias("close"), F.sum(q).alias("volume"), F.count("*").alias("n_trades"), safe_div(paid, F.sum(q)).alias("vwap"), F.bool_or("is_ref").alias("any_ref")
     )
     return out
 
