@@ -210,7 +210,6 @@ def test_winnowing_by_definition(spark, monkeypatch):
 
 def test_edit_report(spark, monkeypatch):
     monkeypatch.setattr(winnowing, "RANGE_BYTES", 500)
-    monkeypatch.setattr(winnowing, "FAN", 3)
     rng = random.Random(6)
     texts = {i * 2: "".join(rng.choice(rng.choice(["abcd e\n", "é語😀🧑\U0001d54f"])) for _ in range(rng.choice([0, 1, 5, 20, 60, 120, 400]))) for i in range(120)}
     texts[6] = None

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -134,6 +135,7 @@ def identify(rows: DataFrame, model: TextModel, *, text: Column, declared: Colum
 
     declared, suffix, host and domain may be null (no evidence of that kind). Texts that are null, empty or without letters, and
     texts that look like none of the languages, are "und". accepted: a language other than und at a posterior of LEAST or more.
+    Repeated rows count as often as they occur and fare alike; an empty table gives no rows.
     """
     spark = rows.sparkSession
     ship_package(spark)
@@ -190,17 +192,61 @@ def identify(rows: DataFrame, model: TextModel, *, text: Column, declared: Colum
     return decided.withColumn("accepted", (F.col("language") != UND) & (F.col("posterior") >= LEAST)).toDF(*kept, "language", "posterior", "accepted")
 
 
+_OPEN = re.compile(r"<(script|style)\b", re.ASCII | re.IGNORECASE)
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.ASCII | re.IGNORECASE) for name in ("script", "style")}
+_ENTITY = re.compile(r"&#?\w{1,31};", re.ASCII)
+
+
+def page_text(html: str) -> str:
+    """A page's text: without scripts, styles, comments, tags and entities; a < that nothing closes stays.
+
+    One pass, linear in the page: an end that is not found once is not looked for again.
+    """
+    parts, at, missing = [], 0, set()
+
+    def end_of(what: str, found: int) -> int:
+        if found < 0:
+            missing.add(what)
+        return found
+
+    while (start := html.find("<", at)) >= 0:
+        parts.append(html[at:start])
+        at = -1
+        opened = _OPEN.match(html, start)
+        if opened and (name := opened.group(1).lower()) not in missing:
+            closed = _CLOSE[name].search(html, opened.end())
+            at = end_of(name, closed.end() if closed else -1)
+        if at < 0 and html.startswith("<!--", start) and "--" not in missing:
+            closed = end_of("--", html.find("-->", start + 4))
+            at = closed + 3 if closed >= 0 else -1
+        if at < 0:
+            at = html.find(">", start + 1) + 1
+            if not at:  # scripts and comments end in > as well
+                at = start
+                break
+        parts.append(" ")
+    parts.append(html[at:])
+    return _ENTITY.sub(" ", "".join(parts))
+
+
 def visible_text(html: Column) -> Column:
-    """A page's text: without scripts, styles, comments, tags and entities."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
-    return F.regexp_replace(bare, r"&#?\w{1,31};", " ")
+    """page_text() of a column; null stays null."""
+
+    @F.pandas_udf("string")
+    def text(pages: pd.Series) -> pd.Series:
+        return pages.map(page_text, na_action="ignore")
+
+    return text(html)
 
 
 def identify_pages(pages: DataFrame, model: TextModel) -> DataFrame:
-    """identify() over columns url and html: the html tag's lang attribute, the address' last label, host and registered domain."""
+    """identify() over columns url and html: the html tag's lang attribute, the address' last label, host and registered domain.
+
+    Null pages have no text, null addresses are no evidence; repeated rows fare alike. Pages of any length take linear time.
+    """
     host = F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)
-    domain = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
-    declared = F.regexp_extract("html", r"""(?i)<html\b[^>]*\blang\s*=\s*["']?([a-z]+)""", 1)
+    domain = F.when(host.contains("."), F.substring_index(host, ".", -2)).otherwise("")
+    declared = F.regexp_extract("html", r"""(?i)<html\b[^<>]*\blang\s*=\s*["']?([a-z]+)""", 1)
     return identify(pages, model, text=visible_text(F.col("html")), declared=declared, suffix=F.regexp_extract(host, r"\.([a-z0-9-]+)$", 1), host=host, domain=domain)
 
 

@@ -15,13 +15,13 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm._common import maybe_broadcast, pick, stage, table
+from tideline.llm._common import drop_stage, maybe_broadcast, pick, stage, table
 
-#: Up to so many cells are fitted on the driver; more are fitted by joins and aggregations.
+#: Up to so many cells are fitted on the driver; more are fitted by joins and aggregations, by the same rule and to the same end.
 DRIVER_CELLS = 100_000
-#: Rounds of fitting; of those by joins every one is a job.
-DRIVER_ROUNDS = 1000
-ROUNDS = 60
+#: Fitting ends where no share is off by TOLERANCE, where the largest deviation has not fallen for STALLED rounds, or after ROUNDS.
+ROUNDS = 1000
+STALLED = 20
 TOLERANCE = 1e-9
 #: Targets of a sample without repeats count as met within this share.
 CLOSE = 1e-6
@@ -48,6 +48,18 @@ def tempered(totals: Mapping, power: float = TEMPER) -> dict:
     return {k: v / whole for k, v in powered.items()}
 
 
+class _Progress:
+    """Whether fitting goes on, from the largest deviation of each round; off is the last one."""
+
+    def __init__(self) -> None:
+        self.off, self.least, self.idle = float("inf"), float("inf"), 0
+
+    def ends(self, off: float) -> bool:
+        self.off, self.idle = off, 0 if off < self.least else self.idle + 1
+        self.least = min(self.least, off)
+        return off < TOLERANCE or self.idle >= STALLED
+
+
 def rake(cells: Mapping[tuple, float], targets: list[Mapping], wanted: float | None = None) -> dict[tuple, float] | None:
     """Cells' tokens -> cells' raked shares, by turns fitting each dimension's totals to its targets.
 
@@ -69,23 +81,22 @@ def rake(cells: Mapping[tuple, float], targets: list[Mapping], wanted: float | N
         if not goal.sum() > 0:
             return dict.fromkeys(keys, 0.0)
         goals.append(goal / goal.sum())
-    for _ in range(DRIVER_ROUNDS):
-        off = 0.0
+    progress = _Progress()
+    for _ in range(ROUNDS):
         for at, goal in zip(coded, goals, strict=True):
             full = x >= cap
             held = np.bincount(at, weights=np.where(full, cap, 0.0), minlength=len(goal))
             free = np.bincount(at, weights=np.where(full, 0.0, x), minlength=len(goal))
             now = held + free
-            off = max(off, float(np.abs(now - goal).max()))
             rise = (free > 0) & (goal > held)
             by = np.divide(goal - held, free, out=np.divide(goal, now, out=np.zeros_like(goal), where=now > 0), where=rise)
             x = np.minimum(x * by[at], 1e100)  # a full cell's own value only says how full
-        if off < TOLERANCE:
+        if progress.ends(max(float(np.abs(np.bincount(at, weights=np.minimum(x, cap), minlength=len(goal)) - goal).max()) for at, goal in zip(coded, goals, strict=True))):
             break
-    if not off < CLOSE:
+    if not progress.off < CLOSE:
         if wanted is not None:
             return None
-        _warn(off)
+        _warn(progress.off)
     return dict(zip(keys, np.minimum(x, cap).tolist(), strict=True))
 
 
@@ -106,18 +117,21 @@ def _rake_by_joins(cells: DataFrame, targets: list[DataFrame], wanted: float | N
     x = cells.select(*DIMS, "tokens", (F.col("tokens") / total).alias("raked"), cap.alias("cap"))
     full, goal, held, free = F.col("raked") >= F.col("cap"), F.coalesce("goal", F.lit(0.0)), F.col("held"), F.col("free")
     by = F.when((free > 0) & (goal > held), (goal - held) / free).when(held + free > 0, goal / (held + free)).otherwise(0.0)
+    progress, before = _Progress(), None
     for _ in range(ROUNDS):
         for d, target in zip(DIMS, targets, strict=True):
             now = x.groupBy(d).agg(F.sum(F.when(full, F.col("cap")).otherwise(0.0)).alias("held"), F.sum(F.when(full, 0.0).otherwise(F.col("raked"))).alias("free"))
-            x = x.join(now.join(target, d, "left").select(d, by.alias("by")), d).select(*DIMS, "tokens", (F.col("raked") * F.col("by")).alias("raked"), "cap")
+            x = x.join(now.join(target, d, "left").select(d, by.alias("by")), d).select(*DIMS, "tokens", F.least(F.col("raked") * F.col("by"), F.lit(1e100)).alias("raked"), "cap")
         x = stage(x, "raked")
-        gap = _gap(x, targets)
-        if gap < TOLERANCE:
+        if before is not None:
+            drop_stage(before)
+        before = x
+        if progress.ends(_gap(x, targets)):
             break
-    if not gap < CLOSE:
+    if not progress.off < CLOSE:
         if wanted is not None:
             return None
-        _warn(gap)
+        _warn(progress.off)
     return x.select(*DIMS, "tokens", F.least("raked", "cap").alias("raked"))
 
 
@@ -125,7 +139,7 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", share: float = 0.5, target
     """Every row of docs with topic, n_tokens, weight (raked share over own share of its cell), probability, taken and copies.
 
     targets maps "source", "lang" or "topic" to wanted shares; a dimension without one gets the corpus' shares to the power
-    TEMPER. Values without a target get none; where no wanted value occurs, nothing is taken. Null sources, languages and topics
+    TEMPER. Values without a target get none; where no wanted value occurs, or a dimension's map is empty, nothing is taken. Null sources, languages and topics
     are the value ''. tokens defaults to the word count, topic to the column topic of docs, if there is one, and else to topic_of
     the text. The sample is to have share of the tokens, or all whose weight is above 0 if these are fewer. copies says how often
     it has a row, by expectation scale * weight; probability is that of being in it at all. No row repeats if the targets can be
@@ -158,7 +172,7 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", share: float = 0.5, target
             sums: dict = {}
             for k, v in rows.items():
                 sums[k[d]] = sums.get(k[d], 0) + v
-            goals.append(given.get(name) or tempered(sums))
+            goals.append(given[name] if given.get(name) is not None else tempered(sums))
         raked = rake(rows, goals)
         wanted = min(share * total, sum(v for k, v in rows.items() if raked[k] > 0))
         scale = wanted / (total * sum(raked.values())) if wanted else 0.0
@@ -168,7 +182,7 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", share: float = 0.5, target
     else:
         frames = []
         for name in DIMS:
-            if name in given:
+            if given.get(name) is not None:
                 goals = spark.createDataFrame([(k, float(v)) for k, v in given[name].items()], f"{name} string, goal double")
                 here = goals.join(cells.select(name).distinct(), name, "left_semi")
                 whole = here.agg(F.sum("goal")).collect()[0][0] or 1.0

@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm._common import bounded_sample, pick, table
+from tideline.llm._common import bounded_sample, drop_stage, pick, stage, table
 
 #: At most so many labelled documents, and so many bytes of them, are brought to the driver to fit on.
 SAMPLE = 8_000
@@ -31,9 +31,20 @@ LEAST_DOCS = 4
 LEAST_Z = 3.0
 ROUNDS = 300
 DECAY = 1e-4
+#: Runs that a scorer remembers; longer ones than LONGEST are not, so that the memo is bounded in bytes too.
 MEMO = 500_000
+LONGEST = 128
 _SENTENCE = re.compile(r"[^.!?\n]+")
-_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+
+
+def bare(run: str) -> str:
+    """run without what is neither letter nor digit at either end, in time linear in its length."""
+    first, last = 0, len(run)
+    while first < last and not run[first].isalnum():
+        first += 1
+    while last > first and not run[last - 1].isalnum():
+        last -= 1
+    return run[first:last]
 
 
 def features(word: str) -> list[str]:
@@ -47,8 +58,8 @@ class Model:
 
     def word(self, run: str) -> float:
         """Weight of a run of non-blank lower-case characters."""
-        bare = _EDGES.sub("", run)
-        return sum(self.weights.get(f, 0.0) for f in features(bare)) if bare else 0.0
+        word = bare(run)
+        return sum(self.weights.get(f, 0.0) for f in features(word)) if word else 0.0
 
 
 class Scorer:
@@ -58,18 +69,20 @@ class Scorer:
     def sentences(self, text: str) -> list[tuple[int, int, float]]:
         """(start, end, logit) of every sentence that holds more than blanks."""
         known, word = self.known, self.model.word
-        if len(known) > MEMO:
-            known.clear()
         found = []
         for m in _SENTENCE.finditer(text):
             runs = m.group().lower().split()
             if not runs:
                 continue
+            if len(known) > MEMO:
+                known.clear()
             z = self.model.bias
             for run in set(runs):
                 w = known.get(run)
                 if w is None:
-                    known[run] = w = word(run)
+                    w = word(run)
+                    if len(run) <= LONGEST:
+                        known[run] = w
                 z += w
             found.append((m.start(), m.end(), z))
         return found
@@ -88,7 +101,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     n_docs, n_pos = len(y), int(y.sum())
     if not n_pos or n_pos == n_docs:
         return Model(-30.0)
-    cached = functools.lru_cache(1_000_000)(lambda run: tuple(features(b)) if (b := _EDGES.sub("", run)) else ())
+    cached = functools.lru_cache(1_000_000)(lambda run: tuple(features(b)) if (b := bare(run)) else ())
     seen, positive = Counter(), Counter()
     for text, label in zip(texts, labels, strict=True):
         own = set()
@@ -134,15 +147,18 @@ def fit(texts: list[str], labels: list[int]) -> Model:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """A model from the labelled documents that meet `train`, a condition over the column doc_id of labels.
 
-    At most `sample` documents and SAMPLE_BYTES of text, chosen by a hash of their ids, are read; null labels and labels without a
-    document don't count.
+    At most `sample` documents and SAMPLE_BYTES of text, chosen by a hash of their ids, are read. Null labels and labels without a
+    document don't count: labels meet the documents' ids before any is drawn.
     """
     known = pick(labels, id_col, label_col).toDF("doc_id", "toxic").where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & train)
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    ids = pick(docs, id_col).toDF("doc_id").select(F.col("doc_id").cast("long"))
+    known = stage(known.join(ids, "doc_id", "left_semi"), "labels")
     asked = [(r.doc_id, r.toxic) for r in bounded_sample(known, ["doc_id", "toxic"], sample, SAMPLE_BYTES)]
     some = docs.sparkSession.createDataFrame(asked, "doc_id long, toxic int")
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(some), "doc_id")  # `sample` rows
     read = bounded_sample(rows, ["doc_id", "text", "toxic"], sample, SAMPLE_BYTES, "text")
+    drop_stage(known)
     return fit([r.text or "" for r in read], [int(r.toxic > 0) for r in read])
 
 

@@ -38,7 +38,8 @@ def _matrix(column):
 
 
 def _scores(a, b):
-    """Integer inner products of all rows of a with all rows of b: by float64 where that is exact."""
+    """Integer inner products of all rows of a with all rows of b: by float64 where that is exact. Nothing wraps: voronoi_topk()
+    refuses vectors whose products could pass 2**63."""
     import numpy as np
 
     if not len(a) or not len(b):
@@ -204,7 +205,8 @@ def voronoi_topk(
     """query_id, rank, vec_id, score: each query's k best other vectors by integer inner product, ties to the smaller id.
 
     queries is a condition over the column `id`. Rows with a null id, a null vector or null or non-finite components take no
-    part. Vectors of unequal length raise an error, as they have no inner product. An id given twice counts with either
+    part. Vectors of unequal length raise an error, as they have no inner product, and so do components so large that a score
+    could pass 2**63 (dims * component**2, after scaling). An id given twice counts with either
     vector, each (id, vector) once; a query never meets its own id. Fewer than k candidates: all of them. Empty: no rows.
     Only the sample (at most `sample` vectors) and one summary row a cell (at most MAX_PIVOTS) reach the driver.
     """
@@ -224,7 +226,12 @@ def voronoi_topk(
         raise ValueError("vectors of unequal length")
     seed = np.array([r.vec for r in seeds], np.int64)
     asked = whole.where(queries)
-    count = data.agg(F.count("*")).collect()[0][0]
+    count, least, most = data.agg(F.count("*"), F.min(F.array_min("vec")), F.max(F.array_max("vec"))).collect()[0]
+    dims = len(seeds[0].vec)
+    if dims and dims * max(-least, most) ** 2 >= 2**63:
+        worst = least if -least > most else most
+        held = data.where(F.array_contains("vec", F.lit(worst).cast("long"))).first()
+        raise ValueError(f"vector {held.ids[0]} has a component of {worst}, so inner products could pass 2**63; take a smaller scale")
     n_queries = asked.agg(F.count("*")).collect()[0][0]
     centres = _pivots(seed, min(MAX_PIVOTS, max(4, math.ceil(n_queries / group_queries))))
     fields = "vec array<long>, cell int, dist double, norm double, floor double"

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tideline.llm._common import pick, table
+from tideline.llm._common import pick, stage, table
 
 K = 8
 WINDOW = 16
@@ -30,9 +30,8 @@ SEGMENT = 16_384
 SPAN = K + WINDOW - 1
 HEAD = 32
 RANGE_BYTES = 1 << 20
-#: Least keys are looked up FAN at a time, so MAX_RANGES of them in three steps.
-FAN = 64
-MAX_RANGES = FAN**3
+#: The table of their least keys goes to every task, once.
+MAX_RANGES = 1 << 18
 #: Keys that are drawn for each least key that is kept.
 DRAWS = 4
 _LOW = (1 << 32) - 1
@@ -166,22 +165,17 @@ def _key() -> Column:
     return F.struct(F.bitwise_not("doc_id").alias("down"), F.substring("text", 1, HEAD).alias("head"))
 
 
-def _range_of(key: Column, bounds: Column, ranges: int) -> Column:
-    """Number of the last of the sorted bounds that is not above key; there must be one."""
-    steps = [1]
-    while steps[0] * FAN < ranges:
-        steps.insert(0, steps[0] * FAN)
+def _with_range(rows: DataFrame, bounds: Column, ranges: int) -> DataFrame:
+    """rows (with key) and range, the number of the last of the sorted bounds that is not above key; there must be one.
 
-    def below(step: int) -> Callable[[Column], Column]:
-        def reached(base: Column) -> Column:
-            return F.filter(F.sequence(F.lit(0), F.lit(FAN - 1)), lambda j: F.get(bounds, base + j * step) <= key)
-
-        return lambda base: base + (F.size(reached(base)) - 1) * step
-
-    at = F.lit(0)
-    for step in steps:
-        at = _let(at, below(step))
-    return at
+    bounds is a scalar subquery, so no row carries it. A step of the binary search is a projection of its own, without lambdas: all
+    fuse into one generated stage.
+    """
+    found = rows.withColumn("range", F.lit(0))
+    for k in reversed(range((2 * ranges).bit_length())):
+        step = F.col("range") + (1 << k)
+        found = found.withColumn("range", F.when(F.get(bounds, step) <= F.col("key"), step).otherwise(F.col("range")))
+    return found
 
 
 def _with_next(source: DataFrame) -> DataFrame:
@@ -190,16 +184,19 @@ def _with_next(source: DataFrame) -> DataFrame:
     if not n:
         return source.select("doc_id", "text", F.lit(0).alias("range"), F.lit(0).alias("place"))
     ranges = min(MAX_RANGES, math.ceil((volume + 1) / RANGE_BYTES))
+    return _laid_out(source, ranges, n)
+
+
+def _laid_out(source: DataFrame, ranges: int, n: int) -> DataFrame:
     keyed = source.withColumn("key", _key())
     drawn = F.shiftrightunsigned(F.xxhash64("key"), 2) < int(min(1.0, DRAWS * ranges / n) * (1 << 62))
     least = keyed.agg(F.min("key").alias("least"), F.sort_array(F.collect_set(F.when(drawn, F.col("key")))).alias("drawn"))
     thin = F.filter("drawn", lambda k, i: (i % DRAWS == DRAWS - 1) & (k > F.col("least")))
-    bounds = least.select(F.concat(F.array("least"), thin).alias("bounds"))  # one row
-    both = keyed.crossJoin(F.broadcast(bounds))
-    at = both.select("doc_id", "text", "key", "bounds", _range_of(F.col("key"), F.col("bounds"), 2 * ranges).alias("range"))
+    bounds = stage(least.select(F.concat(F.array("least"), thin).alias("bounds")), "bounds").scalar()
+    at = _with_range(keyed, bounds, ranges).withColumns({"begins": F.get(bounds, F.col("range")) == F.col("key"), "last": F.size(bounds) - 1})
     own = F.struct("range", F.lit(0).alias("place"))
-    before = F.struct(F.when(F.col("range") > 0, F.col("range") - 1).otherwise(F.size("bounds") - 1).alias("range"), F.lit(1).alias("place"))
-    places = F.when(F.get("bounds", F.col("range")) == F.col("key"), F.array(own, before)).otherwise(F.array(own))
+    before = F.struct(F.when(F.col("range") > 0, F.col("range") - 1).otherwise(F.col("last")).alias("range"), F.lit(1).alias("place"))
+    places = F.when(F.col("begins"), F.array(own, before)).otherwise(F.array(own))
     return at.select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", "p.range", "p.place")
 
 
