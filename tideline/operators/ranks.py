@@ -33,3 +33,19 @@ def global_rank(df: DataFrame, order: Sequence[str | Column], ranges: int | None
     placed = numbered.withColumn("_part", part).join(starts, "_part")
     rank = F.col("_before") + F.col("_at") - F.shiftleft("_part", _PLACE_BITS) + 1
     return placed.withColumns({"rank": rank, "n_rows": F.lit(at).cast("long")}).drop("_at", "_part", "_before")
+
+
+def group_quantiles(df: DataFrame, key: str, value: str, shares: dict[str, float], ranges: int | None = None) -> DataFrame:
+    """key and, per name, the interpolated quantile of the key's values; nulls don't count, a key without values has no row.
+
+    Rows are ranked by (key, value) over ranges of that order, so a key of any number of rows is spread over ranges; a group's first
+    rank and size name the two rows that a quantile lies between, and only these are looked at.
+    """
+    ranked = global_rank(df.where(F.col(value).isNotNull()).select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v")), ["_k", "_v"], ranges)
+    groups = ranked.groupBy("_k").agg(F.min("rank").alias("_first"), F.count("*").alias("_n"))
+    at = {name: F.lit(float(q)) * (F.col("_n") - 1) for name, q in shares.items()}
+    wanted = [F.explode(F.array(*[F.struct(F.lit(n).alias("name"), (F.col("_first") + f(p)).cast("long").alias("rank"), (p - F.floor(p)).alias("part"), F.lit(up).alias("up")) for n, p in at.items() for up, f in ((False, F.floor), (True, F.ceil))])).alias("w")]
+    asked = groups.select("_k", *wanted).select("_k", "w.*")
+    met = asked.join(ranked.select("rank", "_v"), "rank")
+    ends = {n: (F.max(F.when((F.col("name") == n) & ~F.col("up"), F.col("_v"))), F.max(F.when((F.col("name") == n) & F.col("up"), F.col("_v"))), F.max(F.when(F.col("name") == n, F.col("part")))) for n in shares}
+    return met.groupBy(F.col("_k").alias(key)).agg(*[(low + (high - low) * part).alias(n) for n, (low, high, part) in ends.items()])

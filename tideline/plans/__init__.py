@@ -20,7 +20,7 @@ class Query:
 
 
 _QUERIES: dict[str, Query] = {}
-_MODULES = ("relational", "rolling", "pairs", "points_in_time", "standing", "health", "market", "style", "evaluation", "learning", "storing")
+_MODULES = ("relational", "rolling", "pairs", "points_in_time", "standing", "health", "market", "style", "evaluation", "learning", "frame", "storing")
 
 
 def query(covers: str, sql: str | None = None) -> Callable[[Build], Build]:

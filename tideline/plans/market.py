@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import columns as C
 from tideline.operators import market as O
-from tideline.operators.ranks import global_rank
+from tideline.operators.ranks import global_rank, group_quantiles
 from tideline.operators.windows import r6
 from tideline.plans import query
 from tideline.sources.views import table, ticks, with_views
@@ -115,7 +115,8 @@ def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("A27", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median_value, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY 1")
 def group_medians(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").groupBy("event_type").agg(r6(F.percentile("value", F.lit(0.5))).alias("median_value"), r6(F.percentile("value", F.lit(0.9))).alias("p90"))
+    q = group_quantiles(table(spark, sf, "events"), "event_type", "value", {"median_value": 0.5, "p90": 0.9})
+    return q.select("event_type", r6(F.col("median_value")).alias("median_value"), r6(F.col("p90")).alias("p90"))
 
 
 @query("A28", f"WITH {_T} SELECT CAST(CASE WHEN r > 0 AND r <= 0.05 THEN 0 WHEN r > 0.05 AND r <= 0.2 THEN 1 WHEN r > 0.2 AND r <= 0.5 THEN 2 WHEN r > 0.5 AND r <= 1 THEN 3 END AS INTEGER) AS bucket, CAST(count(*) AS BIGINT) AS n FROM t GROUP BY 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.config import Config, get_value
 from tideline.operators import evaluate as O
+from tideline.operators import search as S
 from tideline.operators.windows import by, lagged, r6
 from tideline.plans import query
 from tideline.sources import sinks
@@ -110,3 +111,15 @@ def tuned_window(spark: SparkSession, sf: str) -> DataFrame:
 
     best, least = O.parzen_search({"window": _WINDOWS}, score, trials=6, first=3)
     return spark.createDataFrame([(best["window"], -least)], "best int, mae double").select("best", r6(F.col("mae")).alias("mae"))
+
+
+_SPACE = {"window": S.Real(2, 82, log=True, whole=True), "shrink": S.Real(0.5, 500, log=True), "edge": S.Real(-10, 15)}
+
+
+@query("M10")
+def tuned_form(spark: SparkSession, sf: str) -> DataFrame:
+    """Every setting that the search tried on the forecast of home margins, and its error; eight settings a job."""
+    rows = sinks.staged(_margins(spark, sf), "margins")
+    score = S.scored_together(spark, "window double, shrink double, edge double", S.last_n_errors(rows, "home", ("game_date", "game_id"), "margin"))
+    tried = S.parzen_batches(_SPACE, score, 48)
+    return spark.createDataFrame([(i, s["window"], s["shrink"], s["edge"], -v) for i, (s, v) in enumerate(tried)], "trial int, window double, shrink double, edge double, mae double")
