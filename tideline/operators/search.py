@@ -48,7 +48,7 @@ class Real:
         """A kernel's width: of the points' spread, narrower the more there are, never nothing."""
         n = len(places)
         mean = sum(places) / n
-        return max(0.02, min(0.5, 1.06 * math.sqrt(sum((p - mean) ** 2 for p in places) / n) * n**-0.2)) if n > 1 else 0.25
+        return max(0.1, min(0.5, 0.8 * math.sqrt(sum((p - mean) ** 2 for p in places) / n) * n**-0.2)) if n > 1 else 0.25
 
     def near(self, values: Sequence[float], rng: random.Random) -> float:
         """Drawn from the density of values."""
@@ -92,7 +92,7 @@ Space = Mapping[str, Real | Choice]
 Scores = Callable[[list[dict]], list[float]]
 
 
-def parzen_batches(space: Space, scores: Scores, trials: int, *, batch: int = 8, seed: int = 7, first: int = 16, share: float = 0.2, draws: int = 32) -> list[tuple[dict, float]]:
+def parzen_batches(space: Space, scores: Scores, trials: int, *, batch: int = 8, seed: int = 7, first: int = 16, share: float = 0.2, draws: int = 16) -> list[tuple[dict, float]]:
     """All settings tried and their scores (higher is better; NaN counts as worst), in the order of trial.
 
     scores takes a batch of settings and gives their scores. After `first` settings from anywhere, each of a batch is the most promising of

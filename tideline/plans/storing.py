@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from tideline.config import Config, get_value
 from tideline.operators import evaluate as O
 from tideline.operators import search as S
+from tideline.operators.form import rolling_form
 from tideline.operators.windows import by, lagged, r6
 from tideline.plans import query
-from tideline.sources import sinks
-from tideline.sources.views import games, table, ticks, with_views
+from tideline.sources import sinks, stored
+from tideline.sources.views import games, perspective, table, ticks, with_views
 
 
 @query("S22", f"WITH {with_views('games')} SELECT game_id, home, away, CAST(pts_home AS BIGINT) AS pts_home FROM games")
@@ -123,3 +124,51 @@ def tuned_form(spark: SparkSession, sf: str) -> DataFrame:
     score = S.scored_together(spark, "window double, shrink double, edge double", S.last_n_errors(rows, "home", ("game_date", "game_id"), "margin"))
     tried = S.parzen_batches(_SPACE, score, 48)
     return spark.createDataFrame([(i, s["window"], s["shrink"], s["edge"], -v) for i, (s, v) in enumerate(tried)], "trial int, window double, shrink double, edge double, mae double")
+
+
+_LATEST = "count(*) AS n_games, CAST(max(game_id) AS BIGINT) AS last_game, CAST(arg_max(pts_home, game_id) AS BIGINT) AS last_pts"
+_ROW = "home int, season_id int, n_games long, last_game long, last_pts long"
+
+
+def _team_seasons(g: DataFrame) -> DataFrame:
+    return g.groupBy("home", "season_id").agg(F.count("*").alias("n_games"), F.max("game_id").alias("last_game"), F.max_by("pts_home", "game_id").cast("long").alias("last_pts"))
+
+
+@query(
+    "S8, S9, S24, S27",
+    f"""WITH {with_views('games')}, early AS (SELECT home, season_id, {_LATEST} FROM games WHERE game_id % 4 < 2 GROUP BY 1, 2), late AS (SELECT home, season_id, {_LATEST} FROM games WHERE game_id % 3 > 0 AND home % 5 > 0 GROUP BY 1, 2)
+SELECT coalesce(l.home, e.home) AS home, coalesce(l.season_id, e.season_id) AS season_id, CASE WHEN coalesce(l.home, e.home) % 3 = 0 AND coalesce(l.season_id, e.season_id) % 2 = 0 THEN -1 ELSE coalesce(l.n_games, e.n_games) END AS n_games, coalesce(l.last_game, e.last_game) AS last_game, coalesce(l.last_pts, e.last_pts) AS last_pts
+FROM early e FULL JOIN late l ON l.home = e.home AND l.season_id = e.season_id""",
+)
+def stored_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Two batches, the second one twice, a batch that adds nothing new, and a keyed update of one column, in a stored table."""
+    g = games(spark, sf)
+    held = stored.Stored(sinks.shared_path(spark, "upserts"), _ROW, ("home", "season_id"), buckets=16)
+    early, late = _team_seasons(g.where("game_id % 4 < 2")), _team_seasons(g.where("game_id % 3 > 0 AND home % 5 > 0"))
+    held.replace(early)
+    held.replace(late)
+    held.replace(late)
+    held.ignore(early.where("home < 4"))
+    held.update(early.unionByName(late).where("home % 3 = 0 AND season_id % 2 = 0").select("home", "season_id").distinct().selectExpr("*", "-1L AS n_games", "0L AS last_game", "0L AS last_pts"), "n_games")
+    return held.read(spark)
+
+
+_FORM = ("game_id", "team", "is_home", "game_date", "pts", "opp_pts", "win", "fgm", "fga", "ftm", "fta")
+
+
+@query(
+    "S10, S16, S15, W2, W3",
+    f"WITH {with_views('tg')} SELECT game_id, team, "
+    + ", ".join(f"round(avg(win) OVER ({w}), 6) AS win_pct_l{n}, round(avg(pts - opp_pts) OVER ({w}), 6) AS avg_diff_l{n}" for n in (5, 10) for w in [f"PARTITION BY team, is_home ORDER BY game_date, game_id ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING"])
+    + " FROM tg",
+)
+def incremental_form(spark: SparkSession, sf: str) -> DataFrame:
+    """Rolling form made in three runs, each from its new games and the last ten rows a side and role that the run before left."""
+    tg = perspective(games(spark, sf), "fgm", "fga", "ftm", "fta").select(*_FORM)
+    out, tail = None, tg.limit(0)
+    for i, rows in enumerate(("game_id < 405", "game_id BETWEEN 405 AND 899", "game_id >= 900")):  # whole play days
+        made, tail = stored.extend(tail, tg.where(rows), ["team", "is_home"], ["game_date", "game_id"], 10, lambda df: rolling_form(df, (5, 10)))
+        tail = sinks.staged(tail, f"tail{i}")
+        made = made.select("game_id", "team", *[f"{c}_l{n}" for n in (5, 10) for c in ("win_pct", "avg_diff")])
+        out = made if out is None else out.unionByName(made)
+    return out
