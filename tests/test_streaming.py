@@ -55,3 +55,48 @@ def test_elo_of_a_stream(spark, tmp_path):
     want = {r.game_id: (round(r.elo_home, 9), round(r.elo_away, 9)) for r in elo.elo_ratings(games, league="league").collect()}
     assert got == want
     assert games.select(F.count("*")).collect()[0][0] == len(got)
+
+
+def test_dips_of_a_stream(spark, tmp_path):
+    """Ticks shuffled within the lateness, in micro-batches, and some far too late: the last row of each dip is that of the batch operator."""
+    from tideline.streaming import dips
+
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rng = random.Random(4)
+    t0 = dt.datetime(2024, 1, 1)
+    price = {m: 0.5 for m in range(3)}
+    rows = []
+    for i in range(600):
+        m = i % 3
+        price[m] = min(0.99, max(0.01, price[m] + rng.choice([-0.06, 0.05])))
+        rows.append((m, t0 + dt.timedelta(seconds=20 * i), round(price[m], 3), i))
+    schema = "market long, ts timestamp, ref_price double, event_id long"
+    blocks = [rows[k : k + 60] for k in range(0, 600, 60)]
+    for k, block in enumerate(blocks):
+        block = rng.sample(block, len(block))
+        if k == 7:
+            block.append((0, t0, 0.001, 9999))  # two hours late
+        if k == 9:
+            block.append((9, t0 + dt.timedelta(days=1), 0.5, 10_000))  # pushes the watermark past all bars
+        spark.createDataFrame(block, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/ticks")
+    import os
+
+    for k, f in enumerate(sorted((tmp_path / "ticks").glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)):
+        os.utime(f, (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/ticks")
+    seen = []
+
+    def keep(batch, number):
+        seen.extend((number, r) for r in batch.collect())
+
+    q = dips.streaming_dips(stream, 300, "25 minutes", (0.2, 0.4)).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"file://{tmp_path}/state").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+        spark.conf.unset(provider)
+    got = {(r.market, r.side, r.p): (r.cross_ts, r.trough, r.trough_ts, r.max_high, r.max_high_after_trough) for _, r in seen}
+    batch = market.both_perspectives(market.bars(spark.createDataFrame([(*r[:3], 1, True, r[3]) for r in rows], "market long, ts timestamp, ref_price double, size long, is_ref boolean, event_id long"), "5 minutes"))
+    want = {(r.market, r.side, r.p): (r.cross_ts, r.trough, r.trough_ts, r.max_high, r.max_high_after_trough) for r in market.dips(batch, (0.2, 0.4)).collect()}
+    assert want and got == want
