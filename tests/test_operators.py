@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from tideline.functions import columns as C
 from tideline.operators import asof, elo, evaluate, form, health, market, neighbours, pairs, players, ranks, standings, style, tables
 from tideline.operators.windows import by, centred, with_streak
+from tideline.sources import sinks
 from tideline.sources.views import STYLE, perspective
 
 D = dt.date
@@ -551,3 +553,13 @@ def test_config(tmp_path):
 
     c = Config()
     assert get_value(c, "elo.k") == c.elo.k and get_value(c, "nothing.here", 3) == 3
+
+
+def test_scope_deletes_what_was_staged(spark):
+    before = sinks.staged(spark.range(3), "outside")
+    with sinks.scope(spark):
+        inside = sinks.staged(spark.range(5), "inside")
+        ranked = ranks.global_rank(inside, ["id"]).collect()
+        folders = [Path(f.removeprefix("file://")).parent for f in inside.inputFiles()]
+        assert len(ranked) == 5 and all(f.exists() for f in folders)
+    assert not any(f.exists() for f in folders) and before.count() == 3

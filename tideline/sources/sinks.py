@@ -3,18 +3,39 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import json
 import shutil
 import tempfile
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Paths handed out and not yet deleted by a scope.
+_MADE: list[str] = []
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was staged within it. Results that read staged tables must be written or collected before."""
+    first = len(_MADE)
+    try:
+        yield
+    finally:
+        for path in _MADE[first:]:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        del _MADE[first:]
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir. A single machine may do without the setting; on a cluster that is an error."""
+    """A new path in the folder of spark.checkpoint.dir. A single machine may do without the setting; on a cluster that is an error.
+
+    It stays until a scope() that it was made in ends, or as long as the folder does.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if spark.sparkContext.master.split("[")[0] != "local":
@@ -22,7 +43,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
         own = tempfile.mkdtemp(prefix="tideline-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         where = f"file://{own}"
-    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
