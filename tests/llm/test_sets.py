@@ -99,17 +99,34 @@ def test_crowd_that_is_not_linked(spark):
         near_dups.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), percent=50)
 
 
-def test_pairs_across_a_crowd_grow_with_it(spark):
-    """Candidates between components under rare shingles: about in proportion to the crowd, not to its square."""
+def _alike(rng, n):
+    """A crowd without rare shingles: documents of 45 of 60 common passages, hardly a link among them, but for some near copies."""
+    passages = [_prose(rng, 20, 10**6) for _ in range(60)]
+    texts = [" ".join(passages[k] for k in sorted(rng.sample(range(60), 45))) for _ in range(n)]
+    return list(enumerate([*texts, *[_edited(rng, texts[k], 5) for k in range(0, n, 20)]]))
+
+
+def test_crowd_without_rare_shingles(spark, monkeypatch):
+    """Links are those of brute force, and what is confirmed on full sets grows with the crowd, not with its square."""
+    docs = _alike(random.Random(6), 300)
+    counted, confirmed = [], near_dups._confirmed
+    monkeypatch.setattr(near_dups, "_confirmed", lambda pairs, sets, percent: (counted.append(pairs.count()), confirmed(pairs, sets, percent))[1])
+    monkeypatch.setattr(near_dups, "BLOCK", 16)  # several blocks a bucket
+    monkeypatch.setattr(near_dups, "SMALL", 4)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dups.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=4).collect()}
+    assert got == _brute(docs, 4, 80)
+    assert counted[-1] < 3 * len(docs) < len(docs) ** 2 / 10
 
-    def pairs(n):
-        docs = spark.createDataFrame(_templates(random.Random(5), n), "doc_id long, text string")
-        made = docs.select("text").mapInArrow(near_dups._full_sets(4), "digest binary, shingles array<long>")
-        sets = made.select(F.xxhash64("digest").alias("node"), "shingles")
-        return near_dups._across(near_dups._openings(sets, 80), spark.createDataFrame([], "node long, component long"), 80).count()
 
-    small, large = pairs(200), pairs(800)
-    assert 8 <= small <= large < 8 * small
+def test_wide_sketch_is_near_the_truth():
+    rng = np.random.default_rng(2)
+    for j in (0.6, 0.8, 0.9):
+        n = 900
+        common = int(2 * n * j / (1 + j))
+        pool = rng.integers(0, 1 << 63, 2 * n).astype(np.uint64) << np.uint64(1)
+        a, b = near_dups.wide_sketches([np.unique(pool[:n]), np.unique(np.concatenate([pool[:common], pool[n : 2 * n - common]]))])
+        share = ((a == b).mean() - 1 / 256) / (1 - 1 / 256)
+        assert abs(share - j) < near_dups.WIDE_MARGIN
 
 
 def test_near_duplicates_of_odd_rows(spark):

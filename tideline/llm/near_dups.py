@@ -8,14 +8,15 @@ are confirmed on full sets.
 
 Equal sets are one node from the start. Inside a band's bucket every node is first compared with the bucket's hub only, the node
 with the most company over all bands (of its hubs the likeliest one); confirmed links join nodes to components. A second such
-round takes hubs from each bucket's largest component. Then nodes of buckets that still hold several components are paired by
-rare shingles: of two sets at the threshold, ordered from the rarest shingle to the commonest, the larger holds one of the
-smaller's first few among its own first few. Under a shingle, nodes outside its largest component meet those of other
-components. So a group of n near copies costs about n comparisons, a crowd that has a passage in common but is not linked meets
-under rare shingles only, and no pair that could join two components is left out.
+round takes hubs from each bucket's largest component. Then, in buckets that still hold several components, nodes outside the
+largest one meet those of other components. A small bucket gives its pairs as rows, so few that they are linear in its nodes. In a
+large one (a crowd that has much in common but is not linked) no pair becomes a row before it is scored: nodes come with a second,
+wide sketch of WIDE one-byte minima, blocks of nodes are scored against each other as matrices, and only pairs that the wide sketch does not rule
+out, each in the first bucket that it shares, are given on. So a group of n near copies costs about n comparisons, and no pair that
+shares a band and could join two components is left out.
 
 A pair at similarity s shares no band with probability (1 - s**ROWS)**BANDS: 3e-6 at 0.8, 2e-8 at 0.85. An estimate falls 0.16
-below the truth (five standard deviations at 0.8) with a probability under 1e-6.
+below the truth (five standard deviations at 0.8) with a probability under 1e-6, the wide sketch's 0.0625 alike.
 """
 
 from __future__ import annotations
@@ -32,6 +33,12 @@ BANDS = 32
 ROWS = 5
 MANTISSA = 10
 MARGIN = 0.16
+#: One-byte minima of the wide sketch, and its margin.
+WIDE = 1024
+WIDE_MARGIN = 0.0625
+#: Buckets of more nodes are scored in blocks of so many.
+SMALL = 32
+BLOCK = 2048
 #: Below it too many links share no band: at 60 % a pair is missed with a probability of 0.075, at 50 % of 0.36.
 LEAST_PERCENT = 60
 
@@ -232,36 +239,97 @@ def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
     return stage(known.join(per.where("parts > 1").select("key", "most"), "key"), "mixed")
 
 
-def _openings(sets: DataFrame, percent: int) -> DataFrame:
-    """s, node, n, at, narrow: every node's first shingles, rarest first, as far as another set at the threshold must share one.
+def wide_sketches(sets: list):
+    """Sets of 64-bit hashes -> a matrix of WIDE bytes: the low byte of each function's minimum."""
+    import numpy as np
 
-    Of sets x and y (the larger and the smaller) that reach the threshold one shingle at least is among the first
-    n - ceil(percent n / 100) + 1 of x and, as y need not meet smaller sets, among the first n - ceil(2 percent n / (100 + percent)) + 1
-    of y (narrow). at is the shingle's place. Shingles of one set only lead the order and join nothing, so they are only counted.
-    """
-    tokens = sets.select("node", F.explode("shingles").alias("s"))
-    shared = tokens.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = tokens.join(shared, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("ranked"))
-    sized = sets.select("node", F.size("shingles").alias("n")).join(ranked, "node").withColumn("once", F.col("n") - F.size("ranked"))
-    wide = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
-    first = sized.select("node", "n", "once", F.posexplode(F.slice("ranked", F.lit(1), F.greatest(wide - F.col("once"), F.lit(0)).cast("int"))).alias("i", "t"))
-    at = (F.col("once") + F.col("i")).cast("int")
-    return first.select("t.s", "node", "n", at.alias("at"), (at <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent))).alias("narrow"))
-
-
-def _across(openings: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes of different components that share an opening shingle and may reach the threshold from its place on."""
-    known = openings.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    known = stage(known, "openings")
-    per = known.groupBy("s", "component").agg(F.count("*").alias("k")).groupBy("s").agg(F.max_by("component", F.struct("k", "component")).alias("most"), F.count("*").alias("parts"))
-    several = known.join(per.where("parts > 1").select("s", "most"), "s")
-    x = several.where("component <> most").select("s", "most", *[F.col(c).alias(f"{c}_x") for c in ("node", "component", "n", "at", "narrow")])
-    y = known.select("s", *[F.col(c).alias(f"{c}_y") for c in ("node", "component", "n", "at", "narrow")])
-    smaller = F.when(F.struct("n_x", "node_x") < F.struct("n_y", "node_y"), F.col("narrow_x")).otherwise(F.col("narrow_y"))
-    most = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
-    reaches = 100 * most >= percent * (F.col("n_x") + F.col("n_y") - most)
-    both = x.join(y, "s").where("component_x <> component_y AND (component_y = most OR node_x < node_y)").where(smaller & reaches)
-    return both.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+    a, b = _functions(WIDE + BANDS * ROWS)
+    a, b = a[BANDS * ROWS :], b[BANDS * ROWS :]  # not the functions of the bands
+    least = np.full((len(sets), WIDE), 0xFFFFFFFF, np.uint32)
+    for row, hashes in zip(least, sets, strict=True):
+        x = (hashes >> np.uint64(32)).astype(np.uint32)
+        for i in range(0, len(x), 256):
+            y = (x[i : i + 256, None] ^ b) * a
+            y ^= y >> np.uint32(16)
+            y *= np.uint32(0x85EBCA6B)
+            np.minimum(row, y.min(0), out=row)
+    return least.astype(np.uint8)
+
+
+def _widened(batches: Iterator) -> Iterator:
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            wide = wide_sketches([np.asarray(s.values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64) for s in part.column(1)])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in wide], pa.binary())], names=["node", "wide"])
+
+
+def _scored_blocks(threshold: float):
+    """Nodes outside a bucket's largest component (x) and any of its nodes (y) -> pairs (a, b) that the wide sketch doesn't rule out."""
+
+    def run(x, y):
+        import numpy as np
+        import pyarrow as pa
+
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        if x.num_rows and y.num_rows:
+            band = x["band"][0].as_py()
+            node_x, node_y = x["node"].to_numpy(), y["node"].to_numpy()
+            part_x, part_y = x["component"].to_numpy(), y["component"].to_numpy()
+            n_x, n_y = x["n"].to_numpy(), y["n"].to_numpy()
+            wide_x, wide_y = (np.frombuffer(b"".join(t["wide"].to_pylist()), np.uint8).reshape(t.num_rows, WIDE) for t in (x, y))
+            keys_x, keys_y = (t["keys"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, BANDS) for t in (x, y))
+            columns = np.ascontiguousarray(wide_y.T)
+            first, bound = BANDS * ROWS, 1 / 256
+            least = (threshold - MARGIN) * (1 - bound) + bound
+            for i in range(0, len(node_x), 128):
+                some = slice(i, i + 128)
+                same = np.zeros((len(node_x[some]), len(node_y)), np.uint8)
+                for k in range(first):  # the first BANDS * ROWS bytes rule most pairs out
+                    same += wide_x[some, k, None] == columns[k]
+                fits = np.minimum(n_x[some, None], n_y) >= threshold * np.maximum(n_x[some, None], n_y)
+                apart = (part_x[some, None] != part_y) & ((part_y == y["most"][0].as_py()) | (node_x[some, None] < node_y))
+                row, col = np.nonzero((same >= least * first) & fits & apart)
+                for j in range(0, len(row), 8192):
+                    r, c = row[j : j + 8192] + i, col[j : j + 8192]
+                    share = ((wide_x[r] == wide_y[c]).mean(1) - bound) / (1 - bound)
+                    r, c = r[share >= threshold - WIDE_MARGIN], c[share >= threshold - WIDE_MARGIN]
+                    own = (keys_x[r] == keys_y[c]).argmax(1) == band  # the first bucket they share
+                    a.append(node_x[r[own]])
+                    b.append(node_y[c[own]])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return run
+
+
+def _across(mixed: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that share a bucket and may reach the threshold."""
+    sizes = mixed.groupBy("key").agg(F.count("*").alias("size"))
+    sized = mixed.join(sizes, "key")
+    small = sized.where(F.col("size") <= SMALL)
+    x = small.where("component <> most").select("key", "most", F.col("node").alias("x"), F.col("component").alias("cx"))
+    y = small.select("key", F.col("node").alias("y"), F.col("component").alias("cy"))
+    met = x.join(y, "key").where("cx <> cy AND (cy = most OR x < y)")
+    few = _estimated(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), nodes, threshold).select("a", "b")
+
+    crowded = stage(sized.where(F.col("size") > SMALL), "crowded")
+    if crowded.isEmpty():
+        return few
+    wanted = crowded.select("node").distinct()
+    wide = stage(sets.join(wanted, "node").select("node", "shingles").mapInArrow(_widened, "node long, wide binary"), "wide")
+    about = wide.join(nodes.select("node", "keys", F.col("n_shingles").alias("n")), "node")
+    dealt = crowded.select("key", "most", "node", "component", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")).join(about, "node")
+    dealt = dealt.withColumns({"own": F.pmod(F.xxhash64("node"), "blocks").cast("int"), "band": (F.array_position("keys", F.col("key")) - 1).cast("int")})
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    columns = ["key", "most", "node", "component", "n", "wide", "keys", "band"]
+    x = dealt.where("component <> most").select(*columns, F.col("own").alias("xb"), every.alias("yb")).toDF(*columns, "xb", "yb")
+    y = dealt.select(*columns, every.alias("xb"), F.col("own").alias("yb")).toDF(*columns, "xb", "yb")
+    by = ["key", "xb", "yb"]
+    return few.union(x.groupBy(*by).cogroup(y.groupBy(*by)).applyInArrow(_scored_blocks(threshold), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -311,8 +379,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
         found = components(found.toDF("a", "b").union(more))
         mixed = _mixed(members, found)
 
-    openings = _openings(sets.join(mixed.select("node").distinct(), "node"), percent)
-    more = stage(_confirmed(_estimated(_across(openings, found, percent), nodes, threshold), sets, percent), "links")
+    more = stage(_confirmed(_across(mixed, nodes, sets, threshold), sets, percent), "links")
     if not more.isEmpty():
         found = components(found.toDF("a", "b").union(more))
 
