@@ -46,7 +46,7 @@ def group_centroids(centroids, n: int):
     c = centroids.astype(np.float64)
     heads = c[np.linspace(0, len(c) - 1, n).astype(int)]
     for _ in range(5):
-        near = ((c[:, None, :] - heads[None, :, :]) ** 2).sum(2).argmin(1)
+        near = ((heads * heads).sum(1)[None, :] - 2 * (c @ heads.T)).argmin(1)
         heads = np.stack([c[near == g].mean(0) if (near == g).any() else heads[g] for g in range(n)])
     return np.unique(near, return_inverse=True)[1]
 
