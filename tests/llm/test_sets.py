@@ -308,6 +308,33 @@ def test_lines(spark):
     assert line_dedup.strip_boilerplate(docs.limit(0)).count() == 0
 
 
+def test_staged_lines_are_few_files(spark, monkeypatch):
+    """Where shuffle partitions aren't coalesced, staged tables don't have a file for each; results are as ever."""
+    rows = [(100 * i + j, "\n".join(f"common {j} {k}" for k in range(8)) + f"\nown {i} {j}", f"s{i}") for i in range(9) for j in range(100)]
+    rows += [(100 * i + j, f"common {j} 3\nown {i} {j}", f"s{i}") for i in range(9, 14) for j in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    files = []
+
+    def counted(df, name, stage=line_dedup.stage):
+        files.append(len((out := stage(df, name)).inputFiles()))
+        return out
+
+    monkeypatch.setattr(line_dedup, "stage", counted)
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: r for r in line_dedup.strip_boilerplate(docs).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert files and max(files) <= max(16, spark.sparkContext.defaultParallelism)
+    for i, text, _ in rows:  # the fourth line is on 14 sites, the other common ones on 9
+        kept = [x for x in text.split("\n") if not x.endswith(" 3") or x.startswith("own")]
+        assert (got[i].text, got[i].n_removed) == ("\n".join(kept), 1)
+
+
 # --- vectors -------------------------------------------------------------------------------------------------------------
 
 
