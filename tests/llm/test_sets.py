@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.llm import line_dedup, near_dups, vector_topk, winnowing
+from tideline.llm import _common, _graph, line_dedup, near_dups, vector_topk, winnowing
 from tideline.llm._common import pick
 from tideline.llm._graph import components
 
@@ -335,6 +335,38 @@ def test_staged_lines_are_few_files(spark, monkeypatch):
         assert (got[i].text, got[i].n_removed) == ("\n".join(kept), 1)
 
 
+def test_staged_groups_are_few_files(spark, monkeypatch):
+    """Near-duplicates alike, through every stage of theirs; rounds of components too."""
+    rng = random.Random(5)
+    rows = []
+    for g in range(60):
+        text = _prose(rng, 60)
+        rows += [(10 * g + k, _edited(rng, text, k % 3)) for k in range(6)]
+    rows += [(1000 + i, _prose(rng, 40)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    expected = {r.doc_id: r.component_id for r in near_dups.near_duplicates(docs).collect()}
+    files = []
+
+    def counted(df, name, stage=near_dups.stage):
+        files.append((len((out := stage(df, name)).inputFiles()), name))
+        return out
+
+    for module in (near_dups, _graph, _common):
+        monkeypatch.setattr(module, "stage", counted)
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(docs).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {"sketches", "nodes", "buckets", "sets", "links", "known", "groups"} <= {name for _, name in files}
+    assert max(files)[0] <= max(16, spark.sparkContext.defaultParallelism)
+    assert got == expected and len(set(got.values())) < len(got)
+
+
 # --- vectors -------------------------------------------------------------------------------------------------------------
 
 

@@ -116,3 +116,15 @@ def test_fit_by_joins_watches_all_dimensions(spark, monkeypatch):
     got = {r.doc_id: r.weight for r in mixing.mixed(docs, share=0.1, targets=targets).collect()}
     assert got == {k: pytest.approx(v, abs=0.01) for k, v in want.items()}
     assert 1 < rounds.count("raked") < 12
+
+
+@pytest.mark.parametrize("cells", [0, 100_000])
+def test_weights_need_no_python_on_executors(spark, monkeypatch, cells):
+    """The driver's own rows get to the executors without Python workers, which would stay beside those of the other stages."""
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", cells)
+    docs = spark.range(200).selectExpr("id AS doc_id", "concat('some words ', id) AS text", "concat('s', id % 3) AS source", "concat('l', id % 2) AS lang")
+    made = []
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, *a, f=type(spark).createDataFrame, **b: (made.append(f(self, *a, **b)), made[-1])[1])
+    out = mixing.mixed(docs, targets={"source": {"s0": 0.5, "s1": 0.3, "s2": 0.2}})
+    assert made and not any("ExistingRDD" in df._jdf.queryExecution().toString() for df in made)
+    assert {r.source for r in out.where("taken").collect()} == {"s0", "s1", "s2"}

@@ -16,6 +16,9 @@ from tideline.session import ship_package
 
 #: Above so many bytes of keys a side is never broadcast; the sort-merge join takes over.
 BROADCAST_BYTES = 16 << 20
+#: A table that few() deals out has so many partitions, or one a core where there are more cores, or one for FILE_ROWS rows.
+FILES = 16
+FILE_ROWS = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +70,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, rows: int = 0) -> DataFrame:
+    """df in few partitions, for stage(): where shuffle partitions aren't coalesced, each would become a file. rows: a bound on
+    what a large df holds.
+
+    Hadoop's local file system starts processes for every file, each of which for a moment counts as large as the executor. Rows stay
+    with their partition, so tasks that run again lose none. With dynamic allocation the cores to come aren't known: nothing changes.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getConf().get("spark.dynamicAllocation.enabled", "false").lower() == "true":
+        return df
+    return df.coalesce(max(FILES, context.defaultParallelism, -(-rows // FILE_ROWS)))
+
+
 def _delete(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

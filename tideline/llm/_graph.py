@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm._common import drop_stage, stage
+from tideline.llm._common import drop_stage, few, stage
 
 MAX_ROUNDS = 60
 
@@ -23,7 +23,7 @@ def components(links: DataFrame) -> DataFrame:
     Each round replaces the links by links to smaller neighbours and ends in a written table; the number of rounds grows as the
     logarithm of the longest path. Minimum per node is a partial aggregate, so a node with very many links is no hot task.
     """
-    edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
+    edges = stage(few(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()), "links")
     for _ in range(MAX_ROUNDS):
         if _settled(edges):
             break
@@ -32,7 +32,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        new = stage(small, "links")
+        new = stage(few(small), "links")
         drop_stage(edges)
         edges = new
     else:

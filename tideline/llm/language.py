@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm._common import bounded_sample, maybe_broadcast, pick, stage, table
+from tideline.llm._common import bounded_sample, few, maybe_broadcast, pick, stage, table
 from tideline.session import ship_package
 
 #: At most so many labelled documents, and so many bytes of them, are brought to the driver to fit on.
@@ -148,7 +148,7 @@ def identify(rows: DataFrame, model: TextModel, *, text: Column, declared: Colum
     keys = {k: F.coalesce(v.cast("string"), F.lit("")) for k, v in keys.items()}
     lean = rows.select(*[v.alias(k) for k, v in keys.items()], text_evidence(model, text).alias("logs")).withColumn("soft", _softmax(F.col("logs"))).select(*keys, "soft")
     hosts = _sums(lean, ["_d", "_s", "_m", "_h"], n)  # all later counts are sums of these
-    hosts = stage(hosts.withColumnRenamed("sums", "soft"), "evidence")
+    hosts = stage(few(hosts.withColumnRenamed("sums", "soft")), "evidence")
 
     def up(key: list[str]) -> DataFrame:
         sums = [F.sum(F.get("soft", F.lit(i))).alias(f"s{i}") for i in range(n)]

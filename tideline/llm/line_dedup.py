@@ -11,15 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm._common import maybe_broadcast, pick, stage, table
+from tideline.llm._common import few, maybe_broadcast, pick, stage, table
 
 MIN_SITES = 10
 #: Registers are 2**LG_K; the standard error of an estimate is about 1.04 / 2**(LG_K / 2).
 LG_K = 8
 #: Standard errors around the threshold within which counts are made exactly.
 SIGMAS = 5.0
-#: A staged table has so many files, or one a core where there are more cores.
-FILES = 16
 
 
 def _lines(text: Column) -> Column:
@@ -44,25 +42,13 @@ def _exploded(source: DataFrame) -> DataFrame:
     return bare.select("t1", "t2", "place", "site", l1.alias("l1"), l2.alias("l2"), F.char_length("line").alias("n"))
 
 
-def _stage_few(df: DataFrame, name: str) -> DataFrame:
-    """stage() in few files, as its tables are small: where shuffle partitions aren't coalesced, each would become a file.
-
-    Hadoop's local file system starts processes for every file, each of which for a moment counts as large as the executor. Rows stay
-    with their partition, so tasks that run again lose none. With dynamic allocation the cores to come aren't known: nothing changes.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getConf().get("spark.dynamicAllocation.enabled", "false").lower() == "true":
-        return stage(df, name)
-    return stage(df.coalesce(max(FILES, context.defaultParallelism)), name)
-
-
 def _spread(docs: DataFrame, text_col: str, site_col: str, min_sites: int) -> tuple[DataFrame, int]:
     """What spread_lines returns, and how many rows that has at most."""
     lines = _exploded(pick(docs, text_col, site_col).toDF("text", "site").select("text", F.col("site").cast("string")))
     error = SIGMAS * 1.04 / 2 ** (LG_K / 2)
     low, high = min_sites * (1 - error), min_sites * (1 + error)
     counted = lines.where("site IS NOT NULL").groupBy("l1", "l2").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"))
-    estimated = _stage_few(counted.select("l1", "l2", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= low), "spread")
+    estimated = stage(few(counted.select("l1", "l2", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= low)), "spread")
     most, n = estimated.agg(F.count("*"), F.count_if(F.col("sites") <= high)).collect()[0]
     near = maybe_broadcast(estimated.where(F.col("sites") <= high).select("l1", "l2"), n, 32)
     exact = lines.join(near, ["l1", "l2"]).select("l1", "l2", "site").distinct().groupBy("l1", "l2").agg(F.count("site").alias("sites")).where(F.col("sites") >= min_sites)
@@ -85,7 +71,7 @@ def strip_boilerplate(docs: DataFrame, *, text_col: str = "text", site_col: str
     source = pick(docs, text_col, site_col).toDF("text", "site").select("text", F.col("site").cast("string"))
     spread = maybe_broadcast(*_spread(docs, text_col, site_col, min_sites), 32)
     hit = _exploded(source).join(spread, ["l1", "l2"]).select("t1", "t2", "place", "n").distinct()
-    places = _stage_few(hit.groupBy("t1", "t2").agg(F.collect_set("place").alias("places"), F.sum("n").alias("spread_chars")), "places")
+    places = stage(few(hit.groupBy("t1", "t2").agg(F.collect_set("place").alias("places"), F.sum("n").alias("spread_chars"))), "places")
     n, held = places.agg(F.count("*"), F.sum(F.size("places"))).collect()[0]
     places = maybe_broadcast(places, 1, 64 * n + 8 * (held or 0))
     at = docs.columns.index(text_col)

@@ -15,7 +15,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm._common import drop_stage, maybe_broadcast, pick, stage, table
+from tideline.llm._common import drop_stage, few, maybe_broadcast, pick, stage, table
 
 #: Up to so many cells are fitted on the driver; more are fitted by joins and aggregations, by the same rule and to the same end.
 DRIVER_CELLS = 100_000
@@ -104,6 +104,13 @@ def _warn(gap: float) -> None:
     warnings.warn(f"mixture: the targets contradict each other on these cells; shares are off by up to {gap:.2g}", stacklevel=3)
 
 
+def _local(spark: SparkSession, rows: list[tuple], kinds: dict[str, str]) -> DataFrame:
+    """The driver's rows as a table. By way of Arrow: a list of rows would start a second set of Python workers on the executors."""
+    import pyarrow as pa
+
+    return spark.createDataFrame(pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds.items())}))
+
+
 def _gap(x: DataFrame, targets: list[DataFrame]) -> float:
     """The largest deviation of raked totals from their targets, over all dimensions."""
     gaps = [x.groupBy(d).agg(F.sum(F.least("raked", "cap")).alias("now")).join(t, d, "left").select(F.abs(F.col("now") - F.coalesce("goal", F.lit(0.0))).alias("gap")) for d, t in zip(DIMS, targets, strict=True)]
@@ -122,7 +129,7 @@ def _rake_by_joins(cells: DataFrame, targets: list[DataFrame], wanted: float | N
         for d, target in zip(DIMS, targets, strict=True):
             now = x.groupBy(d).agg(F.sum(F.when(full, F.col("cap")).otherwise(0.0)).alias("held"), F.sum(F.when(full, 0.0).otherwise(F.col("raked"))).alias("free"))
             x = x.join(now.join(target, d, "left").select(d, by.alias("by")), d).select(*DIMS, "tokens", F.least(F.col("raked") * F.col("by"), F.lit(1e100)).alias("raked"), "cap")
-        x = stage(x, "raked")
+        x = stage(few(x), "raked")
         if before is not None:
             drop_stage(before)
         before = x
@@ -158,7 +165,7 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", share: float = 0.5, target
     form = F.col("form") if topic is not None else F.col(at["topic"]) if "topic" in at else topic_of(text, F.col("n_tokens"))
     counted = counted.select(*[f"c{i}" for i in range(len(own))], "n_tokens", form.cast("string").alias("topic"), *[F.col(at[d]).cast("string").alias(d) for d in ("source", "lang")])
     cell = [F.coalesce(d, F.lit("")).alias(d) for d in DIMS]
-    cells = stage(counted.select(*cell, "n_tokens").groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"), "cells")
+    cells = stage(few(counted.select(*cell, "n_tokens").groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0")), "cells")
     n_cells = cells.count()
     given = targets or {}
     total = cells.agg(F.sum("tokens")).collect()[0][0] or 0
@@ -178,12 +185,12 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", share: float = 0.5, target
         scale = wanted / (total * sum(raked.values())) if wanted else 0.0
         if any(scale * raked[k] * total > v for k, v in rows.items()) and (single := rake(rows, goals, wanted)):
             raked, scale = single, wanted / total
-        solved = spark.createDataFrame([(*k, rows[k], raked[k]) for k in rows], "source string, lang string, topic string, tokens long, raked double")
+        solved = _local(spark, [(*k, rows[k], raked[k]) for k in rows], {**dict.fromkeys(DIMS, "string"), "tokens": "int64", "raked": "float64"})
     else:
         frames = []
         for name in DIMS:
             if given.get(name) is not None:
-                goals = spark.createDataFrame([(k, float(v)) for k, v in given[name].items()], f"{name} string, goal double")
+                goals = _local(spark, [(k, float(v)) for k, v in given[name].items()], {name: "string", "goal": "float64"})
                 here = goals.join(cells.select(name).distinct(), name, "left_semi")
                 whole = here.agg(F.sum("goal")).collect()[0][0] or 1.0
                 frames.append(here.select(name, (F.col("goal") / whole).alias("goal")))

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm._common import maybe_broadcast, pick, stage, staged_alone, table
+from tideline.llm._common import few, maybe_broadcast, pick, stage, staged_alone, table
 from tideline.llm._graph import components
 
 BANDS = 32
@@ -39,6 +39,8 @@ WIDE_MARGIN = 0.0625
 #: Buckets of more nodes are scored in blocks of so many.
 SMALL = 32
 BLOCK = 2048
+#: Texts that a Python worker holds as words at a time.
+TEXTS = 128
 #: Below it too many links share no band: at 60 % a pair is missed with a probability of 0.075, at 50 % of 0.36.
 LEAST_PERCENT = 60
 
@@ -162,8 +164,8 @@ def _sketch(size: int):
         import xxhash
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for i in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(i, TEXTS)
                 sets = shingle_sets(part.column(1), size)
                 regs = registers(sets, BANDS * ROWS)
                 keys = band_keys(regs)
@@ -189,8 +191,8 @@ def _full_sets(size: int):
         import xxhash
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                sets = [s for s in shingle_sets(batch.slice(i, 512).column(0), size) if len(s)]
+            for i in range(0, batch.num_rows, TEXTS):
+                sets = [s for s in shingle_sets(batch.slice(i, TEXTS).column(0), size) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], names=["digest", "shingles"])
 
     return run
@@ -231,12 +233,12 @@ def _best(estimated: DataFrame) -> DataFrame:
     return estimated.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")).select("a", "b")
 
 
-def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components: key, node, weight, component and the bucket's largest component."""
+def _mixed(members: DataFrame, found: DataFrame, rows: int) -> DataFrame:
+    """Members of buckets that hold several components: key, node, weight, component and the bucket's largest component. rows: of documents."""
     known = members.join(found, "node", "left").select("key", "node", "weight", F.coalesce("component", "node").alias("component"))
-    known = stage(known, "known")
+    known = stage(few(known, rows), "known")
     per = known.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("parts"))
-    return stage(known.join(per.where("parts > 1").select("key", "most"), "key"), "mixed")
+    return stage(few(known.join(per.where("parts > 1").select("key", "most"), "key"), rows), "mixed")
 
 
 def wide_sketches(sets: list):
@@ -306,21 +308,21 @@ def _scored_blocks(threshold: float):
     return run
 
 
-def _across(mixed: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of nodes of different components that share a bucket and may reach the threshold."""
+def _across(mixed: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float, rows: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that share a bucket and may reach the threshold. rows: of documents."""
     sizes = mixed.groupBy("key").agg(F.count("*").alias("size"))
     sized = mixed.join(sizes, "key")
     small = sized.where(F.col("size") <= SMALL)
     x = small.where("component <> most").select("key", "most", F.col("node").alias("x"), F.col("component").alias("cx"))
     y = small.select("key", F.col("node").alias("y"), F.col("component").alias("cy"))
     met = x.join(y, "key").where("cx <> cy AND (cy = most OR x < y)")
-    few = _estimated(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), nodes, threshold).select("a", "b")
+    paired = _estimated(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), nodes, threshold).select("a", "b")
 
-    crowded = stage(sized.where(F.col("size") > SMALL), "crowded")
+    crowded = stage(few(sized.where(F.col("size") > SMALL), rows), "crowded")
     if crowded.isEmpty():
-        return few
+        return paired
     wanted = crowded.select("node").distinct()
-    wide = stage(sets.join(wanted, "node").select("node", "shingles").mapInArrow(_widened, "node long, wide binary"), "wide")
+    wide = stage(few(sets.join(wanted, "node").select("node", "shingles").mapInArrow(_widened, "node long, wide binary"), rows), "wide")
     about = wide.join(nodes.select("node", "keys", F.col("n_shingles").alias("n")), "node")
     dealt = crowded.select("key", "most", "node", "component", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")).join(about, "node")
     dealt = dealt.withColumns({"own": F.pmod(F.xxhash64("node"), "blocks").cast("int"), "band": (F.array_position("keys", F.col("key")) - 1).cast("int")})
@@ -329,7 +331,7 @@ def _across(mixed: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: floa
     x = dealt.where("component <> most").select(*columns, F.col("own").alias("xb"), every.alias("yb")).toDF(*columns, "xb", "yb")
     y = dealt.select(*columns, every.alias("xb"), F.col("own").alias("yb")).toDF(*columns, "xb", "yb")
     by = ["key", "xb", "yb"]
-    return few.union(x.groupBy(*by).cogroup(y.groupBy(*by)).applyInArrow(_scored_blocks(threshold), "a long, b long"))
+    return paired.union(x.groupBy(*by).cogroup(y.groupBy(*by)).applyInArrow(_scored_blocks(threshold), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -350,36 +352,37 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     threshold = percent / 100
     source = pick(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     sketched = stage(source.mapInArrow(_sketch(shingle), "doc_id long, n_shingles long, digest binary, sketch binary, keys array<long>"), "sketches")
+    rows = sketched.count()
     some = sketched.where("digest IS NOT NULL")
     grouped = some.groupBy("digest").agg(F.min("doc_id").alias("label"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
-    nodes = stage(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = stage(few(grouped.withColumn("node", F.monotonically_increasing_id()), rows), "nodes")
 
     member = nodes.select("node", F.explode("keys").alias("key"))
     shared = member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = stage(member.join(shared, "key"), "buckets")
+    members = stage(few(member.join(shared, "key"), rows), "buckets")
     popular = members.groupBy("node").agg(F.sum("size").alias("weight"))
-    members = stage(members.select("key", "node").join(popular, "node"), "buckets")
-    in_buckets = stage(popular.select("node").join(nodes.select("node", "digest", "label"), "node"), "members")
+    members = stage(few(members.select("key", "node").join(popular, "node"), rows), "buckets")
+    in_buckets = stage(few(popular.select("node").join(nodes.select("node", "digest", "label"), "node"), rows), "members")
     wanted = maybe_broadcast(in_buckets.select(F.col("label").alias("doc_id")).distinct(), in_buckets.count(), 16)
     texts = source.join(wanted, "doc_id").select("text").union(source.where("doc_id IS NULL").select("text"))
     made = texts.mapInArrow(_full_sets(shingle), "digest binary, shingles array<long>")
-    sets = stage(made.join(in_buckets.select("digest", "node"), "digest").select("node", "shingles").dropDuplicates(["node"]), "sets")
+    sets = stage(few(made.join(in_buckets.select("digest", "node"), "digest").select("node", "shingles").dropDuplicates(["node"]), rows), "sets")
 
     heaviest = F.max_by("node", F.struct("weight", "node"))
     hubs = members.groupBy("key").agg(heaviest.alias("hub"))
     stars = members.select("key", "node").join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = stage(_confirmed(_best(_estimated(stars, nodes, threshold)), sets, percent), "links")
+    links = stage(few(_confirmed(_best(_estimated(stars, nodes, threshold)), sets, percent), rows), "links")
     found = components(links)
 
-    mixed = _mixed(members, found)
+    mixed = _mixed(members, found, rows)
     hubs = mixed.where("component = most").groupBy("key").agg(heaviest.alias("hub"))
     again = mixed.where("component <> most").join(hubs, "key").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    more = stage(_confirmed(_best(_estimated(again, nodes, threshold)), sets, percent), "links")
+    more = stage(few(_confirmed(_best(_estimated(again, nodes, threshold)), sets, percent), rows), "links")
     if not more.isEmpty():
         found = components(found.toDF("a", "b").union(more))
-        mixed = _mixed(members, found)
+        mixed = _mixed(members, found, rows)
 
-    more = stage(_confirmed(_across(mixed, nodes, sets, threshold), sets, percent), "links")
+    more = stage(few(_confirmed(_across(mixed, nodes, sets, threshold, rows), sets, percent), rows), "links")
     if not more.isEmpty():
         found = components(found.toDF("a", "b").union(more))
 
@@ -389,7 +392,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     names = nodes.select("node", "digest", "label").join(moved, "node", "left").select("digest", F.coalesce("least", "label").alias("component_id"))
     with_set = some.select("doc_id", "n_shingles", "digest").join(names, "digest").select("doc_id", "n_shingles", "component_id")
     without = sketched.where("digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return with_set.union(without).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return few(with_set.union(without).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), rows)
 
 
 def op2_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
